@@ -7,6 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def tokenizer(name: str) -> str:
+    """Where the public vocabularies are; their folder can be set by an environment variable."""
+    import os
+
+    folder = os.environ.get("KELPWOOD_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -24,6 +42,7 @@ FROM documents
 """
 
 QUERIES = {
+    "op9_bestfit_pack": op9_bestfit_pack,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
