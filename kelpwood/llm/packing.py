@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stored, whole_text
+from .shared import map_arrow, shared_folder, stored, whole_text
 
 #: Items that a task packs at once; more are packed in several goes.
 CHUNK_ITEMS = 400_000
@@ -103,7 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
                 yield pieces(held, texts_held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return map_arrow(rows, cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _packer(round_no: int, capacity: int, slack: int, carry: int, last: bool):
@@ -168,7 +168,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, slack: int = 16, carry:
     items, parts, round_no, done = pieces, None, 0, None
     while True:
         last = parts == 1
-        packed = stored(items.mapInArrow(_packer(round_no, capacity, slack, carry, last), schema), f"{folder}/round={round_no}")
+        packed = stored(map_arrow(items, _packer(round_no, capacity, slack, carry, last), schema), f"{folder}/round={round_no}")
         emitted = packed.filter("done").drop("done")
         done = emitted if done is None else done.unionByName(emitted)
         if last:
