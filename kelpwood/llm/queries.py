@@ -19,6 +19,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -42,6 +48,7 @@ FROM documents
 """
 
 QUERIES = {
+    "op5_simhash_trie": op5_simhash_trie,
     "op9_bestfit_pack": op9_bestfit_pack,
     "op10_exact_dedup": op10_exact_dedup,
 }
