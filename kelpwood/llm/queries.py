@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import table
 
@@ -19,12 +20,28 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "host", "path", "evidence", "site_prior", "quality_score", F.col("accepted").cast("int").alias("predicted"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import held_out
+    from .toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op9_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -48,7 +65,9 @@ FROM documents
 """
 
 QUERIES = {
+    "op2_quality_bayes": op2_quality_bayes,
     "op5_simhash_trie": op5_simhash_trie,
+    "op7_toxicity_ftrl": op7_toxicity_ftrl,
     "op9_bestfit_pack": op9_bestfit_pack,
     "op10_exact_dedup": op10_exact_dedup,
 }
