@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_rules, warc
 from .shared import table
 
 
@@ -20,6 +21,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, page_responses
+
+    return derivatives(page_responses(table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id")
+
+
 def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -27,6 +34,12 @@ def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "host", "path", "evidence", "site_prior", "quality_score", F.col("accepted").cast("int").alias("predicted"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge_urls, query_rules
+
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), query_rules()).drop("url")
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -65,7 +78,9 @@ FROM documents
 """
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_quality_bayes": op2_quality_bayes,
+    "op3_url_rules": op3_url_rules,
     "op5_simhash_trie": op5_simhash_trie,
     "op7_toxicity_ftrl": op7_toxicity_ftrl,
     "op9_bestfit_pack": op9_bestfit_pack,
@@ -73,5 +88,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc_derivatives": warc.oracle(),
+    "op3_url_rules": url_rules.oracle(),
     "op10_exact_dedup": OP10_SQL,
 }
