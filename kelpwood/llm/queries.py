@@ -46,6 +46,12 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import held_out
     from .toxicity import toxicity
@@ -55,6 +61,15 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+    from .sampling import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -82,7 +97,9 @@ QUERIES = {
     "op2_quality_bayes": op2_quality_bayes,
     "op3_url_rules": op3_url_rules,
     "op5_simhash_trie": op5_simhash_trie,
+    "op6_sentencepiece_bpe": op6_sentencepiece_bpe,
     "op7_toxicity_ftrl": op7_toxicity_ftrl,
+    "op8_language_bloom": op8_language_bloom,
     "op9_bestfit_pack": op9_bestfit_pack,
     "op10_exact_dedup": op10_exact_dedup,
 }
