@@ -171,7 +171,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def similar_edges(fps: DataFrame, budget: int = 4, trie_leaves: int = 2048, hot_leaves: int = 100_000) -> DataFrame:
+def similar_edges(fps: DataFrame, budget: int = 4, trie_leaves: int = 16, hot_leaves: int = 100_000) -> DataFrame:
     """Distinct fingerprints (fp long) to edges (a, b) that connect all pairs
     within ``budget`` bits; a tree for each component of a trie, not all pairs."""
     n = fps.count()
@@ -249,7 +249,7 @@ def similar_edges(fps: DataFrame, budget: int = 4, trie_leaves: int = 2048, hot_
     return map_arrow(dealt, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, trie_leaves: int = 2048, hot_leaves: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, trie_leaves: int = 16, hot_leaves: int = 100_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     fingerprint: 16 lowercase hex digits; component_id: the smallest doc_id that
