@@ -40,6 +40,12 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), query_rules()).drop("url")
 
 
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mpeg_audio import text_media
+
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -96,6 +102,7 @@ QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_quality_bayes": op2_quality_bayes,
     "op3_url_rules": op3_url_rules,
+    "op4_mpeg_audio": op4_mpeg_audio,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_sentencepiece_bpe": op6_sentencepiece_bpe,
     "op7_toxicity_ftrl": op7_toxicity_ftrl,
