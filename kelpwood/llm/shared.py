@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpwood.functions.workers import map_arrow, ship  # noqa: F401
+
 _OWN_ROOTS: dict[str, str] = {}
 
 
@@ -46,32 +48,3 @@ def fresh(name: str, taken) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package, wherever the driver found it."""
-    import os
-    import zipfile
-
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "kelpwood_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow for functions that import this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
