@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import engine
+from . import analytics, engine
 
-QUERIES = {**engine.QUERIES}
-SQL = {**engine.SQL}
+QUERIES = {**engine.QUERIES, **analytics.QUERIES}
+SQL = {**engine.SQL, **analytics.SQL}
