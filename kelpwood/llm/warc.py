@@ -27,12 +27,16 @@ LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
 def plain_text(html: Column) -> Column:
     """Comments, scripts and styles go, tags go, line elements end lines, white
     space is squeezed; the named entities above are decoded, numeric ones stay."""
-    text = F.regexp_replace(html, UNSEEN, "")
-    text = F.regexp_replace(text, LINE_TAG, "\n")
+    return seen_text(F.regexp_replace(html, UNSEEN, ""))
+
+
+def seen_text(html: Column) -> Column:
+    """plain_text of a page without comments, scripts and styles."""
+    text = F.regexp_replace(html, LINE_TAG, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(text, r"[ \t\r\f]{2,}|[\t\r\f]", " ")  # a single space is left alone
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -69,7 +73,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """
     header, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("http_header", "payload"))
     line = lambda c: F.trim(F.regexp_replace(c, r"[\r\n\t ]+", " "))
-    links = F.transform(F.regexp_extract_all(F.regexp_replace("payload", UNSEEN, ""), F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), line(x)))
+    links = F.transform(F.regexp_extract_all("seen", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), line(x)))
     fields = F.concat_ws(
         "\r\n",
         F.concat(F.lit("title: "), line(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1))),
@@ -77,8 +81,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.concat(F.lit("source-payload-digest: sha256:"), F.col("sha")),
         links,
     )
-    rows = responses.withColumns({"http_header": header, "payload": html}).withColumn("sha", F.sha2("payload", 256))
-    kinds = [("metadata", "application/warc-fields", F.concat(fields, F.lit("\r\n"))), ("conversion", "text/plain; charset=UTF-8", plain_text(F.col("payload")))]
+    rows = responses.withColumns({"http_header": header, "payload": html}).withColumns({"sha": F.sha2("payload", 256), "seen": F.regexp_replace("payload", UNSEEN, "")})
+    kinds = [("metadata", "application/warc-fields", F.concat(fields, F.lit("\r\n"))), ("conversion", "text/plain; charset=UTF-8", seen_text(F.col("seen")))]
     made = F.explode(F.array(*[F.struct(F.lit(k).alias("warc_type"), F.lit(t).alias("content_type"), b.alias("block")) for k, t, b in kinds]))
     rows = rows.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "sha", made.alias("made"))
     return rows.select(
