@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, engine
+from . import analytics, engine, records
 
-QUERIES = {**engine.QUERIES, **analytics.QUERIES}
-SQL = {**engine.SQL, **analytics.SQL}
+QUERIES = {**engine.QUERIES, **analytics.QUERIES, **records.QUERIES}
+SQL = {**engine.SQL, **analytics.SQL, **records.SQL}
