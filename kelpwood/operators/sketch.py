@@ -129,7 +129,7 @@ def merge_sketches(*parts: tuple[str, DataFrame]) -> DataFrame:
         rows = df.select(F.lit(order).alias("ord"), F.lit(name).alias("part"), "genome", "h", "used")
         union = rows if union is None else union.unionByName(rows)
     first = union.groupBy("genome").agg(F.min("ord").alias("ord"))
-    return union.join(first, ["genome", "ord"], "left_semi").drop("ord")
+    return union.join(first, ["genome", "ord"], "left_semi").select("part", "genome", "h", "used")
 
 
 def audit(sketch: DataFrame, c: int, floor: int) -> DataFrame:
