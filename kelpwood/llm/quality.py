@@ -85,7 +85,7 @@ def _with_features(df: DataFrame, text: str, make, out: str, kind: T.DataType) -
     return map_arrow(df, run, T.StructType([f for f in df.schema.fields if f.name != text] + [T.StructField(out, kind)]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS, ridge: float = 1.0) -> tuple[list[float], float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS, ridge: float = 0.02) -> tuple[list[float], float]:
     """(weights, odds): weights of FEATURES for the log likelihood ratio of label 1,
     and the log odds of label 1 in the sample. Fitted on at most about ``sample`` labelled rows, of
     which only the features come to the driver. Without both labels: no evidence.
