@@ -1,6 +1,9 @@
 """Rows of Spark and DuckDB in one form."""
 
 import math
+import os
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(v):
