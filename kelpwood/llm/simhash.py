@@ -32,6 +32,8 @@ CHUNK_LEAVES = 200_000
 LEAF_PAIRS = 64
 #: Node pairs that a worker expands at once.
 CHUNK_PAIRS = 400_000
+#: Blocks of bits: with a budget of 4, 15 views of 21 bits or more.
+BLOCKS = 6
 #: Shingle hashes whose bits are counted at once.
 CHUNK_HASHES = 1 << 16
 
@@ -171,11 +173,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def similar_edges(fps: DataFrame, budget: int = 4, trie_leaves: int = 16, hot_leaves: int = 100_000) -> DataFrame:
+def similar_edges(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
     """Distinct fingerprints (fp long) to edges (a, b) that connect all pairs
-    within ``budget`` bits; a tree for each component of a trie, not all pairs."""
-    n = fps.count()
-    blocks = next((m for m in range(budget + 1, 2 * budget + 1) if n >> (64 * (m - budget) // m) <= trie_leaves), 2 * budget + 1)
+    within ``budget`` bits; a tree for each component of a trie, not all pairs.
+
+    Any number of blocks above the budget gives the same links: more of them
+    make more and smaller tries.
+    """
+    if blocks <= budget:
+        raise ValueError("there must be more blocks than differing bits")
     masks = _views(blocks, budget)
     view = F.explode(F.array(*[F.struct(F.lit(k).alias("view"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)]))
     leaves = fps.select("fp", view.alias("v")).select("fp", "v.view", "v.bits")
@@ -249,7 +255,7 @@ def similar_edges(fps: DataFrame, budget: int = 4, trie_leaves: int = 16, hot_le
     return map_arrow(dealt, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, trie_leaves: int = 16, hot_leaves: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     fingerprint: 16 lowercase hex digits; component_id: the smallest doc_id that
@@ -265,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = shared_folder(docs.sparkSession)
     rows = stored(fingerprints(docs, id_col, text_col, shingle), f"{folder}/fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
-    edges = stored(similar_edges(fps.select("fp"), budget, trie_leaves, hot_leaves), f"{folder}/edges")
+    edges = stored(similar_edges(fps.select("fp"), budget, blocks, hot_leaves), f"{folder}/edges")
     roots = components(edges).withColumnRenamed("node", "fp").join(fps, "fp")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(ids, "root").select("fp", "component_id", F.lit(True).alias("linked"))

@@ -69,13 +69,13 @@ def test_pairs_of_two_ranges(n):
     assert got.tolist() == brute_labels(fps)
 
 
-@pytest.mark.parametrize(("leaves", "hot"), [(16, 100_000), (1, 100_000), (100_000, 20), (16, 5)])
-def test_edges_connect_all_and_only_links(spark, leaves, hot):
+@pytest.mark.parametrize(("blocks", "hot"), [(6, 100_000), (7, 100_000), (5, 20), (6, 5)])
+def test_edges_connect_all_and_only_links(spark, blocks, hot):
     r = random.Random(9)
     fps = clustered(r, 300, 8) + [(0xABC << 52) | r.getrandbits(20) for _ in range(150)]
     fps = sorted(set(fps))
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    edges = similar_edges(df, 4, leaves, hot).collect()
+    edges = similar_edges(df, 4, blocks, hot).collect()
     at = {x: i for i, x in enumerate(fps)}
     label = list(range(len(fps)))
 
