@@ -32,3 +32,13 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow for functions that import this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, dealt to all cores if its files give fewer tasks than that.
+
+    Large tables have more splits than cores and are left as they are: no shuffle.
+    Only for plain scans, whose partitions are known without running anything.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kmers import dna, threshold
+from ..functions.workers import spread
 
 K, C, SPACING, MIN_KMERS = 21, 20, 30, 50
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("genome"), F.posexplode(F.split("text", r"\.")).alias("contig", "s"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("genome"), F.posexplode(F.split("text", r"\.")).alias("contig", "s"))
     return docs.withColumn("s", F.trim("s")).filter(F.length("s") > 20).select("genome", "contig", dna(F.col("s")).alias("seq"))
 
 
