@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpwood.functions.workers import spread
+
 from . import url_rules, warc
 from .shared import table
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """Where the public vocabularies are; their folder can be set by an environment variable."""
     import os
@@ -24,45 +30,45 @@ def tokenizer(name: str) -> str:
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derivatives, page_responses
 
-    return derivatives(page_responses(table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id")
+    return derivatives(page_responses(spread(table(spark, sf_dir, "pages")))).withColumnRenamed("source_id", "page_id")
 
 
 def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "host", "path", "evidence", "site_prior", "quality_score", F.col("accepted").cast("int").alias("predicted"))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import judge_urls, query_rules
 
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), query_rules()).drop("url")
+    return judge_urls(spread(table(spark, sf_dir, "pages")).select("page_id", "url"), query_rules()).drop("url")
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mpeg_audio import text_media
 
-    return text_media(table(spark, sf_dir, "documents"))
+    return text_media(documents(spark, sf_dir))
 
 
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op6_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_pieces import encode_pieces
 
-    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return encode_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
 def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import held_out
     from .toxicity import toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
@@ -71,7 +77,7 @@ def op8_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, identify
     from .sampling import held_out
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
@@ -79,7 +85,7 @@ def op8_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
