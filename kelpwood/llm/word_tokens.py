@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 
-#: Ids of at most so many words (and as many runs) are kept in a worker; beyond it, it starts anew.
-CACHE_WORDS = 400_000
+#: Ids of at most so many words and so many runs are kept in a worker; beyond it, it starts anew.
+CACHE_WORDS, CACHE_RUNS = 800_000, 500_000
 
 #: Characters that the vocabulary's normaliser only lower-cases, one by one.
 _PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
@@ -42,7 +42,7 @@ class WordTokens:
         """Put the ids of new words in the cache."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        if len(self.runs) > CACHE_WORDS:
+        if len(self.runs) > CACHE_RUNS:
             self.runs.clear()
         plain = {w: _RUNS.findall(w.lower()) for w in words if _PLAIN.fullmatch(w)}
         new = list({r for runs in plain.values() for r in runs if r not in self.runs})
