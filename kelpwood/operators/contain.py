@@ -165,15 +165,16 @@ def reassigned(results: DataFrame, genome_kmers: DataFrame, table: DataFrame, le
     return lost.groupBy("sample", "winner", F.col("genome").alias("loser")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
 
 
-def profile(genome_kmers: DataFrame, sample_kmers: DataFrame, sizes_bp: DataFrame, k: int, min_ani: float = 0.95, min_kmers: int = 50, redundant: float = 99.0, estimator: Column | None = None) -> DataFrame:
+def profile(genome_kmers: DataFrame, sample_kmers: DataFrame, sizes_bp: DataFrame, k: int, min_ani: float = 0.95, min_kmers: int = 50, redundant: float = 99.0, estimator: Column | None = None, keep=lambda df: df) -> DataFrame:
     """The two passes: identities, k-mers to their winners, identities again over
     what each genome has left, and shares of the sample. Genomes that lost
-    (redundant / 100)^k of their k-mers or more are left out."""
+    (redundant / 100)^k of their k-mers or more are left out. ``keep`` may store
+    what is used several times."""
     pairs, sizes = histogram(genome_kmers, sample_kmers, min_kmers)
-    first = identities(coverage(pairs, sizes, k), k, estimator, min_ani)
+    first = keep(identities(coverage(pairs, sizes, k), k, estimator, min_ani).select(*PAIR, "final_ani", "contained"))
     table = winners(first, genome_kmers)
     used = genome_kmers.filter("used").join(first.select(*PAIR), "genome")
-    counted = used.join(sample_kmers.filter("cnt > 0"), ["sample", "h"]).join(table, ["sample", "h"])
+    counted = keep(used.join(sample_kmers.filter("cnt > 0"), ["sample", "h"]).join(table, ["sample", "h"]).select(*PAIR, "cnt", "winner"))
     own = counted.filter("winner = genome").groupBy(*PAIR, "cnt").agg(F.count(F.lit(1)).alias("n"))
     lost = counted.filter("winner <> genome").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("kmers_lost"))
     second = identities(coverage(own, sizes, k), k, estimator, min_ani).join(lost, PAIR, "left").fillna(0, ["kmers_lost"])

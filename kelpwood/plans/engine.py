@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kmers as km
 from ..operators import contain as ct
 from ..operators import sketch as sk
+from ..sources.stores import stored
 from . import inputs as I
 
 QUERIES: dict = {}
@@ -37,7 +38,13 @@ def _sketch(spark, d):
 
 
 def _sample(spark, d):
-    return sk.sample_sketch(sk.read_kmers(I.reads(spark, d), I.K, I.C), cap=4)
+    """Occurrences are read several times, so they are hashed once and stored."""
+    return sk.sample_sketch(stored(sk.read_kmers(I.reads(spark, d), I.K, I.C)), cap=4)
+
+
+def _sketches(spark, d):
+    """Both sketches, as files: sketched once, used several times."""
+    return stored(_sketch(spark, d)), stored(_sample(spark, d))
 
 
 def _codes(seq):
@@ -107,7 +114,7 @@ def sample_sketch_dedup_single(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sample_sketch_dedup_paired", f"WITH {I.PAIR_KMERS}, {I.dedup_sql(None)} SELECT sample, h, cnt FROM counts")
 def sample_sketch_dedup_paired(spark: SparkSession, d: str) -> DataFrame:
-    return sk.sample_sketch(sk.pair_kmers(I.pairs(spark, d), I.K, I.C))
+    return sk.sample_sketch(stored(sk.pair_kmers(I.pairs(spark, d), I.K, I.C)))
 
 
 @query("sample_stats", f"""WITH {I.SAMPLE},
@@ -115,7 +122,7 @@ r AS (SELECT sample, count(*) AS n_reads, avg(length(seq)) AS mean_read_length F
 SELECT sample, n_reads, mean_read_length, coalesce(n_kmers, 0) AS n_kmers,
        round(coalesce((mean_read_length + {I.K - 1}) / mean_read_length * {I.C} * n_kmers, 0), 6) AS approx_bases FROM r LEFT JOIN n USING (sample)""")
 def sample_stats(spark: SparkSession, d: str) -> DataFrame:
-    return sk.sample_stats(I.reads(spark, d), _sample(spark, d), I.K, I.C)
+    return sk.sample_stats(I.reads(spark, d), stored(_sample(spark, d)), I.K, I.C)
 
 
 _PAIRS = f"""{I.BOTH},
@@ -160,12 +167,12 @@ _COVER = f"{_PAIRS}, {cover_sql('hist', 'cover')}"
 _RESULTS = f"{_COVER}, {result_sql('cover', 'results', MIN_ANI)}"
 
 
-def _pairs(spark, d):
-    return ct.histogram(_sketch(spark, d), _sample(spark, d), FLOOR)
+def _pairs(spark, d, sketches=None):
+    return ct.histogram(*(sketches or _sketches(spark, d)), FLOOR)
 
 
-def _cover(spark, d):
-    pairs, sizes = _pairs(spark, d)
+def _cover(spark, d, sketches=None):
+    pairs, sizes = _pairs(spark, d, sketches)
     return ct.coverage(pairs, sizes, I.K)
 
 
@@ -217,11 +224,11 @@ q AS (SELECT *, x / (variance - 1 + x + mean_cov) AS r FROM g),
 e AS (SELECT *, abs(CASE WHEN r < 100 THEN (r + 1) / 2 ELSE (r + 2) / 2 END * x / (r + x) - observed) AS off FROM q WHERE r >= 0)
 SELECT sample, genome, arg_min(x, {{'off': off, 'i': i}}) AS lambda FROM e GROUP BY sample, genome HAVING min(off) < 10000""")
 def lambda_nb(spark: SparkSession, d: str) -> DataFrame:
-    return ct.lambda_negative_binomial(_cover(spark, d)).select("sample", "genome", "lambda")
+    return ct.lambda_negative_binomial(stored(_cover(spark, d)).repartition("genome")).select("sample", "genome", "lambda")
 
 
-def _results(spark, d):
-    return ct.identities(_cover(spark, d), I.K, min_ani=MIN_ANI)
+def _results(spark, d, sketches=None):
+    return ct.identities(_cover(spark, d, sketches), I.K, min_ani=MIN_ANI)
 
 
 @query("ani_query", f"""WITH RECURSIVE {_RESULTS} SELECT sample, genome, round(final_ani, 9) AS final_ani, round(final_cov, 9) AS final_cov, lambda_status, median,
@@ -246,14 +253,16 @@ win AS (SELECT sample, h, genome AS winner FROM (
 
 @query("winner_table", f"WITH RECURSIVE {_WINNERS} SELECT sample, h, winner FROM win")
 def winner_table(spark: SparkSession, d: str) -> DataFrame:
-    return ct.winners(_results(spark, d), _sketch(spark, d))
+    sketches = _sketches(spark, d)
+    return ct.winners(_results(spark, d, sketches), sketches[0])
 
 
 @query("reassign_edges", f"""WITH RECURSIVE {_WINNERS} SELECT r.sample, w.winner, s.genome AS loser, count(*) AS n
 FROM sketch s JOIN results r USING (genome) JOIN win w ON w.sample = r.sample AND w.h = s.h WHERE s.used AND w.winner <> s.genome GROUP BY ALL HAVING count(*) > 10""")
 def reassign_edges(spark: SparkSession, d: str) -> DataFrame:
-    results, genomes = _results(spark, d), _sketch(spark, d)
-    return ct.reassigned(results, genomes, ct.winners(results, genomes))
+    sketches = _sketches(spark, d)
+    results = stored(_results(spark, d, sketches).select("sample", "genome", "final_ani"))
+    return ct.reassigned(results, sketches[0], ct.winners(results, sketches[0]))
 
 
 _PROFILE = f"""{_WINNERS},
@@ -268,8 +277,8 @@ kept_rows AS (SELECT n.*, coalesce(l.kmers_lost, 0) AS kmers_lost, z.gn_size FRO
 prof AS (SELECT *, final_cov / sum(final_cov) OVER (PARTITION BY sample) * 100 AS tax, final_cov * gn_size / sum(final_cov * gn_size) OVER (PARTITION BY sample) * 100 AS seqab FROM kept_rows)"""
 
 
-def _profile(spark, d):
-    return ct.profile(_sketch(spark, d), _sample(spark, d), sk.genome_sizes(I.contigs(spark, d)), I.K, MIN_ANI, FLOOR)
+def _profile(spark, d, sketches=None):
+    return ct.profile(*(sketches or _sketches(spark, d)), sk.genome_sizes(I.contigs(spark, d)), I.K, MIN_ANI, FLOOR, keep=stored)
 
 
 @query("profile", f"""WITH RECURSIVE {_PROFILE} SELECT sample, genome, round(tax, 9) AS taxonomic_abundance, round(seqab, 9) AS sequence_abundance, round(final_ani, 9) AS final_ani,
@@ -287,21 +296,23 @@ idm AS (SELECT i.*, mean_read_length, list_reduce(l, lambda a, b: {{'m': CASE WH
 ident AS (SELECT sample, CASE WHEN depth < 3 AND mean_read_length < 400 THEN {0.995 ** I.K!r} ELSE least(more / (more + ones + 0.1), 1) END AS kmer_identity, mean_read_length, ones + more AS total_count FROM idm)"""
 
 
-def _identity(spark, d):
+def _identity(spark, d, sketches):
     lengths = I.reads(spark, d).groupBy("sample").agg(F.avg(F.length("seq")).alias("mean_read_length"))
-    return ct.read_identity(_sample(spark, d), lengths, I.K)
+    return stored(ct.read_identity(sketches[1], lengths, I.K))
 
 
 @query("true_coverage", f"WITH RECURSIVE {_PROFILE}, {_IDENTITY} SELECT sample, genome, round(final_cov / kmer_identity * (mean_read_length / (mean_read_length - {I.K} + 1)), 6) AS true_cov FROM prof JOIN ident USING (sample)")
 def true_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return ct.true_coverage(_profile(spark, d), _identity(spark, d), I.K).select("sample", "genome", F.round("true_cov", 6).alias("true_cov"))
+    sketches = _sketches(spark, d)
+    return ct.true_coverage(_profile(spark, d, sketches), _identity(spark, d, sketches), I.K).select("sample", "genome", F.round("true_cov", 6).alias("true_cov"))
 
 
 @query("explained_bases", f"""WITH RECURSIVE {_PROFILE}, {_IDENTITY}, cv AS (SELECT sample, sum(gn_size * final_cov / kmer_identity * (mean_read_length / (mean_read_length - {I.K} + 1))) AS covered FROM prof JOIN ident USING (sample) GROUP BY sample)
 SELECT sample, round(least(coalesce(covered, 0) / ({I.C} * total_count * (mean_read_length / (mean_read_length - {I.K} + 1))), 1), 6) AS explained FROM ident LEFT JOIN cv USING (sample)""")
 def explained_bases(spark: SparkSession, d: str) -> DataFrame:
-    identity = _identity(spark, d)
-    found = ct.explained_bases(ct.true_coverage(_profile(spark, d), identity, I.K).select("sample", "gn_size", "true_cov"), identity, I.K, I.C, "true_cov")
+    sketches = _sketches(spark, d)
+    identity = _identity(spark, d, sketches)
+    found = ct.explained_bases(ct.true_coverage(_profile(spark, d, sketches), identity, I.K).select("sample", "gn_size", "true_cov"), identity, I.K, I.C, "true_cov")
     return found.select("sample", F.round("explained", 6).alias("explained"))
 
 
@@ -309,8 +320,9 @@ def explained_bases(spark: SparkSession, d: str) -> DataFrame:
 FROM results o LEFT JOIN prof n ON n.sample = o.sample AND n.genome = o.genome""")
 def pass_join(spark: SparkSession, d: str) -> DataFrame:
     """Results of the first pass next to those of the profile."""
-    after = _profile(spark, d).select("sample", "genome", F.col("contained").alias("after"))
-    return _results(spark, d).select("sample", "genome", F.col("contained").alias("before")).join(after, ["sample", "genome"], "left").withColumn("survives", F.col("after").isNotNull())
+    sketches = _sketches(spark, d)
+    after = _profile(spark, d, sketches).select("sample", "genome", F.col("contained").alias("after"))
+    return _results(spark, d, sketches).select("sample", "genome", F.col("contained").alias("before")).join(after, ["sample", "genome"], "left").withColumn("survives", F.col("after").isNotNull())
 
 
 @query("bootstrap_ci")
@@ -338,7 +350,7 @@ f AS (SELECT genome, min(ord) AS ord FROM u GROUP BY genome)"""
 @query("db_merge", f"WITH RECURSIVE {_MERGE} SELECT part, genome, h, used FROM u SEMI JOIN f USING (genome, ord)")
 def db_merge(spark: SparkSession, d: str) -> DataFrame:
     """The English genomes and those of one source, which overlap, in one database."""
-    sketch, docs = _sketch(spark, d), I.table(spark, d, "documents").withColumnRenamed("doc_id", "genome")
+    sketch, docs = stored(_sketch(spark, d)), I.table(spark, d, "documents").withColumnRenamed("doc_id", "genome")
     pick = lambda c: sketch.join(docs.filter(c).select("genome"), "genome", "left_semi")
     return sk.merge_sketches(("english", pick("lang = 'en'")), ("first_source", pick("source = 'src0'")))
 

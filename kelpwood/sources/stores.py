@@ -20,6 +20,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kelpwood-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to shared storage and read back: what is used several times
+    is made once, and a lost executor costs no more than its tasks."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_sketch(sketch: DataFrame, path: str, k: int, c: int, min_spacing: int) -> None:
     """(genome, h, used) in the order of h, with the settings as columns: a reader
     at a coarser c then skips whole row groups by their least hash."""
