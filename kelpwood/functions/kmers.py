@@ -151,15 +151,21 @@ def decode_kmer(key: Column, k: int) -> Column:
 
 def fingerprints(left: Column, right: Column | None = None) -> tuple[Column, Column]:
     """Two fingerprints of a read or pair, null when too short: the 16 even bases
-    from both places, and the 16 odd ones. A single read gives its start and its
-    middle, from 66 bases; a pair the starts of its mates, from 33 bases each."""
+    from both places, and the 16 odd ones, two bits each in a bigint. A single
+    read gives its start and its middle, from 66 bases; a pair the starts of its
+    mates, from 33 bases each."""
+
+    def packed(bases: list[Column]) -> Column:
+        digits = F.regexp_replace(F.translate(F.concat(*bases), "ACGTUacgtu", "0123301233"), "[^0-3]", "0")
+        return F.conv(digits, 4, 10).cast("long")
+
     if right is None:
         enough, second, shift = F.length(left) >= 66, left, F.floor(F.length(left) / 2).cast("int")
     else:
         enough, second, shift = (F.length(left) >= 33) & (F.length(right) >= 33), right, F.lit(0)
     out = []
     for odd in (0, 1):
-        bases = [F.substring(left, F.lit(1 + odd + 2 * i), F.lit(1)) for i in range(16)]
-        bases += [F.substring(second, shift + 1 + odd + 2 * i, F.lit(1)) for i in range(16)]
-        out.append(F.when(enough, F.concat(*bases)))
+        first = [F.substring(left, F.lit(1 + odd + 2 * i), F.lit(1)) for i in range(16)]
+        then = [F.substring(second, shift + 1 + odd + 2 * i, F.lit(1)) for i in range(16)]
+        out.append(F.when(enough, F.shiftleft(packed(first), 32).bitwiseOR(packed(then))))
     return out[0], out[1]

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.kmers import explode_kmers, fingerprints, threshold
 
+#: Places of a read's k-mers, and of both mates' together, in an occurrence's number.
+POSITIONS = 1 << 22
+
 
 def unique_kmers(kmers: DataFrame) -> DataFrame:
     """k-mers (genome, contig, pos, h) whose hash occurs once in their genome."""
@@ -49,13 +52,19 @@ def genome_sizes(contigs: DataFrame, by: tuple[str, ...] = ("genome",)) -> DataF
     return contigs.groupBy(*by).agg(F.sum(F.length("seq")).alias("gn_size"))
 
 
+def _occurrence(mate: Column) -> Column:
+    """Orders occurrences by read, mate and place: a bigint, which aggregates fast.
+    An index of 2^40 reads or more is an overflow, which fails."""
+    return F.col("idx") * (2 * POSITIONS) + mate * POSITIONS + F.col("pos")
+
+
 def read_kmers(reads: DataFrame, k: int = 21, c: int = 20) -> DataFrame:
     """Reads (sample, idx, seq) to occurrences (sample, h, occ, fp0, fp1); occ
     orders them by read and by place in it."""
     fp0, fp1 = fingerprints(F.col("seq"))
     short = F.length("seq") <= 400
     marked = reads.select("sample", "idx", F.when(short, fp0).alias("fp0"), F.when(short, fp1).alias("fp1"), "seq")
-    return explode_kmers(marked, k, c).select("sample", "h", F.struct("idx", F.lit(0).alias("mate"), "pos").alias("occ"), "fp0", "fp1")
+    return explode_kmers(marked, k, c).select("sample", "h", _occurrence(F.lit(0)).alias("occ"), "fp0", "fp1")
 
 
 def pair_kmers(pairs: DataFrame, k: int = 21, c: int = 20) -> DataFrame:
@@ -66,7 +75,7 @@ def pair_kmers(pairs: DataFrame, k: int = 21, c: int = 20) -> DataFrame:
     mates = [explode_kmers(marked.select("sample", "idx", "fp0", "fp1", F.lit(m).alias("mate"), F.col(f"r{m + 1}").alias("seq")), k, c) for m in (0, 1)]
     new = mates[1].join(mates[0].select("sample", "idx", "h").distinct(), ["sample", "idx", "h"], "left_anti")
     both = mates[0].unionByName(new)
-    return both.select("sample", "h", F.struct("idx", "mate", "pos").alias("occ"), "fp0", "fp1")
+    return both.select("sample", "h", _occurrence(F.col("mate")).alias("occ"), "fp0", "fp1")
 
 
 def sample_sketch(occurrences: DataFrame, dedup: bool = True, cap: int | None = None) -> DataFrame:

@@ -64,7 +64,8 @@ def test_fingerprints_need_length(spark):
     rows = df.select(a, b).collect()
     assert rows[0][0] is None and rows[0][1] is None
     s = "ACGT" * 20
-    assert rows[1][0] == s[0:32:2] + s[40:72:2] and rows[1][1] == s[1:32:2] + s[41:73:2]
+    packed = lambda bases: signed(sum(CODE[b] << 2 * (31 - i) for i, b in enumerate(bases)))
+    assert rows[1][0] == packed(s[0:32:2] + s[40:72:2]) and rows[1][1] == packed(s[1:32:2] + s[41:73:2])
 
 
 @pytest.mark.parametrize("cap", [None, 4])
