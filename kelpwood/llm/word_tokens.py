@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 #: Ids of at most so many words and so many runs are kept in a worker; beyond it, it starts anew.
-CACHE_WORDS, CACHE_RUNS = 800_000, 500_000
+CACHE_WORDS, CACHE_RUNS = 500_000, 400_000
 
 #: Characters that the vocabulary's normaliser only lower-cases, one by one.
 _PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
