@@ -262,3 +262,13 @@ def compare_profiles(ref: DataFrame, other: DataFrame, top: int = 25) -> DataFra
     tau = left.join(F.broadcast(right), F.col("a1") < F.col("a2")).agg(F.count_if(F.col("b1") > F.col("b2")).alias("inv"), F.count(F.lit(1)).alias("pairs"))
     tau = tau.select((1 - 2 * F.col("inv") / F.nullif("pairs", F.lit(0))).alias("tau"))
     return counts.join(stats).join(tau)
+
+
+def split_refusal(refs: Column, key: Column, genomes: Column, placed: Column, wanted_key: str, wanted_genomes: int) -> Column:
+    """Why marker_split must not be shown for a view, or "": it holds samples of
+    several references or of an unknown one, or of another catalogue or release
+    than the markers are made for, or there is no taxonomy."""
+    return (
+        F.when(refs > 1, "mixed references").when(refs == 0, "unknown reference").when(key != wanted_key, "other catalogue")
+        .when(genomes != wanted_genomes, "other release").when(~placed, "no taxonomy").otherwise("")
+    )

@@ -212,6 +212,18 @@ def marker_split(spark: SparkSession, d: str) -> DataFrame:
     return split.select("sample", *[_r(f"sum_{k}") for k in POLES], _r("markers"), "lead", _r("gap"), "call")
 
 
+@query("split_refusal", """WITH v AS (SELECT n_name AS view, r_name AS key, count(DISTINCT s_acctbal < 0) AS refs, count(s_suppkey) AS genomes, coalesce(max(s_acctbal) > 5000, false) AS placed
+FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT view, CASE WHEN refs > 1 THEN 'mixed references' WHEN refs = 0 THEN 'unknown reference' WHEN key <> 'ASIA' THEN 'other catalogue' WHEN genomes <> 4 THEN 'other release' WHEN NOT placed THEN 'no taxonomy' ELSE '' END AS refusal FROM v""")
+def split_refusal(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as views whose references are suppliers in credit or in debt."""
+    supplier = I.table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    nation = I.table(spark, d, "nation").join(I.table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    views = nation.join(supplier, "n_nationkey", "left").groupBy(F.col("n_name").alias("view"), F.col("r_name").alias("key")).agg(
+        F.count_distinct(F.col("s_acctbal") < 0).alias("refs"), F.count("s_suppkey").alias("genomes"), F.coalesce(F.max("s_acctbal") > 5000, F.lit(False)).alias("placed"))
+    return views.select("view", ec.split_refusal(F.col("refs"), F.col("key"), F.col("genomes"), F.col("placed"), "ASIA", 4).alias("refusal"))
+
+
 # Two profiles of one table: items that came back, and the others.
 _HALF = """q AS (SELECT l_returnflag = 'R' AS back, l_partkey AS taxon, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
 ref AS (SELECT taxon, v / (SELECT sum(v) FROM q WHERE NOT back) * 100 AS x FROM q WHERE NOT back), red AS (SELECT taxon, v / (SELECT sum(v) FROM q WHERE back) * 100 AS y FROM q WHERE back)"""
