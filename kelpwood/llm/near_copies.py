@@ -1,0 +1,196 @@
+"""Near copies by Jaccard similarity of word shingles: all pairs of at least 0.8, exactly.
+
+The set of a text are its distinct shingles. Sets of similar size are cut by hash
+into the same parts; two sets of Jaccard 0.8 or more differ in at most a ninth of
+their joint size, so at most so many parts differ, and the parts that hold most
+shingles, one more than may differ, are keys of which any such pair has one in
+common. Texts that share a key are compared by their whole sets: first with the
+least of the key, which ties large groups together in a number of pairs that is
+linear in their size, then across the components that are left.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import fresh, map_arrow, shared_folder, stored, whole_text
+
+SHINGLE = 5
+#: Texts whose sets or keys a worker hands on at once.
+CHUNK_TEXTS = 256
+#: Keys that a task sorts, about.
+TASK_KEYS = 250_000
+
+
+def shingle_set(text: str, shingle: int = SHINGLE):
+    """Ascending XXH64 of the distinct shingles: A-Z lower-cased, words between white
+    space; a text with fewer words, or none, is one shingle."""
+    import numpy as np
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-shingle]])
+    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())], np.uint64))
+
+
+def size_groups(most: int) -> list[int]:
+    """The least size of each group; sets of 0.8 or more are in one group or in adjacent ones."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 5 // 4 + 1)
+    return out
+
+
+def set_keys(hashes):
+    """Keys of an ascending set: any other with Jaccard >= 0.8 has one of them."""
+    import bisect
+
+    import numpy as np
+
+    n = len(hashes)
+    bounds = size_groups(n * 2 + 8)
+    group = bisect.bisect_right(bounds, n) - 1
+    out = []
+    for k in (group, group + 1):  # its own cut, and that of the next larger sets
+        parts = (2 * bounds[k] + 4) // 5 + 2
+        may_differ = (n + min(n * 5 // 4, bounds[k + 1] - 1)) // 9
+        part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.append(first, n))
+        key = _mixed(np.add.reduceat(_mixed(hashes), first) + np.uint64(k + 1))
+        out.append(key[np.lexsort((key, -size))[: may_differ + 1]])
+        if len(first) <= may_differ:  # all common parts may be empty: single shingles
+            out.append(_mixed(hashes[: may_differ + 1] + np.uint64(1 << 20)))
+    return np.unique(np.concatenate(out))
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keyed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, node, text) to (doc_id, node, size, parity, keys). Parities of the
+    set's hashes modulo 64: two sets differ in at least as many shingles as these bits."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .near_copies import CHUNK_TEXTS, set_keys, shingle_set
+
+        for batch in (b.slice(at, CHUNK_TEXTS) for b in batches for at in range(0, b.num_rows, CHUNK_TEXTS)):
+            sizes, parities, keys = [], [], []
+            for text in batch.column(2):
+                found = shingle_set(text.as_py(), shingle)
+                sizes.append(len(found))
+                parities.append(np.bitwise_xor.reduce(np.uint64(1) << (found & np.uint64(63))))
+                keys.append(set_keys(found))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(parities, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
+                names=["doc_id", "node", "size", "parity", "keys"],
+            )
+
+    return map_arrow(rows, run, "doc_id long, node long, size long, parity long, keys array<long>")
+
+
+def sets_of(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, text) to (node, hashes): whole sets."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .near_copies import CHUNK_TEXTS, shingle_set
+
+        for batch in (b.slice(at, CHUNK_TEXTS) for b in batches for at in range(0, b.num_rows, CHUNK_TEXTS)):
+            found = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return map_arrow(rows, run, "node long, hashes array<long>")
+
+
+def _possible(size_a, size_b, parity_a, parity_b):
+    """Neither sizes nor parities rule out Jaccard >= 0.8."""
+    return (5 * size_a >= 4 * size_b) & (5 * size_b >= 4 * size_a) & (9 * F.bit_count(parity_a.bitwiseXOR(parity_b)) <= size_a + size_b)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id) for every row of docs.
+
+    component_id: the smallest doc_id that can be reached over pairs of texts
+    whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Defined results: null and empty texts, and texts without words, are equal;
+    repeated rows give repeated rows; null ids are larger than any other id; an
+    empty table gives an empty one.
+    """
+    folder = shared_folder(docs.sparkSession)
+    text = whole_text(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = stored(keyed(source, shingle), f"{folder}/keyed")
+    info = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("parity").alias("parity")), f"{folder}/info")
+    of_key = Window.partitionBy("key")
+    tasks = (rows.agg(F.sum(F.size("keys"))).first()[0] or 0) // TASK_KEYS + 1
+    met = rows.select("node", F.explode("keys").alias("key")).repartition(tasks, "key").withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)})
+    met = stored(met.filter("low <> high").select("key", "node", "low"), f"{folder}/met")
+    facts = info.select("node", "size", "parity")
+
+    def side(name: str) -> DataFrame:
+        return facts.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("parity").alias(f"parity_{name}"))
+
+    possible = _possible(F.col("size_a"), F.col("size_b"), F.col("parity_a"), F.col("parity_b"))
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar."""
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = stored(sets_of(source.select("node", "text").join(asked, "node", "left_semi"), shingle).dropDuplicates(["node"]), f"{folder}/sets_{name}")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return stored(both.filter(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), f"{folder}/edges_{name}")
+
+    stars = met.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stored(stars.join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b"), f"{folder}/stars")
+    edges = similar(stars, "stars")
+    # Pairs within a component need no comparison any more; the rest is compared in full.
+    tied = components(edges)
+    part = met.join(tied, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+    part = part.withColumns({"low": F.min("part").over(of_key), "high": F.max("part").over(of_key)}).filter("low <> high")
+    part = stored(part.select("key", "node", "part").join(facts, "node"), f"{folder}/apart")
+    a = part.select("key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
+    b = part.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
+    across = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & possible).select("a", "b").distinct()
+    across = stored(across.join(stars, ["a", "b"], "left_anti"), f"{folder}/across")
+    if not across.isEmpty():
+        more = similar(across, "across")
+        if not more.isEmpty():
+            tied = components(edges.unionByName(more))
+    least = info.select("node", "least")
+    known = tied.join(least, "node")
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = known.join(ids, "root").select("node", "component_id", F.lit(True).alias("linked"))
+    labelled = stored(least.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), f"{folder}/labelled")
+    return rows.select("doc_id", "node").join(labelled, "node").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component stays: the one with the smallest id."""
+    keep, mine = fresh("keep_", docs.columns), fresh("mine_", docs.columns)
+    found = near_copies(docs, id_col, text_col, shingle)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
+    mine_docs = docs.withColumn(mine, F.col(id_col).cast("long"))
+    return mine_docs.join(kept, F.col(mine).eqNullSafe(F.col(keep)), "left_semi").select(*docs.columns)
