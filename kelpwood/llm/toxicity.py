@@ -4,8 +4,8 @@ A text's features are the presence of its words, word pairs and pairs with one
 word between them, hashed to 2^bits coordinates. Each shard of a bounded sample
 of labelled texts is learned in a task by FTRL-proximal, with a rate for each
 coordinate; L1 keeps most weights at zero. Shards are averaged by a grouped sum
-over coordinates, and the few weights left are broadcast. Coordinates of very few or
-very many of a shard's texts don't enter its model.
+over coordinates, and the few weights left are broadcast. Coordinates of very few of
+a shard's texts don't enter its model; those of many do, whatever their share.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ BIAS = 0
 SAMPLE_TEXTS = 48_000
 #: Texts of a shard, about: enough to meet rare words, few enough for one task.
 SHARD_TEXTS = 12_000
-#: A coordinate enters a shard's model if at least so many of its texts have it, and at most this share.
-LEAST_TEXTS, MOST_SHARE = 4, 0.1
+#: A coordinate enters a shard's model if at least so many of its texts have it.
+LEAST_TEXTS = 4
 
 
 def features(data, offsets, bits: int = BITS):
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         import numpy as np
         import pyarrow as pa
 
-        from .toxicity import BIAS, LEAST_TEXTS, MOST_SHARE, Ftrl, text_features
+        from .toxicity import BIAS, LEAST_TEXTS, Ftrl, text_features
 
         seen: dict[int, list] = {}
         for batch in batches:
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             with_it = np.zeros(1 << bits, np.int64)
             for at, _ in texts:
                 with_it[at] += 1
-            enter = (with_it >= LEAST_TEXTS) & (with_it <= MOST_SHARE * len(texts))
+            enter = with_it >= LEAST_TEXTS
             enter[BIAS] = True
             texts = [(at[enter[at]], label) for at, label in texts]
             model = Ftrl(bits)
