@@ -11,6 +11,9 @@ from ..functions.names import is_missing
 UNSUITABLE_STRATEGY = {"AMPLICON": "amplicon", "RNA-SEQ": "transcripts", "WXS": "exome capture", "TARGETED-CAPTURE": "panel capture", "BISULFITE-SEQ": "bisulfite", "HI-C": "contacts", "CHIP-SEQ": "bound regions", "ATAC-SEQ": "open chromatin"}
 UNSUITABLE_SOURCE = {"METATRANSCRIPTOMIC": "transcripts", "TRANSCRIPTOMIC": "transcripts"}
 
+#: Points of a block of time, about, over all users.
+BLOCK_ROWS = 200_000
+
 
 def library_warning(strategy: Column, source: Column) -> Column:
     """Why a library won't profile well, or "" if nothing is known against it."""
@@ -77,21 +80,51 @@ def field_facts(rows: DataFrame, fields: list[str]) -> DataFrame:
     return sums.select("field", "filled", "n_values", F.when((F.col("n_values") == 1) & (F.col("filled") == F.col("n")), F.col("least")).alias("value"))
 
 
+def _in_blocks(points: DataFrame, least_us: int = 1) -> tuple[DataFrame, int, int]:
+    """Points with the number of their block of time, the first instant and a block's length
+    (least_us or more): about BLOCK_ROWS points of all users in each. Points without a time come first."""
+    seen = points.agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("us").alias("n")).first()
+    lo, hi = seen["lo"] or 0, seen["hi"] or 0
+    length = max(least_us, (hi - lo) // (seen["n"] // BLOCK_ROWS + 1) + 1)
+    return points.withColumn("block", F.coalesce(F.expr(f"(us - {lo}L) div {length}L"), F.lit(-1))), lo, length
+
+
 def trailing_rate(points: DataFrame, by: str, seconds: float, least_span: float = 0.25) -> DataFrame:
     """Points (id, us, amount) with the rate of what came within the last ``seconds``;
-    null while they span no more than least_span seconds."""
-    so_far = Window.partitionBy(by).orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = points.withColumn("total", F.sum("amount").over(so_far))
-    recent = Window.partitionBy(by).orderBy("us").rangeBetween(-int(seconds * 1_000_000), 0)
-    span = (F.col("us") - F.min("us").over(recent)) / 1_000_000
-    return rows.select("id", F.when(span > least_span, (F.col("total") - F.min("total").over(recent)) / span).alias("rate"))
+    null while they span no more than least_span seconds.
+
+    Running sums are taken in blocks of time, from the sum of the blocks before; a
+    block also gets the points of the one before that its first ones look back to."""
+    reach = int(seconds * 1_000_000)
+    rows, lo, length = _in_blocks(points, reach + 1)
+    earlier = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(by, "block").agg(F.sum("amount").alias("own")).select(F.col(by).alias("of"), F.col("block").alias("at"), F.sum("own").over(earlier).alias("before"))
+    so_far = Window.partitionBy(by, "block").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("within", F.sum("amount").over(so_far)).join(before, F.col(by).eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    rows = rows.withColumn("total", F.coalesce(F.col("before") + F.col("within"), "within", "before"))
+    seen_next = (F.col("block") >= 0) & (F.col("us") >= F.lit(lo) + (F.col("block") + 1) * length - reach)
+    rows = rows.select(by, "id", "us", "total", "block", F.explode(F.when(seen_next, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("later"))
+    recent = Window.partitionBy(by, "block").orderBy("us").rangeBetween(-reach, 0)
+    rows = rows.withColumn("block", F.col("block") + F.col("later"))
+    rows = rows.withColumns({"span": (F.col("us") - F.min("us").over(recent)) / 1_000_000, "gained": F.col("total") - F.min("total").over(recent)}).filter("later = 0")
+    return rows.select("id", F.when(F.col("span") > least_span, F.col("gained") / F.col("span")).alias("rate"))
 
 
 def smoothed(points: DataFrame, by: str, keep: float = 0.8) -> DataFrame:
-    """The last exponentially smoothed amount of each ``by``, in the order of (us, id)."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("us", "id", "amount"))), lambda x: x["amount"])
-    fold = F.aggregate(F.slice("l", 2, 1 << 30), F.col("l")[0], lambda a, x: a * keep + x * (1 - keep))
-    return points.groupBy(by).agg(ordered.alias("l")).select(by, fold.alias("smoothed"))
+    """The last exponentially smoothed amount of each ``by``, in the order of (us, id).
+
+    A grouped sum: an amount weighs (1 - keep) * keep^k with k amounts after it, the
+    first one keep^k. k is counted in blocks of time, then in the block."""
+    rows, _, _ = _in_blocks(points)
+    counts = rows.groupBy(by, "block").agg(F.count(F.lit(1)).alias("n"))
+    later = Window.partitionBy(by).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(by).alias("of"), F.col("block").alias("at"), "n", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later"), F.sum("n").over(first).isNull().alias("starts"))
+    rank = F.row_number().over(Window.partitionBy(by, "block").orderBy(F.desc("us"), F.desc("id"), F.desc("amount")))
+    rows = rows.withColumn("rank", rank).join(counts, F.col(by).eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    weight = F.pow(F.lit(keep), F.col("later") + F.col("rank") - 1) * F.when(F.col("starts") & (F.col("rank") == F.col("n")), 1.0).otherwise(1 - keep)
+    total = F.when(F.count("amount") == F.count(F.lit(1)), F.sum(F.col("amount") * weight))
+    return rows.groupBy(by).agg(total.alias("smoothed"))
 
 
 def pair_up(files: DataFrame) -> DataFrame:
