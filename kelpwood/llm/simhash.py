@@ -27,45 +27,53 @@ from .components import components
 from .shared import fresh, map_arrow, shared_folder, stored, whole_text
 
 #: Leaves that a worker joins at once (whole tries, so a trie may be larger).
-CHUNK_LEAVES = 200_000
+CHUNK_LEAVES = 100_000
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAF_PAIRS = 64
 #: Node pairs that a worker expands at once.
-CHUNK_PAIRS = 400_000
-#: Blocks of bits: with a budget of 4, 15 views of 21 bits or more.
+CHUNK_PAIRS = 60_000
+#: Blocks of bits: with a budget of 4, 15 views of 20 bits or more.
 BLOCKS = 6
 #: Shingle hashes whose bits are counted at once.
 CHUNK_HASHES = 1 << 16
 
 
-def text_fingerprint(text: str, shingle: int = 4) -> int:
-    """64-bit SimHash of a text: A-Z lower-cased, words between white space,
-    shingles with repeats, XXH64 with seed 42; a bit is set if more than half
-    of the hashes have it. No words give zero."""
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of the shingles of a text, with repeats: A-Z lower-cased,
+    words between white space. Fewer words are one shingle; no words give none."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[:-shingle]])
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())]
+        return [digest(joined, 42)] if words else []
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-shingle]])
+    return [digest(joined[s:e], 42) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())]
+
+
+def majority(hashes) -> int:
+    """The bits that over half of the hashes (uint64) have."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
-    values = np.array(hashes, ">u8")
+    values = hashes.astype(">u8")
     for at in range(0, len(values), CHUNK_HASHES):
         part = values[at : at + CHUNK_HASHES]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(values)).tobytes(), "big")
 
 
+def text_fingerprint(text: str, shingle: int = 4) -> int:
+    """64-bit SimHash of a text; no words give zero."""
+    import numpy as np
+
+    return majority(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): a fingerprint as a signed bigint for each row."""
+    """(doc_id, node, fp) for each row: a hash of its text, and its fingerprint as a signed bigint."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -74,25 +82,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from .simhash import text_fingerprint
 
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fps = np.fromiter((text_fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "node", "fp"])
+
+    return map_arrow(with_node(docs, id_col, text_col), run, "doc_id long, node long, fp long")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, fp long")
 
+def with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, text): node is a 64-bit hash of the text."""
+    text = whole_text(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
-def _merge(labels, a, b) -> None:
-    """Give the components of a[i] and b[i] one label, the smaller index."""
+
+def _merge(labels, a, b, bits) -> list:
+    """Give the components of a[i] and b[i] one label, the smaller index. Returns
+    (a, b) of the pairs that did so, the ones of fewest bits: a forest."""
     import numpy as np
 
+    used = []
     while True:
         la, lb = labels[a], labels[b]
         apart = la != lb
         if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+            return used
+        a, b, la, lb, bits = a[apart], b[apart], la[apart], lb[apart], bits[apart]
+        high = np.maximum(la, lb)
+        order = np.lexsort((bits, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        used.append((a[first], b[first]))
+        labels[high[first]] = np.minimum(la, lb)[first]
         while True:
             up = labels[labels]
             if (up == labels).all():
@@ -100,20 +119,42 @@ def _merge(labels, a, b) -> None:
             labels[:] = up
 
 
-def trie_components(fp, roots, budget: int = 4):
-    """Labels of leaves linked through the tries.
+def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=None):
+    """Links of leaves through the tries: (labels, a, b).
 
     fp: uint64 fingerprints; roots: rows (a_lo, a_hi, b_lo, b_hi) of node pairs
     to traverse, ranges of fp in which it ascends; a range with itself for a
-    self-join. Returns for each leaf the smallest index in its component.
+    self-join. Leaves within ``budget`` bits are linked; with ``words`` (a row
+    of uint64 for each leaf) only if these differ in ``word_budget`` bits at
+    most, all words together.
+
+    Without ``parts``, a and b are a forest that connects all linked leaves, and
+    labels the smallest index in each leaf's component. With parts (a number for
+    each leaf), a and b are all links between leaves of different parts.
     """
     import numpy as np
 
     n = len(fp)
-    labels = np.arange(n)
-    # Neighbours in order are often links; known components prune whole node pairs.
-    close = np.flatnonzero(np.bitwise_count(fp[1:] ^ fp[:-1]) <= budget)
-    _merge(labels, close, close + 1)
+    labels = np.arange(n) if parts is None else parts
+    found: list = []
+
+    def compare(i, j):
+        bits = np.bitwise_count(fp[i] ^ fp[j])
+        near = np.flatnonzero((bits <= budget) & (labels[i] != labels[j]))
+        i, j, bits = i[near], j[near], bits[near].astype(np.int64)
+        if words is not None and len(i):
+            bits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+            near = bits <= word_budget
+            i, j, bits = i[near], j[near], bits[near]
+        if len(i):
+            found.extend([(i, j)] if parts is not None else _merge(labels, i, j, bits))
+
+    if parts is None:  # neighbours in order are often links; known components prune whole node pairs
+        lo, hi = np.zeros(n, bool), np.zeros(n, bool)
+        lo[roots[:, 0]] = hi[roots[:, 1] - 1] = True
+        lo[roots[:, 2]] = hi[roots[:, 3] - 1] = True
+        inner = np.flatnonzero(~hi[:-1] & ~lo[1:])
+        compare(inner, inner + 1)
     ones: dict[int, np.ndarray] = {}
 
     def one_bits(depth: int):
@@ -140,8 +181,8 @@ def trie_components(fp, roots, budget: int = 4):
             step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             i = np.repeat(lo, counts) + step // np.repeat(width, counts)
             j = np.repeat(other, counts) + step % np.repeat(width, counts)
-            linked = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-            _merge(labels, i[linked], j[linked])
+            up = i < j  # a range with itself has each pair twice
+            compare(i[up], j[up])
         pairs, errors = pairs[~small], errors[~small]
         if not len(pairs):
             continue
@@ -159,89 +200,109 @@ def trie_components(fp, roots, budget: int = 4):
             keep = (nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (errs <= budget)
             if keep.any():
                 stack.append((depth + 1, nodes[keep], errs[keep]))
-    return labels
+    a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return labels, a, b
+
+
+def trie_components(fp, roots, budget: int = 4):
+    """For each leaf the smallest index in its component."""
+    import numpy as np
+
+    return trie_links(fp, np.asarray(roots, np.int64).reshape(-1, 4), budget)[0]
 
 
-def _views(blocks: int, budget: int) -> list[int]:
-    """The masks of all choices of blocks - budget out of ``blocks`` blocks."""
+def _views(blocks: int, agree: int) -> list[int]:
+    """The masks of all choices of ``agree`` out of ``blocks`` blocks."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     parts = [((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in range(blocks)]
-    return [sum(c) for c in itertools.combinations(parts, blocks - budget)]
+    return [sum(c) for c in itertools.combinations(parts, agree)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def similar_edges(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
-    """Distinct fingerprints (fp long) to edges (a, b) that connect all pairs
-    within ``budget`` bits; a tree for each component of a trie, not all pairs.
+def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budget: int | None = None, part: str | None = None, hot_leaves: int = 100_000) -> DataFrame:
+    """Leaves (node: long, words: array<long>, and ``part``) to links (a, b) of nodes.
 
-    Any number of blocks above the budget gives the same links: more of them
-    make more and smaller tries.
+    Each word has a trie for each choice (view) of ``agree`` out of ``blocks``
+    blocks of bits and each value of these bits. Leaves of a trie are linked if
+    the word differs in ``budget`` bits at most, and all words together in
+    ``word_budget``. Without ``part``, links are a forest of each trie, not all
+    pairs; with it, all links between different parts.
     """
-    if blocks <= budget:
-        raise ValueError("there must be more blocks than differing bits")
-    masks = _views(blocks, budget)
-    view = F.explode(F.array(*[F.struct(F.lit(k).alias("view"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)]))
-    leaves = fps.select("fp", view.alias("v")).select("fp", "v.view", "v.bits")
-    # Hot tries: subtries by a hash-free prefix of the bits that the view leaves open, as pairs within the budget.
-    hot = leaves.groupBy("view", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_leaves)
-    hot = stored(hot, f"{shared_folder(fps.sparkSession)}/hot")
+    masks = _views(blocks, agree)
+    n_words = leaves.select(F.max(F.size("words"))).first()[0] or 0
+    if not n_words:
+        return leaves.sparkSession.createDataFrame([], "a long, b long")
+    view = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("view"), F.col("words")[w].bitwiseAND(F.lit(_signed(m))).alias("bits")) for w in range(n_words) for k, m in enumerate(masks)]))
+    held = ["node", "words", *([part] if part else [])]
+    leaves = leaves.select(*held, view.alias("v")).select(*held, "v.word", "v.view", "v.bits")
     whole = F.lit(0)
+    # Hot tries: subtries by a prefix of the bits that the view leaves open, as pairs within the budget.
+    hot = leaves.groupBy("word", "view", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_leaves)
+    hot = stored(hot, f"{shared_folder(leaves.sparkSession)}/hot")
     if hot.isEmpty():
-        tasks = leaves.select("view", "bits", whole.alias("i"), whole.alias("j"), whole.alias("side"), "fp")
+        tasks = leaves.withColumns({"i": whole, "j": whole, "side": whole})
     else:
         most = hot.agg(F.max("n")).first()[0]
         bits = max(1, min(12, (most // hot_leaves).bit_length()))
         free = [[b for b in range(63, -1, -1) if not m >> b & 1][:bits] for m in masks]
+        own = F.element_at("words", F.col("word") + 1)
         prefix = F.lit(0)
         for k, at in enumerate(free):
             value = F.lit(0)
             for b in at:
-                value = value * 2 + F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)).cast("int")
+                value = value * 2 + F.shiftrightunsigned(own, b).bitwiseAND(F.lit(1)).cast("int")
             prefix = F.when(F.col("view") == k, value).otherwise(prefix)
         near = [x for x in range(1 << bits) if x.bit_count() <= budget]
-        marked = leaves.join(hot.select("view", "bits", F.lit(True).alias("is_hot")), ["view", "bits"], "left")
+        marked = leaves.join(hot.select("word", "view", "bits", F.lit(True).alias("is_hot")), ["word", "view", "bits"], "left")
         marked = marked.withColumn("p", prefix).withColumn("x", F.explode(F.when(F.col("is_hot"), F.array(*map(F.lit, near))).otherwise(F.array(F.lit(-1)))))
         cold, other = F.col("x") < 0, F.col("p").bitwiseXOR(F.col("x"))
-        tasks = marked.select(
-            "view", "bits",
-            F.when(cold, -1).otherwise(F.least("p", other)).alias("i"), F.when(cold, -1).otherwise(F.greatest("p", other)).alias("j"),
-            F.when(cold | (F.col("x") == 0), 0).when(F.col("p") < other, 1).otherwise(2).alias("side"), "fp",
-        )
+        tasks = marked.withColumns({
+            "i": F.when(cold, -1).otherwise(F.least("p", other)), "j": F.when(cold, -1).otherwise(F.greatest("p", other)),
+            "side": F.when(cold | (F.col("x") == 0), 0).when(F.col("p") < other, 1).otherwise(2),
+        })
+    # Tries that share a number are traversed as one, which changes no link.
+    tasks = tasks.select(F.xxhash64("word", "view", "bits", "i", "j").alias("trie"), "side", "word", *held)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .simhash import CHUNK_LEAVES, trie_components
+        from .simhash import CHUNK_LEAVES, trie_links
 
         def join(cols: list) -> pa.RecordBatch:
-            *task, side, fp = cols
-            new = np.ones(len(fp), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in task], axis=0)
-            group, fp = np.cumsum(new) - 1, fp.view(np.uint64)
-            order = np.lexsort((fp, side, group))
-            group, side, fp = group[order], side[order], fp[order]
-            lo = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            trie, side, word, node, words, *parts = cols
+            fp = words[np.arange(len(word)), word]
+            order = np.lexsort((fp, side, trie))
+            trie, side, node, words, fp = trie[order], side[order], node[order], words[order], fp[order]
+            lo = np.flatnonzero(np.concatenate([[True], trie[1:] != trie[:-1]]))
             hi = np.append(lo[1:], len(fp))
-            mid = lo + np.bincount(group, weights=side < 2, minlength=len(lo)).astype(np.int64)
+            mid = lo + np.add.reduceat((side < 2).astype(np.int64), lo)
             alone = side[lo] == 0
             roots = np.concatenate([np.stack([lo, hi, lo, hi], 1)[alone], np.stack([lo, mid, mid, hi], 1)[~alone & (lo < mid) & (mid < hi)]])
-            labels = trie_components(fp, roots, budget)
-            tied = np.flatnonzero(labels != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[tied].view(np.int64)), pa.array(fp[labels[tied]].view(np.int64))], names=["a", "b"])
+            wide = (words, word_budget) if word_budget is not None else (None, 0)
+            _, a, b = trie_links(fp, roots, budget, *wide, parts[0][order] if parts else None)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        def columns(batch) -> list:
+            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)]
+            words = batch.column(4)
+            words = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(words), -1)
+            return [*flat, words, *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, batch.num_columns))]
 
         held: list = []
         rows = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
+            if not batch.num_rows:
+                continue
+            held.append(columns(batch))
             rows += batch.num_rows
             if rows < CHUNK_LEAVES:
                 continue
             cols = [np.concatenate(c) for c in zip(*held)]
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))
+            new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
             if len(new):
                 cut = new[-1] + 1
                 yield join([c[:cut] for c in cols])
@@ -251,8 +312,38 @@ def similar_edges(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, hot_lea
         if rows:
             yield join([np.concatenate(c) for c in zip(*held)])
 
-    dealt = tasks.repartition("view", "bits", "i", "j").sortWithinPartitions("view", "bits", "i", "j")
-    return map_arrow(dealt, run, "a long, b long")
+    return map_arrow(tasks.repartition("trie").sortWithinPartitions("trie"), run, "a long, b long")
+
+
+def similar_edges(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
+    """Distinct fingerprints (fp long) to links (a, b) that connect all pairs
+    within ``budget`` bits; a forest of each trie, not all pairs.
+
+    Any number of blocks above the budget gives the same components: more of
+    them make more and smaller tries.
+    """
+    if blocks <= budget:
+        raise ValueError("there must be more blocks than differing bits")
+    return trie_join(fps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), budget, blocks, blocks - budget, hot_leaves=hot_leaves)
+
+
+def component_ids(members: DataFrame, tied: DataFrame, key: str) -> DataFrame:
+    """(key, root, component_id) for all members (key, least): the smallest ``least``
+    of each component in ``tied`` (node, root); a member that is not tied is its own."""
+    known = tied.withColumnRenamed("node", key).join(members, key)
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = known.join(ids, "root").select(key, F.col("root").alias("tied_root"), "component_id")
+    all_of = members.join(linked, key, "left")
+    return all_of.select(key, F.coalesce("tied_root", key).alias("root"), F.when(F.col("tied_root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int, blocks: int, hot_leaves: int) -> DataFrame:
+    folder = shared_folder(docs.sparkSession)
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), f"{folder}/fingerprints")
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
+    edges = stored(similar_edges(fps.select("fp"), budget, blocks, hot_leaves), f"{folder}/edges")
+    labelled = stored(component_ids(fps, components(edges), "fp"), f"{folder}/labelled")
+    return rows.join(labelled, "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
@@ -268,21 +359,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id; an empty table gives an empty one; other columns of docs
     don't matter.
     """
-    folder = shared_folder(docs.sparkSession)
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), f"{folder}/fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
-    edges = stored(similar_edges(fps.select("fp"), budget, blocks, hot_leaves), f"{folder}/edges")
-    roots = components(edges).withColumnRenamed("node", "fp").join(fps, "fp")
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(ids, "root").select("fp", "component_id", F.lit(True).alias("linked"))
-    labelled = stored(fps.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), f"{folder}/labelled")
-    return rows.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component stays: the one with the smallest id."""
-    keep, mine = fresh("keep_", docs.columns), fresh("mine_", docs.columns)
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
-    mine_docs = docs.withColumn(mine, F.col(id_col).cast("long"))
-    return mine_docs.join(kept, F.col(mine).eqNullSafe(F.col(keep)), "left_semi").select(*docs.columns)
+    found = _found(docs, id_col, text_col, shingle, budget, blocks, hot_leaves)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
+    """One document of each component stays, with the columns of docs: see keep_first."""
+    return keep_first(docs, _found(docs, id_col, text_col, shingle, budget, blocks, hot_leaves), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component (rows doc_id, node, root) the document with the smallest id
+    stays; of several texts with this id, or without any id, the one with the least
+    hash. Rows with equal id and text are one document, and stay or go together."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
+    keep, keep_node, mine, node = (fresh(x, docs.columns) for x in ("keep_", "keepnode_", "mine_", "node_"))
+    kept = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(keep), F.col("first.node").alias(keep_node))
+    marked = docs.withColumns({mine: F.col(id_col).cast("long"), node: F.xxhash64(whole_text(text_col))})
+    return marked.join(kept, F.col(mine).eqNullSafe(F.col(keep)) & (F.col(node) == F.col(keep_node)), "left_semi").select(*docs.columns)

@@ -1,15 +1,17 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-A text's features are the presence of its words, word pairs and pairs with one
-word between them, hashed to 2^bits coordinates. Each shard of a bounded sample
-of labelled texts is learned in a task by FTRL-proximal, with a rate for each
-coordinate; L1 keeps most weights at zero. Shards are averaged by a grouped sum
-over coordinates, and the few weights left are broadcast. Coordinates of very few of
-a shard's texts don't enter its model; those of many do, whatever their share.
+A text's features are the presence of its words, of long words' beginnings (which
+inflected words share), word pairs and pairs with one word between them, hashed
+to 2^bits coordinates. Each shard of a bounded sample of labelled texts is learned
+in a task of its own by FTRL-proximal, with a rate for each coordinate; L1 keeps
+most weights at zero. Shards are averaged by a grouped sum over coordinates, and
+the few weights left are broadcast. Coordinates of fewer than ``least_texts`` of a
+shard's texts don't enter its model; those of many do, whatever their share.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,14 +24,16 @@ BITS = 20
 BIAS = 0
 #: Labelled texts that a model is fitted on, at most about so many.
 SAMPLE_TEXTS = 48_000
-#: Texts of a shard, about: enough to meet rare words, few enough for one task.
-SHARD_TEXTS = 12_000
+#: Texts and bytes of text of a shard, about: enough to meet rare words, few enough for one task.
+SHARD_TEXTS, SHARD_BYTES = 8_000, 24 << 20
 #: A coordinate enters a shard's model if at least so many of its texts have it.
 LEAST_TEXTS = 4
+#: Words longer than so many bytes also count by their first so many.
+BEGINNINGS = (5, 6, 7, 8)
 
 
 def features(data, offsets, bits: int = BITS):
-    """(row, coordinate) of each n-gram and skip-gram of a block, with repeats."""
+    """(row, coordinate) of each word, beginning, pair and skip-gram of a block, with repeats."""
     import numpy as np
 
     from . import bytes_text as B
@@ -38,6 +42,10 @@ def features(data, offsets, bits: int = BITS):
     row, start, end = B.spans(low, offsets, B.WORD_BYTE)
     h = B.range_hashes(low, start, end)
     rows, hashes = [row], [h]
+    for k in BEGINNINGS:
+        longer = end - start > k
+        rows.append(row[longer])
+        hashes.append(B.mixed(B.range_hashes(low, start[longer], start[longer] + k) + np.uint64(k)))
     for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
         if len(h) > gap:
             near = row[:-gap] == row[gap:]
@@ -84,7 +92,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sample: int = SAMPLE_TEXTS, epochs: int = 4) -> tuple[list[int], list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sample: int = SAMPLE_TEXTS, epochs: int = 4, least_texts: int = LEAST_TEXTS) -> tuple[list[int], list[float]]:
     """(coordinates, weights) that are not zero. Without labelled texts there are none.
 
     The sample of ``sample`` texts bounds the rows that are learned from, the
@@ -92,43 +100,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """
     folder = shared_folder(docs.sparkSession)
     rows = stored(labelled_texts(docs, labels, label, sample, id_col, text_col), f"{folder}/sample")
-    total = rows.count()
+    total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     if not total:
         return [], []
-    shards = max(1, round(total / SHARD_TEXTS))
-    shard = F.pmod(F.xxhash64(F.col("id")), F.lit(shards))
-    dealt = rows.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("id", "text"), "text")
+    shards = max(1, round(total / SHARD_TEXTS), math.ceil(size / SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int")
+    dealt = rows.repartitionById(shards, shard).sortWithinPartitions(F.xxhash64("id", "text"), "text")
 
     def learn(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .toxicity import BIAS, LEAST_TEXTS, Ftrl, text_features
+        from .toxicity import BIAS, Ftrl, text_features
 
-        seen: dict[int, list] = {}
+        found: list = []
+        labels: list[int] = []
+        with_it = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            for text, label, shard in zip(*(batch.column(c) for c in ("text", "label", "shard"))):
-                seen.setdefault(shard.as_py(), []).append((text_features(text.as_py(), bits).astype(np.int32), label.as_py()))
-        for texts in seen.values():
-            with_it = np.zeros(1 << bits, np.int64)
-            for at, _ in texts:
-                with_it[at] += 1
-            enter = with_it >= LEAST_TEXTS
-            enter[BIAS] = True
-            texts = [(at[enter[at]], label) for at, label in texts]
-            model = Ftrl(bits)
-            order = np.random.default_rng(7)
-            for _ in range(epochs):
-                for i in order.permutation(len(texts)).tolist():
-                    model.learn(*texts[i])
-            at = np.flatnonzero(model.n)
-            w = model.weights(at)
-            at, w = at[w != 0], w[w != 0]
-            if not len(at):
-                at, w = np.array([BIAS]), np.array([0.0])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w), pa.array(np.full(len(at), len(texts), np.int64))], names=["at", "w", "n"])
-
-    parts = stored(map_arrow(dealt, learn, "at long, w double, n long"), f"{folder}/weights")
+            for text, label in zip(batch.column("text"), batch.column("label")):
+                found.append(text_features(text.as_py(), bits).astype(np.int32))
+                with_it[found[-1]] += 1
+                labels.append(label.as_py())
+        if not found:
+            return
+        enter = with_it >= least_texts
+        enter[BIAS] = True
+        for i, at in enumerate(found):
+            found[i] = at[enter[at]]
+        model = Ftrl(bits)
+        order = np.random.default_rng(7)
+        for _ in range(epochs):
+            for i in order.permutation(len(found)).tolist():
+                model.learn(found[i], labels[i])
+        at = np.flatnonzero(model.n)
+        w = model.weights(at)
+        at, w = at[w != 0], w[w != 0]
+        if not len(at):
+            at, w = np.array([BIAS]), np.array([0.0])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w), pa.array(np.full(len(at), len(found), np.int64))], names=["at", "w", "n"])
+
+    parts = stored(map_arrow(dealt.select("text", "label"), learn, "at long, w double, n long"), f"{folder}/weights")
     mean = parts.groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / total).alias("w")).filter("w <> 0").collect()
     mean.sort()
     return [r["at"] for r in mean], [r["w"] for r in mean]
