@@ -32,6 +32,8 @@ CHUNK_LEAVES = 100_000
 LEAF_PAIRS = 64
 #: Node pairs that a worker expands at once.
 CHUNK_PAIRS = 60_000
+#: Leaf pairs that a worker compares at once, beyond those of one node pair.
+CHUNK_COMPARED = 1 << 20
 #: Blocks of bits: with a budget of 4, 15 views of 20 bits or more.
 BLOCKS = 6
 #: Shingle hashes whose bits are counted at once.
@@ -162,27 +164,38 @@ def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=N
             ones[depth] = np.concatenate([[0], np.cumsum((fp >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
         return ones[depth]
 
+    # Where more errors are allowed than short prefixes can have, nodes are compared leaf by leaf sooner.
+    leaf_pairs = LEAF_PAIRS << min(6, max(0, budget - 4))
     stack = [(0, np.asarray(roots, np.int64).reshape(-1, 4), np.zeros(len(roots), np.int64))]
+    changes, merged = None, -1
     while stack:
         depth, pairs, errors = stack.pop()
         if len(pairs) > CHUNK_PAIRS:
             half = len(pairs) // 2
             stack += [(depth, pairs[half:], errors[half:]), (depth, pairs[:half], errors[:half])]
             continue
-        changes = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
+        if merged != len(found):
+            changes, merged = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])]), len(found)
         a_lo, a_hi, b_lo, b_hi = pairs.T
         same = (changes[a_lo] == changes[a_hi - 1]) & (changes[b_lo] == changes[b_hi - 1]) & (labels[a_lo] == labels[b_lo])
         pairs, errors = pairs[~same], errors[~same]
         a_lo, a_hi, b_lo, b_hi = pairs.T
         work = (a_hi - a_lo) * (b_hi - b_lo)
-        small = (work <= LEAF_PAIRS) | (depth == 64)
+        small = (work <= leaf_pairs) | (depth == 64)
         if small.any():
             lo, width, other, counts = a_lo[small], (b_hi - b_lo)[small], b_lo[small], work[small]
-            step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            i = np.repeat(lo, counts) + step // np.repeat(width, counts)
-            j = np.repeat(other, counts) + step % np.repeat(width, counts)
-            up = i < j  # a range with itself has each pair twice
-            compare(i[up], j[up])
+            upto = np.cumsum(counts)
+            cuts = np.searchsorted(upto, np.arange(CHUNK_COMPARED, upto[-1] + CHUNK_COMPARED, CHUNK_COMPARED)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(counts)]):
+                if first >= last:
+                    continue
+                c, w = counts[first:last], width[first:last]
+                w = np.repeat(w, c)
+                step = np.arange(len(w)) - np.repeat(np.cumsum(c) - c, c)
+                row = step // w
+                i, j = np.repeat(lo[first:last], c) + row, np.repeat(other[first:last], c) + (step - row * w)
+                up = i < j  # a range with itself has each pair twice
+                compare(i[up], j[up])
         pairs, errors = pairs[~small], errors[~small]
         if not len(pairs):
             continue
@@ -190,16 +203,16 @@ def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=N
         ones_at = one_bits(depth)
         a_mid, b_mid = a_hi - (ones_at[a_hi] - ones_at[a_lo]), b_hi - (ones_at[b_hi] - ones_at[b_lo])
         selfs = (a_lo == b_lo) & (a_hi == b_hi)
-        children = [
-            (np.stack([a_lo, a_mid, b_lo, b_mid], 1), errors),
-            (np.stack([a_mid, a_hi, b_mid, b_hi], 1), errors),
-            (np.stack([a_lo, a_mid, b_mid, b_hi], 1), errors + 1),
-            (np.stack([a_mid, a_hi, b_lo, b_mid], 1)[~selfs], errors[~selfs] + 1),
-        ]
-        for nodes, errs in children[::-1]:  # the pairs that differ least are traversed first
-            keep = (nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (errs <= budget)
-            if keep.any():
-                stack.append((depth + 1, nodes[keep], errs[keep]))
+        # The pairs that differ least are traversed first.
+        nodes = np.concatenate([
+            np.stack([a_lo, a_mid, b_lo, b_mid], 1), np.stack([a_mid, a_hi, b_mid, b_hi], 1),
+            np.stack([a_lo, a_mid, b_mid, b_hi], 1), np.stack([a_mid, a_hi, b_lo, b_mid], 1)[~selfs],
+        ])
+        errs = np.concatenate([errors, errors, errors + 1, errors[~selfs] + 1])
+        keep = np.flatnonzero((nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (errs <= budget))
+        if len(keep):
+            keep = keep[np.argsort(errs[keep], kind="stable")]
+            stack.append((depth + 1, nodes[keep], errs[keep]))
     a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return labels, a, b
 
