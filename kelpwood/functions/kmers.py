@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from .workers import map_arrow
 
 _LOW = 4294967295
+#: Bases that a worker hashes at once.
+BLOCK_BASES = 1 << 19
 
 
 def threshold(c: int) -> int:
@@ -121,24 +123,38 @@ def explode_kmers(df: DataFrame, k: int = 21, c: int = 20, seq_col: str = "seq")
         import numpy as np
         import pyarrow as pa
 
-        from .kmers import _mixed, packed_kmers
+        from .kmers import BLOCK_BASES, _mixed, packed_kmers
 
         code = np.zeros(256, np.uint64)
         for bases, value in (("Cc", 1), ("Gg", 2), ("TtUu", 3)):
             code[list(bases.encode())] = value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                texts = [x.encode() if x else b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
-                ends = np.cumsum([len(t) for t in texts])
-                codes = code[np.frombuffer(b"".join(texts), np.uint8)]
-                h = _mixed(packed_kmers(codes, k))
-                row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[: len(h)]
-                found = np.flatnonzero((h < np.uint64(limit)) & (np.arange(len(h)) + k <= ends[row]))
-                starts = ends - np.diff(ends, prepend=0)
-                cols = [col.take(pa.array(row[found])) for col in batch.columns[:-1]]
-                pos = (found - starts[row[found]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pos), pa.array(h[found].view(np.int64))], names=schema.fieldNames())
+
+        def block(batch, rows: list, starts: list, pieces: list):
+            """The kept k-mers of pieces of sequences: their rows, and where the pieces start in them."""
+            ends = np.cumsum([len(t) for t in pieces])
+            h = _mixed(packed_kmers(code[np.frombuffer(b"".join(pieces), np.uint8)], k))
+            piece = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))[: len(h)]
+            found = np.flatnonzero((h < np.uint64(limit)) & (np.arange(len(h)) + k <= ends[piece]))
+            piece = piece[found]
+            pos = found - (ends - np.diff(ends, prepend=0))[piece] + np.array(starts, np.int64)[piece]
+            cols = [col.take(pa.array(np.array(rows, np.int64)[piece])) for col in batch.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(pos.astype(np.int32)), pa.array(h[found].view(np.int64))], names=schema.fieldNames())
+
+        for batch in batches:
+            rows, starts, pieces, bases = [], [], [], 0
+            for i, seq in enumerate(batch.column(batch.num_columns - 1)):
+                data = (seq.as_py() or "").encode()
+                # A long sequence is cut in pieces that overlap by k - 1 bases.
+                for at in range(0, max(0, len(data) - k + 1), BLOCK_BASES):
+                    rows.append(i)
+                    starts.append(at)
+                    pieces.append(data[at : at + BLOCK_BASES + k - 1])
+                    bases += len(pieces[-1])
+                    if bases >= BLOCK_BASES:
+                        yield block(batch, rows, starts, pieces)
+                        rows, starts, pieces, bases = [], [], [], 0
+            if rows:
+                yield block(batch, rows, starts, pieces)
 
     return map_arrow(rows, run, schema)
 

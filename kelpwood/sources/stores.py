@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="kelpwood-")
-        _OWN[spark.sparkContext.applicationId] = root
-    return f"{root.rstrip('/')}/kelpwood-{uuid.uuid4().hex}"
-
+from ..functions.scratch import scratch  # noqa: F401
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once to shared storage and read back: what is used several times
@@ -45,3 +32,40 @@ def read_sketch(spark: SparkSession, path: str, k: int, c: int) -> DataFrame:
     if odd:
         raise ValueError(f"a database of k={odd['k']}, c={odd['c']} can't serve k={k}, c={c}")
     return rows.filter(F.col("h") < threshold(c)).select("genome", "h", "used")
+
+
+def write_samples(samples: DataFrame, path: str, k: int, c: int) -> None:
+    """Sample sketches (sample, h, cnt), one folder a sample, with their settings as columns."""
+    rows = samples.withColumns({"k": F.lit(k), "c": F.lit(c)})
+    rows.repartition("sample", F.pmod("h", F.lit(16))).sortWithinPartitions("sample", "h").write.partitionBy("sample").parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, k: int, c: int) -> DataFrame:
+    """Sample sketches for databases of settings k and c: their own k must be
+    equal, and their own c at most c; they are thinned if they are finer."""
+    from ..functions.kmers import threshold
+
+    rows = spark.read.parquet(path)
+    odd = rows.filter((F.col("k") != k) | (F.col("c") > c)).select("k", "c").first()
+    if odd:
+        raise ValueError(f"samples of k={odd['k']}, c={odd['c']} can't be held against k={k}, c={c}")
+    return rows.filter(F.col("h") < threshold(c)).select(F.col("sample").cast("string").alias("sample"), "h", "cnt")
+
+
+def merge_stored(spark: SparkSession, paths: dict[str, str], path: str) -> DataFrame:
+    """Stored databases, by their names, merged into one at ``path``; they must agree
+    on k, c and min_spacing. Of a genome that several have, the first one's stays."""
+    from ..operators.sketch import merge_sketches
+
+    parts = {name: spark.read.parquet(p) for name, p in paths.items()}
+    settings = None
+    for name, rows in parts.items():
+        for r in rows.select("k", "c", "min_spacing").distinct().limit(2).collect():
+            if settings is None:
+                settings = r
+            elif r != settings:
+                raise ValueError(f"{name} has {r.asDict()}, others {settings.asDict()}: a database must be of one kind")
+    merged = merge_sketches(*parts.items())
+    if settings is not None:
+        write_sketch(merged.select("genome", "h", "used"), path, settings["k"], settings["c"], settings["min_spacing"])
+    return merged
