@@ -36,8 +36,38 @@ def test_odd_documents_under_weak_keys(spark, key, bucket_rows):
 
 def test_chains_tell_texts_of_one_key_apart(spark):
     docs = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
-    index = build_index(docs, key=F.lit(3), bucket_rows=2).collect()
-    assert sorted(r.chain for r in index) == [0, 1, 2, 3, 4] and len({r.bucket for r in index}) == 1
+    chains, pointers, _ = build_index(docs, key=F.lit(3), bucket_rows=2)
+    index = chains.collect()
+    assert sorted(r.chain for r in index) == [0, 1, 2, 3, 4] and len({r.bucket for r in index}) == 1 == pointers.count()
+    assert {(r.text, r.keep_id, r.group_size) for r in index} == {(f"t{k}", 15 + k, 4) for k in range(5)}
+
+
+def test_the_index_decides(spark, monkeypatch):
+    """Without its directory no document finds its chain; with another chain in the index it gets that one's id."""
+    from kelpwood.llm import exact_dedup as module
+
+    docs = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
+    build = module.build_index
+
+    def without_directory(*a, **k):
+        chains, pointers, depth = build(*a, **k)
+        return chains, pointers.limit(0), depth
+
+    def other_ids(*a, **k):
+        chains, pointers, depth = build(*a, **k)
+        return chains.withColumn("keep_id", -F.col("keep_id")), pointers, depth
+
+    monkeypatch.setattr(module, "build_index", without_directory)
+    assert {r.group_size for r in module.exact_dedup(docs).collect()} == {1}
+    monkeypatch.setattr(module, "build_index", other_ids)
+    assert {r.keep_id for r in module.exact_dedup(docs).collect()} == {-15, -16, -17, -18, -19}
+
+
+def test_a_hot_text_is_combined_before_its_owner_gets_it(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    chains, _, _ = build_index(docs)
+    assert [(r.text, r.keep_id, r.group_size) for r in chains.collect()] == [("hot", 29_997, 10_000)]
+    assert exact_dedup(docs).filter("kept").count() == 20_001
 
 
 @pytest.mark.parametrize("bucket_rows", [10, 50])
