@@ -1,11 +1,14 @@
 """Hierarchical best-fit packing of token sequences.
 
-Round 0 packs each partition by itself (best fit, longest first) and emits the
-bins that are nearly full. The underfull bins become items of the next round,
-where the bins of several partitions meet in one task and are packed again, and
-so on up a tree until one task is left. Each round is written to the shared
-folder, so no round is computed twice and a lost executor costs one round's
-tasks.
+Pieces are dealt to partitions by a hash, so that each holds the mix of lengths
+of the whole table however it is ordered. Round 0 packs each partition by itself
+(best fit, longest first) and emits the bins that are nearly full. The underfull
+bins, all of them, become items of the next round, where the bins of several
+partitions meet in one task and are packed again, and so on up a tree until one
+task is left, or until a round finds hardly anything to join any more. Bins that
+are filled poorly are opened again: their pieces are items of their own. Each round
+is written to the shared folder, so no round is computed twice and a lost
+executor costs one round's tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .shared import map_arrow, shared_folder, stored, whole_text
 
-#: Items that a task packs at once; more are packed in several goes.
-CHUNK_ITEMS = 400_000
+#: Items that meet in one task, about.
+TASK_ITEMS = 50_000
+#: Rounds end early when a round saves less than this share of its bins.
+LEAST_GAIN = 0.0005
+#: Bins filled less than this are opened again.
+POOR = 0.875
 #: Characters that are tokenised at once in a worker.
 CHUNK_CHARS = 1_000_000
 
@@ -106,81 +113,71 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     return map_arrow(rows, cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def _packer(round_no: int, capacity: int, slack: int, carry: int, last: bool):
-    """A function for mapInArrow that packs items (rows with the same bin are one item)."""
+def _packer(round_no: int, capacity: int, slack: int):
+    """A function for mapInArrow that packs items: rows with the same sequence are
+    one, unless it is open; then each row is one."""
 
     def pack(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from .packing import POOR, best_fit
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if "sequence_id" in rows.column_names:
+            alone = rows["open"].to_numpy()
+            name = np.where(alone, -1 - np.arange(rows.num_rows), rows["sequence_id"].to_numpy())
+            _, item = np.unique(name, return_inverse=True)
+            inner = np.where(alone, 0, rows["offset"].to_numpy())
+        else:
+            item, inner = np.arange(rows.num_rows), 0
+        sizes = np.bincount(item, weights=rows["length"].to_numpy()).astype(np.int64)
+        bins, offsets, fills = best_fit(sizes, capacity)
+        out = rows.select(["doc_id", "piece", "start", "length", "ids_crc32"])
         base = (round_no << 56) + (TaskContext.get().partitionId() << 32)
-        used = 0
-
-        def go(held: list):
-            nonlocal used
-            rows = pa.Table.from_batches(held).combine_chunks()
-            if "sequence_id" in rows.column_names:
-                _, item = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
-                inner = rows["offset"].to_numpy()
-            else:
-                item, inner = np.arange(rows.num_rows), 0
-            sizes = np.bincount(item, weights=rows["length"].to_numpy()).astype(np.int64)
-            bins, offsets, fills = best_fit(sizes, capacity)
-            done = np.ones(len(fills), bool)
-            if not last:
-                open_bins = np.flatnonzero(fills < capacity - slack)
-                emptiest = open_bins[np.argsort(fills[open_bins], kind="stable")][:carry]
-                done[emptiest] = False
-            out = rows.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-            out = out.append_column("sequence_id", pa.array(base + used + bins[item]))
-            out = out.append_column("offset", pa.array(offsets[item] + inner))
-            out = out.append_column("done", pa.array(done[bins[item]]))
-            used += len(fills)
-            return out.to_batches()
-
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK_ITEMS and round_no == 0:
-                yield from go(held)
-                held, n = [], 0
-        if held:
-            yield from go(held)
+        out = out.append_column("sequence_id", pa.array(base + bins[item]))
+        out = out.append_column("offset", pa.array(offsets[item] + inner))
+        fill = fills[bins[item]]
+        out = out.append_column("full", pa.array(fill >= capacity - slack))
+        out = out.append_column("open", pa.array(fill < POOR * capacity))
+        yield from out.to_batches(max_chunksize=10_000)
 
     return pack
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 4096, slack: int = 16, carry: int = 4096, per_task: int = 5_000, fan_in: int = 8) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, slack: int = 16, per_task: int = TASK_ITEMS, fan_in: int = 8) -> DataFrame:
     """Pack pieces (doc_id, piece, start, length, ids_crc32) into sequences of at
     most ``capacity`` tokens: adds sequence_id and offset.
 
-    A bin is nearly full, and emitted, when at most ``slack`` tokens are free.
-    A task hands at most its ``carry`` emptiest underfull bins on, which bounds
-    what meets in one task; the others are emitted as they are, whole. The last
-    round emits all. Lengths must be from 1 to ``capacity``.
+    A bin is nearly full, and emitted, when at most ``slack`` tokens are free;
+    all others are items of the next round, about ``per_task`` of them in a task
+    and at least ``fan_in`` tasks' bins together as long as that allows. A round
+    with a single task is the last; so is one that joins hardly any items, since
+    a task's items are a fair draw of all. Lengths must be from 1 to ``capacity``.
     """
     folder = shared_folder(pieces.sparkSession)
-    schema = PIECES + ", sequence_id long, offset long, done boolean"
-    items, parts, round_no, done = pieces, None, 0, None
+    schema = PIECES + ", sequence_id long, offset long, full boolean, open boolean"
+    piece = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    bins = rows = pieces.count()
+    items, item, round_no, done = pieces, piece, 0, None
+    parts = max(1, math.ceil(rows / per_task))
     while True:
-        last = parts == 1
-        packed = stored(map_arrow(items, _packer(round_no, capacity, slack, carry, last), schema), f"{folder}/round={round_no}")
-        emitted = packed.filter("done").drop("done")
+        dealt = items.repartition(parts, F.xxhash64(item, F.lit(round_no)))
+        packed = stored(map_arrow(dealt, _packer(round_no, capacity, slack), schema), f"{folder}/round={round_no}")
+        sizes = packed.groupBy("full").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sequence_id").alias("bins")).collect()
+        made, rows = sum(r["bins"] for r in sizes), sum(r["rows"] for r in sizes if not r["full"])
+        last = parts == 1 or not rows or bins - made < LEAST_GAIN * bins
+        emitted = (packed if last else packed.filter("full")).drop("full", "open")
         done = emitted if done is None else done.unionByName(emitted)
         if last:
             return done
-        if parts is None:
-            parts = max(1, math.ceil(packed.count() / per_task))
-        left = packed.filter("not done")
-        n = left.count()
-        if not n:
-            return done
-        parts = max(1, min(math.ceil(n / per_task), math.ceil(parts / fan_in)))
-        items = left.drop("done").repartition(parts, "sequence_id")
+        bins = sum(r["bins"] for r in sizes if not r["full"])
+        items, item = packed.filter("not full").drop("full"), F.when(F.col("open"), piece).otherwise(F.col("sequence_id"))
+        parts = max(1, min(parts - 1, max(math.ceil(rows / per_task), math.ceil(parts / fan_in))))
         round_no += 1
 
 
@@ -191,7 +188,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     Defined results: a null or empty text is the end id alone; only texts of
     more than ``capacity`` ids are cut; repeated rows are packed as often as
     they occur; null ids pass through; an empty table gives an empty one.
-    Which of the possible packings comes out depends on how the table is split.
     """
     pieces = cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
     return pack_pieces(stored(pieces, f"{shared_folder(docs.sparkSession)}/pieces"), capacity, **options)

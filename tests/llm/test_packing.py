@@ -73,10 +73,18 @@ def test_rounds_pack_tightly_and_lose_nothing(spark, parts):
     assert check_sequences(got, 4096) <= 1.02 * sum(p[3] for p in pieces) / 4096 + 2
 
 
-def test_a_bound_on_what_is_handed_on_keeps_all(spark):
+@pytest.mark.parametrize("per_task", [1000, 100_000])
+def test_an_ordered_table_packs_as_well_as_any(spark, per_task):
+    lengths = [2600] * 6000 + [1400] * 6000
+    df = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack_pieces(df, per_task=per_task).collect()
+    assert len(got) == 12_000 and check_sequences(got, 4096) <= 6000 * 1.01
+
+
+def test_long_items_that_join_nothing_are_all_kept(spark):
     pieces = [(i, 0, 0, 2100, i) for i in range(200)]
     df = spark.createDataFrame(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
-    got = pack_pieces(df, carry=5, per_task=10, fan_in=2).collect()
+    got = pack_pieces(df, per_task=10, fan_in=2).collect()
     assert len(got) == 200 and check_sequences(got, 4096) == 200
 
 
