@@ -5,7 +5,9 @@ classifier over the shape of its text. Sites give priors: the share of good
 documents of a host is drawn to the global share, and that of a path to its
 host's, the more so the fewer documents there are. How strongly is estimated
 from the spread between sites, by grouped sums. A document's posterior is its
-evidence on top of its path's prior, which leaves the document itself out.
+evidence on top of its path's prior. The document itself is left out of the
+path's, the host's and the global sums of its own prior, so a site of a single
+document has its host's share, and a host of a single document the global one.
 """
 
 from __future__ import annotations
@@ -131,43 +133,59 @@ def _strength(groups: DataFrame, good: str, rows: str, share: Column) -> float:
 
 
 def site_posteriors(rows: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """Rows (host, path, p) to (host, path, n, good, host_share, strength), and the
-    global figures. host_share is shrunk to the global share."""
+    """Rows (host, path, p) to (host, path, n, good, host_n, host_good, host_share),
+    and the global figures n, good, share, host_strength and path_strength.
+    host_share is shrunk to the global share."""
     paths = stored(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), f"{shared_folder(rows.sparkSession)}/paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
-    share = (total["good"] + 1) / (total["n"] + 2) if total["n"] else 0.5
+    n, good = total["n"] or 0, total["good"] or 0.0
+    share = (good + 1) / (n + 2)
     host_strength = _strength(hosts, "host_good", "host_n", F.lit(share))
     hosts = hosts.withColumn("host_share", (F.col("host_good") + host_strength * share) / (F.col("host_n") + host_strength))
     sites = paths.join(hosts, "host")
     path_strength = _strength(sites, "good", "n", F.col("host_share"))
-    return sites, {"share": share, "host_strength": host_strength, "path_strength": path_strength}
+    return sites, {"n": n, "good": good, "share": share, "host_strength": host_strength, "path_strength": path_strength}
+
+
+def prior_without(site: Column, p: Column, found: dict[str, float]) -> Column:
+    """The share of good documents at a path, drawn to its host's and that to the
+    global one, all without a document that is good with probability p."""
+    share = (found["good"] - p + 1) / F.lit(found["n"] + 1)
+    m = found["host_strength"]
+    host = (site["host_good"] - p + m * share) / (site["host_n"] - 1 + m)
+    m = found["path_strength"]
+    path = (site["good"] - p + m * host) / (site["n"] - 1 + m)
+    return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), path))
 
 
 def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE_TEXTS) -> DataFrame:
+NEW = ["host", "path", "evidence", "site_prior", "quality_score"]
+
+
+def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE_TEXTS, columns: list[str] | None = None) -> DataFrame:
     """docs with host, path, evidence (log likelihood ratio), site_prior,
     quality_score (posterior of being good, 0 to 1) and accepted.
 
     host and path are expressions over docs, by default ``source`` and ``lang``.
-    Columns of docs with the names of the new ones are replaced.
+    ``columns`` are the columns of docs that are wanted, by default all; columns
+    of docs with the names of the new ones are replaced.
 
     Defined results: null hosts and paths count as empty strings; null and
     empty texts get the evidence of a text without words; without labels of
     both kinds the evidence is 0; repeated rows get equal scores; an empty
     table gives an empty one; labels of the held-out fold are never read.
     """
-    new = ["host", "path", "evidence", "site_prior", "quality_score", "accepted"]
-    scored = _scored(docs, labels, F.col("source") if host is None else host, F.col("lang") if path is None else path, label, id_col, text_col, sample)
-    kept = [c for c in docs.columns if c.lower() not in new]
-    return scored.select(*kept, *[F.col(f"_site.{c}").alias(c) for c in new[:5]], (F.col("_site.quality_score") >= threshold).alias("accepted"))
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in (*NEW, "accepted")]
+    scored, name = _scored(docs, labels, host, path, label, id_col, text_col, sample, kept)
+    return scored.select(*kept, *[F.col(name[c]).alias(c) for c in NEW], (F.col(name["quality_score"]) >= threshold).alias("accepted"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """docs with a struct _site."""
+def _scored(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, label: str, id_col: str, text_col: str, sample: int, kept: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``kept`` of docs and the new ones, whose names are returned too."""
     weights, odds = fit(docs, labels, label, id_col, text_col, sample)
 
     def evidence(features):
@@ -176,23 +194,22 @@ def _scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, labe
 
         return pa.array(np.clip(features @ np.array(weights), -20, 20))
 
-    text, h, p, e = (fresh(x, docs.columns) for x in ("text_", "host_", "path_", "evidence_"))
-    place = {h: F.coalesce(host.cast("string"), F.lit("")), p: F.coalesce(path.cast("string"), F.lit("")), text: whole_text(text_col)}
-    # First pass, without the other columns: what each document would be on global odds, summed by site.
-    first = _with_features(docs.select(*[c.alias(k) for k, c in place.items()]), text, evidence, e, T.DoubleType())
-    sites, found = site_posteriors(first.select(F.col(h).alias("host"), F.col(p).alias("path"), _sigmoid(F.col(e) + odds).alias("p")))
-    sites = sites.select(F.struct("host", "path", "n", "good", "host_share").alias("_site"))
-    seen = _with_features(docs.withColumns(place), text, evidence, e, T.DoubleType())
-    both = seen.join(sites, (F.col(h) == F.col("_site.host")) & (F.col(p) == F.col("_site.path")))
-    strength = found["path_strength"]
-    others = F.col("_site.good") - _sigmoid(F.col(e) + odds) + strength * F.col("_site.host_share")
-    prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others / (F.col("_site.n") - 1 + strength)))
-    both = both.withColumn("_site", F.struct("_site.host", "_site.path", F.col(e).alias("evidence"), prior.alias("site_prior")))
-    posterior = _sigmoid(F.col("_site.evidence") + F.log(F.col("_site.site_prior") / (1 - F.col("_site.site_prior"))))
-    return both.withColumn("_site", F.col("_site").withField("quality_score", posterior)).select(*docs.columns, "_site")
+    name = {c: fresh(f"{c}_", docs.columns) for c in (*NEW, "text", "site")}
+    h, p, t, e, site = (name[c] for c in ("host", "path", "text", "evidence", "site"))
+    place = [F.coalesce((F.col(d) if c is None else c).cast("string"), F.lit("")) for c, d in ((host, "source"), (path, "lang"))]
+    rows = docs.select(*kept, place[0].alias(h), place[1].alias(p), whole_text(text_col).alias(t))
+    # Features of whole texts are made once; what they say is kept with each row for the second pass.
+    seen = stored(_with_features(rows, t, evidence, e, T.DoubleType()), f"{shared_folder(docs.sparkSession)}/evidence")
+    own = _sigmoid(F.col(e) + odds)
+    sites, found = site_posteriors(seen.select(F.col(h).alias("host"), F.col(p).alias("path"), own.alias("p")))
+    sites = sites.select(F.struct(*sites.columns).alias(site))
+    both = seen.join(sites, (F.col(h) == F.col(site)["host"]) & (F.col(p) == F.col(site)["path"]))
+    both = both.withColumn(name["site_prior"], prior_without(F.col(site), own, found))
+    prior = F.col(name["site_prior"])
+    return both.withColumn(name["quality_score"], _sigmoid(F.col(e) + F.log(prior / (1 - prior)))), name
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE_TEXTS) -> DataFrame:
     """The rows that quality accepts, with the columns of docs."""
-    scored = _scored(docs, labels, F.col("source") if host is None else host, F.col("lang") if path is None else path, label, id_col, text_col, sample)
-    return scored.filter(F.col("_site.quality_score") >= threshold).select(*docs.columns)
+    scored, name = _scored(docs, labels, host, path, label, id_col, text_col, sample, docs.columns)
+    return scored.filter(F.col(name["quality_score"]) >= threshold).select(*docs.columns)

@@ -36,7 +36,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    scored = quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    scored = quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"), columns=["doc_id"])
     return scored.select("doc_id", "host", "path", "evidence", "site_prior", "quality_score", F.col("accepted").cast("int").alias("predicted"))
 
 
@@ -61,7 +61,7 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_pieces import encode_pieces
 
-    return encode_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+    return encode_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), check_every=50)
 
 
 def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

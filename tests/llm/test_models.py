@@ -5,6 +5,8 @@ import zlib
 import pytest
 from edge import labels, no_documents, odd_documents
 
+from pyspark.sql import functions as F
+
 from kelpwood.llm import language, quality, queries, toxicity
 from kelpwood.llm.sampling import held_out
 
@@ -125,17 +127,69 @@ def test_odd_documents(spark):
     assert {r.lang_pred for r in language.identify(docs, language.fit(none)).collect()} == {"und"}
 
 
-def test_sites_shrink_to_their_hosts_and_leave_the_document_out(spark):
-    rows = [("a", "x", 0.9)] * 50 + [("a", "y", 0.2)] + [("b", "z", 0.1)] * 30
-    df = spark.createDataFrame(rows, "host string, path string, p double")
+def plain_scores(rows, odds):
+    """rows: (host, path, evidence) to (prior, posterior), by sums over lists."""
+    import math
+    from collections import defaultdict
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    p = [sig(e + odds) for *_, e in rows]
+    path, host = defaultdict(list), defaultdict(list)
+    for (h, q, _), x in zip(rows, p):
+        path[h, q].append(x)
+        host[h].append(x)
+    n, good = len(p), sum(p)
+    share = (good + 1) / (n + 2)
+
+    def strength(groups):  # (sum, count, parent's share)
+        spread = sum((g - c * s) ** 2 / c for g, c, s in groups)
+        noise = sum(s * (1 - s) for _, _, s in groups)
+        gain = sum(s * (1 - s) * (c - 1) for _, c, s in groups)
+        rho = min(0.5, max(1e-4, (spread - noise) / gain)) if gain else 0.5
+        return (1 - rho) / rho
+
+    mh = strength([(sum(x), len(x), share) for x in host.values()])
+    of_host = {h: (sum(x) + mh * share) / (len(x) + mh) for h, x in host.items()}
+    mp = strength([(sum(x), len(x), of_host[h]) for (h, _), x in path.items()])
+    out = []
+    for (h, q, e), x in zip(rows, p):
+        g = (good - x + 1) / (n + 1)
+        s = (sum(host[h]) - x + mh * g) / (len(host[h]) - 1 + mh)
+        s = (sum(path[h, q]) - x + mp * s) / (len(path[h, q]) - 1 + mp)
+        s = min(1 - 1e-6, max(1e-6, s))
+        out.append((s, sig(e + math.log(s / (1 - s)))))
+    return out
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    _, odds = quality.fit(docs, lab)
+    got = quality.quality(docs, lab).collect()
+    want = plain_scores([(r.host, r.path, r.evidence) for r in got], odds)
+    assert [(r.site_prior, r.quality_score) for r in got] == [pytest.approx(w, rel=1e-9) for w in want]
+    assert all(r.host == (r.source or "") and r.path == (r.lang or "") for r in got)
+
+
+def test_priors_of_sparse_sites_and_priors_that_decide(spark):
+    """Documents of equal evidence: their site decides; one alone at its path has its host's share, one alone at its host the global one."""
+    good, bad, middle = 4.0, -4.0, 0.0
+    rows = [("a", f"x{k % 4}", good) for k in range(60)] + [("b", f"y{k % 4}", bad) for k in range(60)]
+    rows += [("a", "alone", middle), ("b", "alone", middle), ("c", "alone", middle), ("a", "x0", middle), ("b", "y0", middle)]
+    df = spark.createDataFrame([(h, p, 1 / (1 + 2.718281828459045**-e)) for h, p, e in rows], "host string, path string, p double")
     sites, found = quality.site_posteriors(df)
-    got = {(r.host, r.path): r for r in sites.collect()}
-    total = sum(r[2] for r in rows)
-    share = (total + 1) / (len(rows) + 2)
-    m = found["host_strength"]
-    assert found["share"] == pytest.approx(share)
-    assert got["a", "y"].host_share == pytest.approx((45.2 + m * share) / (51 + m))
-    assert got["b", "z"].n == 30 and got["b", "z"].good == pytest.approx(3.0)
+    priors = df.join(sites, ["host", "path"]).withColumn("site", F.struct(*sites.columns)).select("host", "path", "p", quality.prior_without(F.col("site"), F.col("p"), found).alias("prior")).collect()
+    got = {(r.host, r.path): r.prior for r in priors if abs(r.p - 0.5) < 1e-9}
+    want = {r[:2]: s for r, (s, _) in zip(rows, plain_scores(rows, 0.0)) if r[2] == middle}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+    assert got["a", "alone"] > 0.8 > 0.2 > got["b", "alone"] and 0.3 < got["c", "alone"] < 0.7 and got["a", "x0"] > 0.8 and got["b", "y0"] < 0.2
+
+
+def test_clashing_columns(spark):
+    docs = odd_documents(spark).withColumnsRenamed({"kept": "_site", "fingerprint": "evidence_"})
+    some = labels(spark, [(1, 1, 0), (6, 0, 1), (9, 0, 0)])
+    assert quality.quality(docs, some).count() == docs.count()
+    assert quality.drop_low_quality(docs, some).columns == docs.columns
 
 
 def test_folds(spark):
