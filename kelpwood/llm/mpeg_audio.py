@@ -1,8 +1,8 @@
-"""MPEG audio (Layer III) streams as media columns.
+"""MPEG audio streams (Layers I to III) as media columns.
 
 ``parse_stream`` resynchronises on frame headers, parses ID3v1/ID3v2 tags and
-Xing/VBRI tables of variable bit rate, verifies frame checksums, and gives exact
-durations and frame offsets for seeking. ``store_payload`` puts bytes into a
+Xing/VBRI tables of variable bit rate, verifies frame checksums of all three
+layers, and gives exact durations and frame offsets for seeking. ``store_payload`` puts bytes into a
 stream of silent frames as ancillary data, losslessly, with a checksum on each
 frame, a tag and a Xing table; ``read_payload`` gets them back from its frames.
 """
@@ -27,6 +27,17 @@ BITRATES = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of the format: Layer II's bits of allocation as (subbands, bits each), by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+#: Bytes of streams that a worker hands on at once, beyond the last of them.
+CHUNK_BYTES = 16 << 20
 
 FRAME_BYTES = 960  # 320 kbit/s at 48 kHz
 HEAD_BYTES = 38  # header 4, checksum 2, side information 32
@@ -42,9 +53,10 @@ def header(word: int) -> dict | None:
     hz, padding = SAMPLE_RATES[version][sampling], word >> 9 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     size = (12 * kbit * 1000 // hz + padding) * 4 if layer == 1 else samples // 8 * kbit * 1000 // hz + padding
-    mono = word >> 6 & 3 == 3
+    mode, extension = word >> 6 & 3, word >> 4 & 3
+    mono = mode == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbit": kbit, "hz": hz, "samples": samples, "size": size, "protected": not word >> 16 & 1, "channels": 1 if mono else 2, "side": side}
+    return {"version": version, "layer": layer, "kbit": kbit, "hz": hz, "samples": samples, "size": size, "protected": not word >> 16 & 1, "channels": 1 if mono else 2, "side": side, "joint": 4 * (extension + 1) if mode == 1 else None}
 
 
 def _crc_table():
@@ -72,6 +84,53 @@ def frame_crcs(rows):
     return crc
 
 
+def allocation_widths(h: dict) -> list[int]:
+    """Bits of allocation of each of a Layer II frame's subbands."""
+    each = h["kbit"] // h["channels"]
+    if h["version"] != 3:
+        name = "lsf"
+    elif each <= 48:
+        name = "d" if h["hz"] == 32000 else "c"
+    else:
+        name = "a" if h["hz"] == 48000 or each <= 80 else "b"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def guarded_bits(h: dict, frame: bytes) -> int:
+    """Bits behind the checksum of a protected frame that it covers: side
+    information (Layer III), allocation (Layer I), or allocation and the choice
+    of scale factors (Layer II). Joint subbands have one allocation for both channels."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    widths = [4] * 32 if h["layer"] == 1 else allocation_widths(h)
+    bound = len(widths) if h["joint"] is None else min(h["joint"], len(widths))
+    counts = [h["channels"] if i < bound else 1 for i in range(len(widths))]
+    covered = sum(n * w for n, w in zip(counts, widths))
+    if h["layer"] == 1:
+        return covered
+    bits, left = int.from_bytes(frame[6 : 6 + (covered + 7) // 8], "big"), (covered + 7) // 8 * 8
+    chosen = 0
+    for i, (n, w) in enumerate(zip(counts, widths)):
+        for _ in range(n):
+            left -= w
+            if bits >> left & ((1 << w) - 1):
+                chosen += 2 * (h["channels"] if i >= bound else 1)
+    return covered + chosen
+
+
+def frame_crc(h: dict, frame: bytes) -> int:
+    """The checksum that a protected frame of any layer should have."""
+    if not _CRC:
+        _CRC.append(_crc_table())
+    table, crc, n = _CRC[0], 0xFFFF, guarded_bits(h, frame)
+    for b in frame[2:4] + frame[6 : 6 + n // 8]:
+        crc = (crc << 8 & 0xFFFF) ^ int(table[crc >> 8 ^ b])
+    for k in range(n % 8):
+        top = (crc >> 15) ^ (frame[6 + n // 8] >> (7 - k) & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
 def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
@@ -104,7 +163,8 @@ def _tags(data: bytes) -> tuple[int, int, dict[str, str]]:
 
 
 def _vbr_table(data: bytes, at: int, h: dict) -> dict | None:
-    """Xing/Info or VBRI fields of the first frame."""
+    """Xing/Info or VBRI fields of the first frame. toc: Xing has a hundred places
+    in 256ths of the stream, VBRI the bytes of each run of frames_per_entry frames."""
     k = at + 4 + 2 * h["protected"] + h["side"]
     if data[k : k + 4] in (b"Xing", b"Info"):
         flags, k = int.from_bytes(data[k + 4 : k + 8], "big"), k + 8
@@ -117,7 +177,10 @@ def _vbr_table(data: bytes, at: int, h: dict) -> dict | None:
             out["toc"] = list(data[k : k + 100])
         return out
     if data[at + 36 : at + 40] == b"VBRI":
-        return {"kind": "vbri", "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
+        number = lambda k, n: int.from_bytes(data[k : k + n], "big")
+        entries, scale, width, k = number(at + 54, 2), number(at + 56, 2), number(at + 58, 2), at + 62
+        toc = [number(k + i * width, width) * scale for i in range(entries) if 1 <= width <= 4 and k + (i + 1) * width <= len(data)]
+        return {"kind": "vbri", "bytes": number(at + 46, 4), "frames": number(at + 50, 4), "frames_per_entry": number(at + 60, 2), "toc": toc}
     return None
 
 
@@ -160,11 +223,14 @@ def parse_stream(data: bytes) -> dict:
         at = nxt
     skipped += max(0, end - at)
     vbr = _vbr_table(data, offsets[0], heads[0]) if offsets else None
-    bad = 0
+    bad = protected = 0
     by_side: dict[int, list[int]] = {}
-    for o, h in zip(offsets, heads):
+    for o, z, h in zip(offsets, sizes, heads):
+        protected += h["protected"]
         if h["protected"] and h["layer"] == 3:
             by_side.setdefault(h["side"], []).append(o)
+        elif h["protected"]:
+            bad += frame_crc(h, data[o : o + z]) != int.from_bytes(data[o + 4 : o + 6], "big")
     for side, at_frames in by_side.items():
         o = np.array(at_frames)[:, None]
         rows = np.concatenate([view[o + np.array([2, 3])], view[o + 6 + np.arange(side)]], axis=1)
@@ -173,7 +239,7 @@ def parse_stream(data: bytes) -> dict:
     audio = slice(1, None) if vbr else slice(None)
     samples = sum(h["samples"] for h in heads[audio])
     hz = heads[0]["hz"] if heads else 0
-    return {"tags": tags, "vbr": vbr, "offsets": offsets[audio], "sizes": sizes[audio], "heads": heads[audio], "frames": len(heads[audio]), "samples": samples, "hz": hz, "seconds": samples / hz if hz else 0.0, "skipped": skipped, "protected": sum(len(x) for x in by_side.values()), "bad_checksums": bad, "kbits": sorted({h["kbit"] for h in heads[audio]})}
+    return {"tags": tags, "vbr": vbr, "offsets": offsets[audio], "sizes": sizes[audio], "heads": heads[audio], "frames": len(heads[audio]), "samples": samples, "hz": hz, "seconds": samples / hz if hz else 0.0, "skipped": skipped, "protected": protected, "bad_checksums": bad, "kbits": sorted({h["kbit"] for h in heads[audio]})}
 
 
 _HEAD_WORD = 0xFFFA0000 | 1 << 10  # MPEG-1, Layer III, protected, 48 kHz, stereo
@@ -272,7 +338,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined results: null and empty texts are 64 bytes 0; equal texts give equal
     values; null ids pass through; an empty table gives an empty one; other
-    columns are dropped. Long texts are whole: a worker holds one at a time.
+    columns are dropped. Long texts are whole: a worker holds one at a time, and of
+    wanted streams CHUNK_BYTES more.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double" + (", media binary" if with_media else "")
 
@@ -282,21 +349,29 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         import pyarrow as pa
 
-        from .mpeg_audio import feature, padded, parse_stream, read_payload, store_payload
+        from .mpeg_audio import CHUNK_BYTES, feature, padded, parse_stream, read_payload, store_payload
 
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.binary()]
+
+        def made(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = []
-                for doc, text in zip(batch.column(0)[at : at + 500], batch.column(1)[at : at + 500]):
-                    payload = padded(text.as_py())
-                    media = store_payload(payload)
-                    parsed = parse_stream(media)
-                    back = read_payload(media, parsed)
-                    raw = len(text.as_py().encode("utf-8", "surrogatepass"))
-                    rows.append((doc.as_py(), raw, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed), parsed["seconds"], media))
-                cols = list(zip(*rows))[: len(names)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+            rows, held = [], 0
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                raw = text.as_py()
+                payload = padded(raw)
+                media = store_payload(payload)
+                parsed = parse_stream(media)
+                back = read_payload(media, parsed)
+                row = (doc.as_py(), len(raw.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed), parsed["seconds"])
+                rows.append((*row, media) if with_media else row)
+                held += len(media) if with_media else 0
+                if len(rows) == 500 or held > CHUNK_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), run, schema)

@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpwood.functions.scratch import passing  # noqa: F401
+from kelpwood.functions.scratch import scratch as shared_folder  # noqa: F401
 from kelpwood.functions.workers import map_arrow, ship  # noqa: F401
 
-_OWN_ROOTS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor can read.
-
-    Only where the session names no such folder (tests on one machine), a
-    temporary one is made.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN_ROOTS.setdefault(app, "") or tempfile.mkdtemp(prefix="kelpwood-")
-        _OWN_ROOTS[app] = root
-    return f"{root.rstrip('/')}/kelpwood-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage, and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import fresh
 
-#: Rules up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_RULES = 200_000
+#: Rules whose texts have no more bytes than this are broadcast; others are joined as Spark sees fit.
+BROADCAST_BYTES = 16 << 20
 
 _TOKEN = "[a-z0-9]+"
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -71,6 +71,11 @@ def url_rest(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)\z", 1), F.lit(""))
 
 
+def rule_bytes(rules: list[dict]) -> int:
+    """Bytes of all texts of the rules."""
+    return sum(len(x.encode()) for r in rules for x in (r["rule"], r["verdict"], r["kind"], r["regex"], *r["tokens"]))
+
+
 def index_rules(urls: DataFrame, rules: list[dict]) -> DataFrame:
     """(token, rule_no, ...): each rule under its rarest token over ``urls``
     (column tokens); null for rules without a token."""
@@ -79,7 +84,7 @@ def index_rules(urls: DataFrame, rules: list[dict]) -> DataFrame:
     listed = spark.createDataFrame(rows, "rule_no int, rule string, verdict string, kind string, regex string, rank int, tokens array<string>")
     literals = listed.select("rule_no", F.explode("tokens").alias("token"))
     wanted = literals.select("token").distinct()
-    if len(rules) <= BROADCAST_RULES:
+    if rule_bytes(rules) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = literals.join(counts, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
@@ -99,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: list[dict], url_col: str = "url", defaul
     the default; columns of pages with the names of the new ones are replaced.
     """
     new = ["host", "path", "rule", "verdict", "pattern"]
-    url, judged_url = fresh("url_", pages.columns), fresh("judged_", pages.columns)
+    url, judged_url, best = (fresh(x, pages.columns) for x in ("url_", "judged_", "best_"))
     marked = pages.withColumn(url, F.coalesce(F.col(url_col).cast("string"), F.lit("")))
     kept = [c for c in pages.columns if c.lower() not in new]
     subject = F.concat(url_host(F.col("url")), url_rest(F.col("url")))
@@ -109,21 +114,22 @@ def judge_urls(pages: DataFrame, rules: list[dict], url_col: str = "url", defaul
     index = index_rules(urls, rules)
     # A rule without tokens is a candidate everywhere: all URLs have the empty token.
     index = index.withColumn("token", F.coalesce("token", F.lit("")))
-    if len(rules) <= BROADCAST_RULES:
+    if rule_bytes(rules) <= BROADCAST_BYTES:
         index = F.broadcast(index)
     fetched = urls.withColumn("token", F.explode(F.concat("tokens", F.array(F.lit(""))))).join(index, "token")
     fits = fetched.filter(F.expr("CASE WHEN kind = 'site' THEN subject ELSE low END rlike regex"))
     order = F.struct((F.col("kind") != "site").alias("later"), (-F.col("rank")).alias("rank"), "rule", "rule_no", "verdict", "kind")
-    best = fits.groupBy("url").agg(F.min(order).alias("best")).select(F.col("url").alias(judged_url), "best")
-    out = marked.join(best, F.col(url) == F.col(judged_url), "left")
-    is_site = F.col("best.kind") == "site"
+    decided = fits.groupBy("url").agg(F.min(order).alias(best)).select(F.col("url").alias(judged_url), best)
+    out = marked.join(decided, F.col(url) == F.col(judged_url), "left")
+    chosen = F.col(best)
+    is_site = chosen["kind"] == "site"
     return out.select(
-        *[pages[c] for c in kept],
+        *kept,
         url_host(F.col(url)).alias("host"),
         url_path(F.col(url)).alias("path"),
-        F.when(is_site, F.col("best.rule")).alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        F.when(~is_site, F.col("best.rule")).alias("pattern"),
+        F.when(is_site, chosen["rule"]).alias("rule"),
+        F.coalesce(chosen["verdict"], F.lit(default)).alias("verdict"),
+        F.when(~is_site, chosen["rule"]).alias("pattern"),
     )
 
 

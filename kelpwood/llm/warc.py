@@ -15,31 +15,55 @@ from pyspark.sql import functions as F
 
 from .shared import map_arrow
 
+#: Bytes of records that a worker hands on at once, beyond the last of them.
+CHUNK_BYTES = 16 << 20
+
 # HTML elements that end a line of text, and named entities that are decoded, the ampersand last.
 LINE_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
-UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-LINE_TAG = rf"(?i)</?(?:{LINE_TAGS})(?:\s[^>]*)?/?>"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
+# Each pattern reads on to the next angle bracket at most, or uses up what it reads, so that no page is read over and
+# over: a tag holds no "<", and a comment, script, style or title that isn't closed goes on to the end of the page.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)"
+LINE_TAG = rf"(?i)</?(?:{LINE_TAGS})(?:\s[^<>]*)?/?>"
+TAG = "<[^<>]*>"
+TITLE = r"(?is)<title[^<>]*>(.*?)(?:</title|\z)"
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']([^"'<>]*)["']"""
+NUMERIC = "^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
 
 
 def plain_text(html: Column) -> Column:
     """Comments, scripts and styles go, tags go, line elements end lines, white
-    space is squeezed; the named entities above are decoded, numeric ones stay."""
+    space is squeezed; the named entities above and numeric ones are decoded."""
     return seen_text(F.regexp_replace(html, UNSEEN, ""))
 
 
 def seen_text(html: Column) -> Column:
     """plain_text of a page without comments, scripts and styles."""
     text = F.regexp_replace(html, LINE_TAG, "\n")
-    text = F.regexp_replace(text, "<[^>]*>", "")
-    for name, char in ENTITIES:
+    text = F.regexp_replace(text, TAG, "")
+    for name, char in ENTITIES[:-1]:
         text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.replace(numeric_decoded(text), F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
     text = F.regexp_replace(text, r"[ \t\r\f]{2,}|[\t\r\f]", " ")  # a single space is left alone
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
+def numeric_decoded(text: Column) -> Column:
+    """Decimal and hexadecimal entities as their characters; those of no character stay."""
+
+    def one(x: Column) -> Column:
+        whole, hexa, decimal = (F.regexp_extract(x, NUMERIC, k) for k in (0, 1, 2))
+        code = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(decimal).cast("long")
+        valid = (whole != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(32)), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.substring(x, F.length(whole) + 1, F.length(x)))).otherwise(F.concat(F.lit("&#"), x))
+
+    parts = F.split(text, "&#")
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), "")
+    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], rest)).otherwise(text)
+
+
 def urn(*parts: Column) -> Column:
     """A urn:uuid made from a digest of the parts."""
     d = F.sha2(F.concat_ws("\n", *parts), 256)
@@ -76,7 +100,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     links = F.transform(F.regexp_extract_all("seen", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), line(x)))
     fields = F.concat_ws(
         "\r\n",
-        F.concat(F.lit("title: "), line(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1))),
+        F.concat(F.lit("title: "), line(F.regexp_extract("payload", TITLE, 1))),
         F.regexp_replace("http_header", r"(?m)^(?=.)", "source-header: "),
         F.concat(F.lit("source-payload-digest: sha256:"), F.col("sha")),
         links,
@@ -113,36 +137,112 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     record_text(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+class WarcRecords:
+    """Records of one WARC file's bytes, decompressed piece by piece.
+
+    Iterates over (headers, block, error). A record whose header or length is
+    broken is given as an error with the bytes up to the next line that starts
+    with WARC/1, where reading goes on.
+    """
+
+    PIECE = 1 << 20
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.buffer, self.ended = data, 0, bytearray(), False
+        self.gzip = data[:2] == b"\x1f\x8b"
+        self.member = None
+
+    def _more(self) -> bool:
+        """One more piece in the buffer; False at the end."""
+        import zlib
+
+        if self.at >= len(self.data) or self.ended:
+            return False
+        piece = self.data[self.at : self.at + self.PIECE]
+        if not self.gzip:
+            self.buffer += piece
+            self.at += len(piece)
+            return True
+        self.member = self.member or zlib.decompressobj(31)
+        try:
+            self.buffer += self.member.decompress(piece, self.PIECE * 16)
+        except zlib.error:
+            self.ended = True
+            return False
+        left = self.member.unused_data or self.member.unconsumed_tail
+        self.at += len(piece) - len(left)
+        if self.member.eof:
+            self.member = None
+        return True
+
+    def _find(self, what: bytes, start: int) -> int:
+        while (k := self.buffer.find(what, start)) < 0:
+            start = max(start, len(self.buffer) - len(what) + 1)
+            if not self._more():
+                return -1
+        return k
+
+    def __iter__(self):
+        while True:
+            while len(self.buffer) < 7 and self._more():
+                pass
+            if not self.buffer.strip(b"\r\n"):
+                if not self._more():
+                    return
+                continue
+            lead = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
+            del self.buffer[:lead]
+            while len(self.buffer) < 7 and self._more():
+                pass
+            end = self._find(b"\r\n\r\n", 0) if self.buffer.startswith(b"WARC/1.") else -1
+            headers: dict[str, str] = {}
+            if end >= 0:
+                lines = bytes(self.buffer[:end]).decode("utf-8", "replace").split("\r\n")[1:]
+                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            length = headers.get("content-length", "")
+            if end >= 0 and length.isascii() and length.isdigit():
+                stop = end + 4 + int(length)
+                while len(self.buffer) < stop and self._more():
+                    pass
+                if len(self.buffer) >= stop:
+                    yield headers, bytes(self.buffer[end + 4 : stop]), None
+                    del self.buffer[:stop]
+                    continue
+            after = self._find(b"\nWARC/1.", 1)
+            cut = after + 1 if after >= 0 else len(self.buffer)
+            yield headers, bytes(self.buffer[:cut]), "broken header" if end < 0 or not length.isdigit() else "broken length"
+            del self.buffer[:cut]
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files (plain or gzip): headers (map, names in lower case),
-    block (binary). Each file is read by one task; a record ends the file's
-    reading if its header or its length is broken."""
+    block (binary), error (null for whole records; see WarcRecords). A file is
+    read by one task, from Spark's binaryFile source (2 GB at most, as it is
+    stored); it is decompressed and handed on piece by piece."""
 
     def parse(batches: Iterator) -> Iterator:
-        import gzip
-
         import pyarrow as pa
 
-        kind = pa.map_(pa.string(), pa.string())
+        from .warc import WarcRecords
+
+        kinds = [pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+
+        def made(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["headers", "block", "error"])
+
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at, rows = 0, []
-                while data.startswith(b"WARC/", at) and (end := data.find(b"\r\n\r\n", at)) >= 0:
-                    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-                    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-                    length = headers.get("content-length", "")
-                    if not length.isdigit() or end + 4 + int(length) > len(data):
-                        break
-                    rows.append((list(headers.items()), data[end + 4 : end + 4 + int(length)]))
-                    at = end + 4 + int(length) + 4
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.binary())], names=["headers", "block"])
-                        rows = []
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.binary())], names=["headers", "block"])
-
-    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), parse, "headers map<string,string>, block binary")
+                rows, size = [], 0
+                for headers, block, error in WarcRecords(content.as_py()):
+                    rows.append((list(headers.items()), block, error))
+                    size += len(block)
+                    if len(rows) == 500 or size > CHUNK_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield made(rows)
+
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), parse, "headers map<string,string>, block binary, error string")
 
 
 def responses_of(records: DataFrame) -> DataFrame:
@@ -151,7 +251,7 @@ def responses_of(records: DataFrame) -> DataFrame:
     text = F.decode("block", "ISO-8859-1")
     cut = F.instr(text, "\r\n\r\n")
     body = F.when(cut > 0, F.substring("block", cut + 4, F.octet_length("block"))).otherwise(F.lit(b""))
-    return records.filter(head["warc-type"] == "response").select(
+    return records.filter((head["warc-type"] == "response") & F.col("error").isNull()).select(
         F.xxhash64(head["warc-record-id"]).alias("source_id"),
         head["warc-record-id"].alias("record_id"),
         head["warc-target-uri"].alias("target_uri"),
@@ -165,9 +265,13 @@ def oracle() -> str:
     """The query over pages, for DuckDB."""
     q = lambda s: s.replace("'", "''")
     urn_sql = lambda d: f"'<urn:uuid:' || {d}[1:8] || '-' || {d}[9:12] || '-8' || {d}[13:15] || '-a' || {d}[16:18] || '-' || {d}[19:30] || '>'"
-    text = f"regexp_replace(regexp_replace(regexp_replace(html, '{q(UNSEEN)}', '', 'g'), '{q(LINE_TAG)}', chr(10), 'g'), '<[^>]*>', '', 'g')"
-    for name, char in ENTITIES:
+    text = f"regexp_replace(regexp_replace(regexp_replace(html, '{q(UNSEEN)}', '', 'g'), '{q(LINE_TAG)}', chr(10), 'g'), '{TAG}', '', 'g')"
+    for name, char in ENTITIES[:-1]:
         text = f"replace({text}, '{q(name)}', '{q(char)}')"
+    code = f"coalesce(try_cast('0x' || nullif(regexp_extract(x, '{NUMERIC}', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(x, '{NUMERIC}', 2), '') AS BIGINT))"
+    one = f"CASE WHEN i > 1 AND {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(CAST({code} AS INTEGER)) || x[length(regexp_extract(x, '{NUMERIC}', 0)) + 1:] WHEN i > 1 THEN '&#' || x ELSE x END"
+    text = f"array_to_string(list_transform(string_split({text}, '&#'), lambda x, i: {one}), '')"
+    text = f"replace({text}, '{ENTITIES[-1][0]}', '{ENTITIES[-1][1]}')"
     text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
     text = rf"regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
     line = lambda x: rf"trim(regexp_replace({x}, '[\r\n\t ]+', ' ', 'g'))"
@@ -179,7 +283,7 @@ r AS (
 s AS (SELECT *, {urn_sql('d')} AS refers_to FROM r),
 m AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || {line("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} || nl
+    'title: ' || {line(f"regexp_extract(html, '{q(TITLE)}', 1)")} || nl
     || 'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=UTF-8' || nl
     || 'source-header: Content-Length: ' || strlen(html) || nl
     || 'source-payload-digest: sha256:' || sha || nl

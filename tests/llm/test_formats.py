@@ -61,6 +61,35 @@ def test_rules_are_indexed_by_their_rarest_token(spark):
     assert {r.rule_no: r.token for r in url_rules.index_rules(urls, rules).collect()} == {0: "b", 1: None, 2: "zz"}
 
 
+def test_thousands_of_rules_equal_all_rules_on_all_urls(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(120)]
+    word = lambda: r.choice(words)
+    urls = [f"http://{word()}.{word()}.{r.choice(['com', 'org'])}/{word()}/{word()}{r.choice(['.gif', '?q=' + word(), '', '#' + word()])}" for _ in range(400)]
+    made = set()
+    while len(made) < 3000:
+        made.add(r.choice([f"||{word()}.{word()}^", f"/{word()}/*{word()}", f"/{word()}/{word()}|", f"{word()}^q", f"|{word()}.", f"*{word()}*{word()}*"]))
+    rules = [url_rules.pattern_rule(p, r.choice(["allow", "block"]), r.randrange(5)) for p in sorted(made)] + [url_rules.site_rule(f"{word()}.com/{word()}", "allow") for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+
+    def plain(url):
+        subject = url.split("://")[1]
+        fits = [(x["kind"] != "site", -x["rank"], x["rule"], k, x) for k, x in enumerate(rules) if re.search(x["regex"].replace(r"\z", r"\Z").replace("(?s:.*)", r"[\s\S]*"), subject)]
+        return min(fits)[4] if fits else None
+
+    want = {i: (b["kind"], b["rule"], b["verdict"]) if (b := plain(u)) else (None, None, "allow") for i, u in enumerate(urls)}
+    assert sum(w[1] is not None for w in want.values()) > 200
+    for bound in (16 << 20, 0):  # broadcast, and joined
+        monkeypatch.setattr(url_rules, "BROADCAST_BYTES", bound)
+        got = {x.page_id: ("site", x.rule, x.verdict) if x.rule else ("pattern", x.pattern, x.verdict) if x.pattern else (None, None, x.verdict) for x in url_rules.judge_urls(pages, rules).collect()}
+        assert got == want
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/", 5, "b")], "page_id long, url string, best int, judged_ string")
+    assert url_rules.judge_urls(pages, url_rules.query_rules()).first().best == 5
+
+
 def test_rules_without_tokens_run_everywhere(spark):
     pages = spark.createDataFrame([(1, "http://h/xbannery"), (2, "http://h/other")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, [url_rules.pattern_rule("*banner*", "block")]).collect()}
@@ -94,12 +123,87 @@ def test_responses_of_files(spark, tmp_path):
     rows = warc.responses_of(warc.read_warc(spark, str(tmp_path))).collect()
     assert [(r.record_id, r.http_header, r.payload) for r in rows] == [("<urn:uuid:1>", "HTTP/1.1 200 OK\r\nServer: x", body.decode())]
     made = warc.derivatives(warc.responses_of(warc.read_warc(spark, str(tmp_path)))).filter("warc_type = 'metadata'").first()
+    broken = warc.read_warc(spark, str(tmp_path)).filter("error is not null").collect()
+    assert [(r.error, bytes(r.block)) for r in broken] == [("broken length", b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")]
     assert made.refers_to == "<urn:uuid:1>" and "source-header: Server: x" in made.block and made.warc_date == "2020-01-01T00:00:00Z"
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_records_after_broken_ones_are_read(packed):
+    r = random.Random(4)
+    good = [b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % n + bytes(r.randrange(97, 123) for _ in range(n)) + b"\r\n\r\n" for n in (0, 5, 100_000, 3_000_000, 7)]
+    bad = [b"WARC/1.0\r\nno length\r\n\r\nrest\r\n", b"junk before\r\n"]
+    records = [good[0], bad[0], good[1], good[2], bad[1], good[3], good[4]]
+    data = b"".join(gzip.compress(x) for x in records) if packed else b"".join(records)
+    got = list(warc.WarcRecords(data))
+    assert [len(b) for _, b, e in got if e is None] == [0, 5, 100_000, 3_000_000, 7]
+    assert [b for _, b, e in got if e] == bad
+
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<script>", "<script ", "<title", "<a ", "<a href='", "<p ", "&#", "</script ", "< p>"])
+def test_hostile_pages_take_linear_time(spark, part):
+    """Ten megabytes of one opening."""
+    import time
+
+    html = part * (10_000_000 // len(part))
+    pages = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+    start = time.time()
+    assert warc.derivatives(warc.page_responses(pages)).select("block_digest").collect()
+    assert time.time() - start < 20
+
+
+def test_numeric_entities(spark):
+    html = "&#65;&#x1F600;&#0;&#xD800;&#1114112;&#12;x&amp;#65; &# &#x; &#233;"
+    df = spark.createDataFrame([(html,)], "h string").select(warc.numeric_decoded(warc.F.col("h")).alias("t"))
+    assert df.first().t == "A😀&#0;&#xD800;&#1114112;\x0cx&amp;#65; &# &#x; é"
+
+
 # ---- MPEG audio
 
 
+def test_checksums_of_layers_one_and_two():
+    r = random.Random(8)
+    for layer, word in ((1, 0xFFFE9000), (1, 0xFFFE9010 | 1 << 6), (2, 0xFFFC8000), (2, 0xFFFCA440), (2, 0xFFFC10C0), (2, 0xFFF48000)):
+        h = mpeg_audio.header(word)
+        assert h["layer"] == layer and h["protected"]
+        frames = []
+        for _ in range(4):
+            f = bytearray(word.to_bytes(4, "big") + bytes(r.randrange(256) for _ in range(h["size"] - 4)))
+            f[4:6] = covered_crc(f[2:4], f[6:], mpeg_audio.guarded_bits(h, bytes(f))).to_bytes(2, "big")
+            frames.append(bytes(f).replace(b"\xff", b"\xff"))
+        whole = mpeg_audio.parse_stream(b"".join(frames))
+        assert (whole["frames"], whole["protected"], whole["bad_checksums"]) == (4, 4, 0)
+        hurt = bytearray(frames[1])
+        hurt[6] ^= 1
+        assert mpeg_audio.parse_stream(frames[0] + bytes(hurt) + frames[2])["bad_checksums"] == 1
+    assert mpeg_audio.guarded_bits(mpeg_audio.header(0xFFFE9000), b"") == 256
+    assert mpeg_audio.guarded_bits(mpeg_audio.header(0xFFFE9010 | 1 << 6), b"") == 4 * (2 * 8 + 24)
+    assert mpeg_audio.guarded_bits(mpeg_audio.header(0xFFFC8000), bytes(200)) == 2 * (11 * 4 + 12 * 3 + 4 * 2)
+
+
+def covered_crc(head, body, bits):
+    """Bit by bit."""
+    crc = 0xFFFF
+    stream = "".join(f"{b:08b}" for b in head) + "".join(f"{b:08b}" for b in body)[:bits]
+    for b in stream:
+        crc = (crc << 1) & 0xFFFF ^ (0x8005 if (crc >> 15) ^ int(b) else 0)
+    return crc
+
+
+def test_vbri_table():
+    media = mpeg_audio.store_payload(bytes(range(256)) * 20)
+    parsed = mpeg_audio.parse_stream(media)
+    first = bytearray(media[parsed["offsets"][0] - mpeg_audio.FRAME_BYTES : parsed["offsets"][0]])
+    first[mpeg_audio.HEAD_BYTES :] = bytes(len(first) - mpeg_audio.HEAD_BYTES)
+    body = b"VBRI" + b"\0\1" + bytes(4) + (6720).to_bytes(4, "big") + (6).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + b"".join((n // 2).to_bytes(2, "big") for n in (1920, 1920, 960))
+    first[36 : 36 + len(body)] = body
+    start = parsed["offsets"][0]
+    got = mpeg_audio.parse_stream(bytes(first) + media[start:])
+    assert got["vbr"] == {"kind": "vbri", "bytes": 6720, "frames": 6, "frames_per_entry": 2, "toc": [1920, 1920, 960]}
+    assert got["frames"] == 6 and got["offsets"][0] == mpeg_audio.FRAME_BYTES
+
+
+
 def slow_crc(data):
     crc = 0xFFFF
     for byte in data:
