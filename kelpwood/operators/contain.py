@@ -7,9 +7,13 @@ All statistics of a (sample, genome) pair come from its histogram of counts
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.workers import map_arrow
 
 # Fixed values of the statistics.
 CUTOFF = 0.9999999999
@@ -121,13 +125,29 @@ def lambda_negative_binomial(rows: DataFrame, points: int = 10_000) -> DataFrame
     """
     at = lambda v: F.coalesce(F.try_element_at(F.filter("hist", lambda x: x["cnt"] == v), F.lit(1))["n"], F.lit(0))
     observed = rows.filter(at(1) > 0).select(*PAIR, "mean_cov", "variance", (at(2) / at(1)).alias("observed"))
-    lo, hi = F.greatest(F.lit(0.003), F.col("mean_cov") - 2), F.col("mean_cov") + 5
-    grid = observed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", (hi - lo) / float(points) * F.col("i") + lo)
-    r = F.col("x") / (F.col("variance") - 1 + F.col("x") + F.col("mean_cov"))
-    grid = grid.withColumn("r", r).filter("r >= 0")
-    expected = F.when(F.col("r") < 100, (F.col("r") + 1) / 2).otherwise((F.col("r") + 2) / 2) * F.col("x") / (F.col("r") + F.col("x"))
-    best = grid.groupBy(*PAIR).agg(F.min(F.struct(F.abs(expected - F.col("observed")).alias("off"), F.col("i"), F.col("x").alias("lambda"))).alias("best"))
-    return best.filter("best.off < 10000").select(*PAIR, F.col("best.lambda").alias("lambda"))
+    schema = T.StructType([f for f in observed.schema.fields if f.name in PAIR] + [T.StructField("lambda", T.DoubleType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        steps = np.arange(points, dtype=np.float64)
+        for batch in batches:
+            out = np.full(batch.num_rows, np.nan)
+            columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            with np.errstate(all="ignore"):
+                for i, (mean, variance, ratio) in enumerate(zip(*columns)):
+                    lo, hi = max(0.003, mean - 2), mean + 5
+                    x = (hi - lo) / float(points) * steps + lo
+                    r = x / (variance - 1 + x + mean)
+                    off = np.abs(np.where(r < 100, (r + 1) / 2, (r + 2) / 2) * x / (r + x) - ratio)
+                    off[~(r >= 0) | np.isnan(off)] = np.inf
+                    if off.min() < 10_000:
+                        out[i] = x[off.argmin()]
+            found = np.flatnonzero(~np.isnan(out))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(found)) for k in (0, 1)), pa.array(out[found])], names=schema.fieldNames())
+
+    return map_arrow(observed, run, schema)
 
 
 def adjusted_ani(lam: Column, k: int) -> Column:
@@ -190,23 +210,54 @@ def shares(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"taxonomic_abundance": F.col("final_cov") / F.sum("final_cov").over(of) * 100, "sequence_abundance": bases / F.sum(bases).over(of) * 100})
 
 
+def moving_medians(sample_kmers: DataFrame) -> DataFrame:
+    """(sample, depth_sum): a moving median over the counts above one in the order
+    of hashes, one up where the count is larger and one down elsewhere, summed.
+
+    Each step depends on the one before, so a sample's k-mers (one in c of all)
+    are walked in one task, with two numbers as all that is kept in mind.
+    """
+    rows = sample_kmers.filter("cnt > 1").select("sample", "h", F.col("cnt").cast("long").alias("cnt"))
+    schema = T.StructType([rows.schema.fields[0], T.StructField("depth_sum", T.LongType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        row = lambda sample, total: pa.RecordBatch.from_arrays([pa.array([sample]), pa.array([total], pa.int64())], names=schema.fieldNames()).cast(target)
+        at, m, total, target = None, 0, 0, None
+        for batch in batches:
+            target = target or pa.schema([pa.field("sample", batch.schema.field(0).type), pa.field("depth_sum", pa.int64())])
+            for sample, cnt in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if at is None or sample != at[0]:
+                    if at is not None:
+                        yield row(at[0], total)
+                    at, m, total = (sample,), 0, 0
+                m += 1 if cnt > m else -1
+                total += m
+        if at is not None:
+            yield row(at[0], total)
+
+    return map_arrow(rows.repartition("sample").sortWithinPartitions("sample", "h"), run, schema)
+
+
+def read_counts(rows: DataFrame, identity: DataFrame, explained: DataFrame, cov: str = "true_cov") -> DataFrame:
+    """rows with reads: how many of the sample's reads a genome stands for, by its
+    coverage and size, the mean length of a read and the share of bases explained."""
+    lengths = identity.select("sample", F.col("mean_read_length").alias("length_"))
+    joined = rows.join(lengths, "sample").join(explained, "sample")
+    return joined.withColumn("reads", F.round(F.col(cov) * F.col("gn_size") / F.col("length_") * F.col("explained")).cast("long")).drop("length_", "explained")
+
+
 def read_identity(sample_kmers: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     """(sample, kmer_identity): the share of counts on k-mers that occur not just
     once; of short reads at low depth 0.995^k instead. Depth is a moving median
     over the k-mers in the order of their hashes."""
-    order = F.array_sort(F.collect_list(F.when(F.col("cnt") > 1, F.struct("h", "cnt"))))
-    start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        m = F.when(x["cnt"] > acc["m"], acc["m"] + 1).otherwise(acc["m"] - 1)
-        return F.struct(m.alias("m"), (acc["s"] + m).alias("s"))
-
     sums = sample_kmers.groupBy("sample").agg(
-        F.count_if(F.col("cnt") == 1).alias("ones"), F.sum(F.when(F.col("cnt") != 1, F.col("cnt")).otherwise(0)).alias("more"),
-        (F.aggregate(order, start, step)["s"] / (F.count_if(F.col("cnt") > 1) + 1)).alias("depth"),
-    ).join(lengths, "sample")
+        F.count_if(F.col("cnt") == 1).alias("ones"), F.sum(F.when(F.col("cnt") != 1, F.col("cnt")).otherwise(0)).alias("more"), F.count_if(F.col("cnt") > 1).alias("several"),
+    ).join(lengths, "sample").join(moving_medians(sample_kmers), "sample", "left")
+    depth = F.coalesce("depth_sum", F.lit(0)) / (F.col("several") + 1)
     share = F.col("more") / (F.col("more") + F.col("ones") + 0.1)
-    low = (F.col("depth") < MEDIAN_FOR_IDENTITY) & (F.col("mean_read_length") < 400)
+    low = (depth < MEDIAN_FOR_IDENTITY) & (F.col("mean_read_length") < 400)
     return sums.select("sample", F.when(low, F.lit(0.995**k)).otherwise(F.least(share, F.lit(1.0))).alias("kmer_identity"), "mean_read_length", (F.col("ones") + F.col("more")).alias("total_count"))
 
 

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ordination and clustering collect a table of samples by samples, of at most so many.
-MOST_SAMPLES = 5_000
+from ..sources.stores import stored
+
+#: Distances between samples are of all pairs, and so are correlations of taxa: of at most so many.
+MOST_SAMPLES, MOST_TAXA = 5_000, 50_000
 
 
 def alpha_diversity(rows: DataFrame) -> DataFrame:
@@ -20,18 +22,40 @@ def alpha_diversity(rows: DataFrame) -> DataFrame:
 
 def diversity_rank(alpha: DataFrame) -> DataFrame:
     """place: one more than the number of samples with a larger effective number."""
-    counts = alpha.groupBy("effective").agg(F.count(F.lit(1)).alias("n"))
-    larger = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("effective")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return alpha.join(counts.select("effective", (larger + 1).alias("place")), "effective")
+    ranked = global_rank(alpha, F.desc("effective"), name="at")
+    return alpha.join(ranked.groupBy("effective").agg(F.min("at").alias("place")), "effective")
+
+
+def global_rank(rows: DataFrame, *order: Column | str, name: str) -> DataFrame:
+    """rows with their place in the order, from 1: ranges of the order are ranked
+    each by themselves, and the ranges before them counted."""
+    dealt = rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    dealt = stored(dealt)
+    counts = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
+    # One row for each range, so a single task adds them up.
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    placed = dealt.withColumn("inner_", inner).join(counts.select("range_", before.alias("before_")), "range_")
+    return placed.withColumn(name, F.col("inner_") + F.col("before_")).drop("range_", "inner_", "before_")
+
+
+def _pairs_of(names: DataFrame, most: int, what: str) -> DataFrame:
+    """(a, b) of all names a < b, of ``most`` names at most: a result of all pairs is
+    as large as their number's square, so the bound is on the names."""
+    n = names.count()
+    if n > most:
+        raise ValueError(f"{n} {what}; all pairs of at most {most} are made")
+    return names.toDF("a").join(F.broadcast(names.toDF("b")), F.col("a") < F.col("b"))
 
 
 def sample_pairs(rows: DataFrame) -> DataFrame:
-    """(s1, s2, least, product) for samples s1 < s2 that share a taxon: sums of the
-    smaller values and of products over shared taxa."""
+    """(s1, s2, least, product) for all samples s1 < s2: sums of the smaller values
+    and of products over shared taxa, zero for samples that share none."""
     a = rows.select("taxon", F.col("sample").alias("s1"), F.col("value").alias("x"))
     b = rows.select("taxon", F.col("sample").alias("s2"), F.col("value").alias("y"))
-    both = a.join(b, "taxon").filter("s1 < s2")
-    return both.groupBy("s1", "s2").agg(F.sum(F.least("x", "y")).alias("least"), F.sum(F.col("x") * F.col("y")).alias("product"))
+    met = a.join(b, "taxon").filter("s1 < s2").groupBy("s1", "s2").agg(F.sum(F.least("x", "y")).alias("least"), F.sum(F.col("x") * F.col("y")).alias("product"))
+    every = _pairs_of(rows.select("sample").distinct(), MOST_SAMPLES, "samples").toDF("s1", "s2")
+    return every.join(met, ["s1", "s2"], "left").fillna(0.0, ["least", "product"])
 
 
 def _with_sums(pairs: DataFrame, rows: DataFrame, value: Column) -> DataFrame:
@@ -42,24 +66,26 @@ def _with_sums(pairs: DataFrame, rows: DataFrame, value: Column) -> DataFrame:
 
 
 def bray_curtis(rows: DataFrame) -> DataFrame:
-    """(s1, s2, d); samples that share nothing don't occur, their distance is 1."""
+    """(s1, s2, d) of all pairs; samples that share nothing are at 1, two without anything at 0."""
     pairs = _with_sums(sample_pairs(rows), rows, F.col("value"))
     total = F.col("t1") + F.col("t2")
     return pairs.select("s1", "s2", F.when(total == 0, F.lit(0.0)).otherwise(1 - 2 * F.col("least") / total).alias("d"))
 
 
 def euclidean(rows: DataFrame) -> DataFrame:
-    """(s1, s2, d) for samples that share a taxon, by |x|^2 + |y|^2 - 2xy."""
+    """(s1, s2, d) of all pairs, by |x|^2 + |y|^2 - 2xy."""
     pairs = _with_sums(sample_pairs(rows), rows, F.col("value") * F.col("value"))
     return pairs.select("s1", "s2", F.sqrt(F.greatest(F.lit(0.0), F.col("t1") + F.col("t2") - 2 * F.col("product"))).alias("d"))
 
 
 def taxon_correlation(rows: DataFrame, n_samples: int) -> DataFrame:
-    """(t1, t2, d): 1 - r over all n_samples, absent values being zero; 1 where one doesn't vary."""
+    """(t1, t2, d) of all pairs of taxa, MOST_TAXA at most: 1 - r over all n_samples,
+    absent values being zero; 1 where one doesn't vary."""
     sums = rows.groupBy("taxon").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     a = rows.select("sample", F.col("taxon").alias("t1"), F.col("value").alias("x"))
     b = rows.select("sample", F.col("taxon").alias("t2"), F.col("value").alias("y"))
-    pairs = a.join(b, "sample").filter("t1 < t2").groupBy("t1", "t2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    met = a.join(b, "sample").filter("t1 < t2").groupBy("t1", "t2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    pairs = _pairs_of(sums.select("taxon"), MOST_TAXA, "taxa").toDF("t1", "t2").join(met, ["t1", "t2"], "left").fillna(0.0, ["xy"])
     for t in ("1", "2"):
         pairs = pairs.join(sums.select(F.col("taxon").alias(f"t{t}"), F.col("s").alias(f"s{t}"), F.col("q").alias(f"q{t}")), f"t{t}")
     n = float(n_samples)
@@ -106,19 +132,19 @@ def silhouettes(distances: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def square(distances: DataFrame):
-    """(names, matrix); pairs that don't occur are at distance 1."""
+    """(names, matrix) of all pairs' distances, of MOST_SAMPLES samples at most: 12.5 million pairs."""
     import numpy as np
 
-    got = distances.limit(MOST_SAMPLES * (MOST_SAMPLES - 1) // 2 + 1).collect()
-    names = sorted({r["s1"] for r in got} | {r["s2"] for r in got})
+    got = distances.limit(MOST_SAMPLES * (MOST_SAMPLES - 1) // 2 + 1).toArrow()
+    one, two, values = (got.column(c).to_numpy() for c in ("s1", "s2", "d"))
+    names = np.unique(np.concatenate([one, two]).astype(str)) if len(one) else np.array([], str)
     if len(names) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} samples")
-    at = {s: i for i, s in enumerate(names)}
-    d = np.ones((len(names), len(names)))
-    np.fill_diagonal(d, 0)
-    for r in got:
-        d[at[r["s1"]], at[r["s2"]]] = d[at[r["s2"]], at[r["s1"]]] = r["d"]
-    return names, d
+    d = np.zeros((len(names), len(names)))
+    if len(one):
+        a, b = np.searchsorted(names, one.astype(str)), np.searchsorted(names, two.astype(str))
+        d[a, b] = d[b, a] = values
+    return names.tolist(), d
 
 
 def principal_coordinates(d, dims: int = 2):
@@ -176,7 +202,12 @@ def mean_silhouette(points, labels) -> float:
 
 
 def auto_k(points, most: int = 8):
-    """(k, labels, silhouette) for the k from 2 with the best mean silhouette, the smallest of equals."""
+    """(k, labels, silhouette) for the k from 2 with the best mean silhouette, the
+    smallest of equals; fewer than three points are one cluster, with silhouette 0."""
+    import numpy as np
+
+    if len(points) < 3:
+        return 1, np.zeros(len(points), np.int64), 0.0
     best = None
     for k in range(2, min(most, len(points) - 1) + 1):
         labels = k_means(points, k)
@@ -248,15 +279,17 @@ def compare_profiles(ref: DataFrame, other: DataFrame, top: int = 25) -> DataFra
     b = other.select("taxon", F.col("value").alias("y"))
     both = a.join(b, "taxon", "full_outer")
     counts = both.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("shared"), F.count_if(F.col("y").isNull()).alias("lost"), F.count_if(F.col("x").isNull()).alias("gained"))
-    shared = both.filter("x is not null and y is not null")
-    ranked = shared.select("*", (F.col("y") / F.col("x")).alias("ratio"))
+    shared = both.filter("x is not null and y is not null").withColumn("ratio", F.col("y") / F.col("x"))
+    ranked = shared
     for c in ("x", "y"):
-        ranked = ranked.withColumn(f"r{c}", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c, "taxon")))
-    ratios = F.array_sort(F.collect_list("ratio"))
-    stats = ranked.agg(F.corr("rx", "ry").alias("spearman"), F.corr(F.log10("x"), F.log10("y")).alias("pearson"), ratios.alias("r"))
-    n = F.size("r")
-    pick = lambda i: F.try_element_at("r", (i + 1).cast("int"))
-    stats = stats.select("spearman", "pearson", pick(F.floor(n / 2)).alias("ratio_median"), pick(F.floor(n / 20)).alias("ratio_low"), pick(F.least(n - 1, F.floor(n * 19 / 20))).alias("ratio_high"))
+        ranked = global_rank(ranked, c, "taxon", name=f"r{c}")
+    ranked = stored(global_rank(ranked, "ratio", "taxon", name="at"))
+    stats = ranked.agg(F.corr("rx", "ry").alias("spearman"), F.corr(F.log10("x"), F.log10("y")).alias("pearson"), F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    at = {"ratio_median": F.floor(n / 2), "ratio_low": F.floor(n / 20), "ratio_high": F.least(n - 1, F.floor(n * 19 / 20))}
+    # Three places of the order, next to the one row of figures.
+    picked = ranked.select("at", "ratio").join(F.broadcast(stats), F.col("at").isin(*[p + 1 for p in at.values()]))
+    stats = stats.join(picked.agg(*[F.max(F.when(F.col("at") == p + 1, F.col("ratio"))).alias(c) for c, p in at.items()])).drop("n")
     head = a.orderBy(F.desc("x"), "taxon").limit(top).join(ranked.select("taxon", "rx", "ry"), "taxon")
     left, right = head.select(F.col("rx").alias("a1"), F.col("ry").alias("b1")), head.select(F.col("rx").alias("a2"), F.col("ry").alias("b2"))
     tau = left.join(F.broadcast(right), F.col("a1") < F.col("a2")).agg(F.count_if(F.col("b1") > F.col("b2")).alias("inv"), F.count(F.lit(1)).alias("pairs"))
@@ -264,6 +297,16 @@ def compare_profiles(ref: DataFrame, other: DataFrame, top: int = 25) -> DataFra
     return counts.join(stats).join(tau)
 
 
+def identity_deltas(ref: DataFrame, other: DataFrame) -> DataFrame:
+    """One row on the identities (taxon, ani) of taxa that two profiles share:
+    the upper median, least and largest difference of other's to ref's."""
+    both = ref.select("taxon", F.col("ani").alias("a")).join(other.select("taxon", F.col("ani").alias("b")), "taxon")
+    ranked = stored(global_rank(both.select("taxon", (F.col("b") - F.col("a")).alias("delta")), "delta", "taxon", name="at"))
+    ends = ranked.agg(F.count(F.lit(1)).alias("n"), F.min("delta").alias("least"), F.max("delta").alias("most"))
+    middle = ranked.join(F.broadcast(ends.select("n")), F.col("at") == F.floor(F.col("n") / 2) + 1).agg(F.max("delta").alias("median"))
+    return ends.join(middle).select("n", "median", "least", "most")
+
+
 def split_refusal(refs: Column, key: Column, genomes: Column, placed: Column, wanted_key: str, wanted_genomes: int) -> Column:
     """Why marker_split must not be shown for a view, or "": it holds samples of
     several references or of an unknown one, or of another catalogue or release

@@ -139,3 +139,20 @@ def pair_up(files: DataFrame) -> DataFrame:
 def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of two manifests that the other lacks, with the side they are on."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def assign_samples(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (id, name) to (id, name, sample, layout, mate): as a manifest (name,
+    sample, layout, mate; one row a name) says; else a mate's file belongs to the
+    key that its mates share; else a file is a sample of its own."""
+    from ..functions.names import mate_key, without_endings
+
+    key, mate = mate_key(F.col("name"))
+    known = manifest.select("name", *[F.col(c).alias(f"known_{c}") for c in ("sample", "layout", "mate")])
+    rows = files.withColumns({"key_": key, "mate_": mate}).join(known, "name", "left")
+    found = F.col("known_sample").isNotNull()
+    return rows.select(
+        "id", "name", F.coalesce("known_sample", "key_", without_endings(F.col("name"))).alias("sample"),
+        F.when(found, F.col("known_layout")).when(F.col("key_").isNotNull(), "PAIRED").otherwise("SINGLE").alias("layout"),
+        F.when(found, F.col("known_mate")).otherwise(F.col("mate_")).alias("mate"),
+    )

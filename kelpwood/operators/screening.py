@@ -46,12 +46,14 @@ def top_markers(genomes: DataFrame, n: int, quota: int) -> DataFrame:
 def biome_scores(profile: DataFrame, markers: DataFrame) -> DataFrame:
     """Profile rows (sample, genome, value, ani) and markers (genome, biomes) to,
     for each sample and catalogue: taxo (abundance of its genomes), excl (of those
-    in no other), n, n_hi (identity of 97 or more), best and top (largest genome)."""
+    in no other; both are decimals of six places), n, n_hi (identity of 97 or more), best and top (largest genome)."""
+    # Sums of decimals don't depend on their order.
+    profile = profile.withColumn("value", F.col("value").cast("decimal(20,6)"))
     joined = profile.join(markers, "genome").withColumn("alone", F.size("biomes") == 1)
     rows = joined.select("*", F.explode("biomes").alias("biome"))
     return rows.groupBy("sample", "biome").agg(
-        F.sum("value").alias("taxo"), F.sum(F.when(F.col("alone"), F.col("value")).otherwise(0.0)).alias("excl"), F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("ani") >= 97).alias("n_hi"), F.max("value").alias("best"), F.max_by("genome", F.struct(F.col("value"), -F.col("genome"))).alias("top"),
+        F.sum("value").alias("taxo"), F.sum(F.when(F.col("alone"), F.col("value")).otherwise(0)).alias("excl"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("ani") >= 97).alias("n_hi"), F.max("value").cast("double").alias("best"), F.max_by("genome", F.struct(F.col("value"), -F.col("genome"))).alias("top"),
     )
 
 

@@ -7,10 +7,14 @@ close to one that does, and are only tracked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kmers import explode_kmers, fingerprints, threshold
+from ..functions.workers import map_arrow
 
 #: Places of a read's k-mers, and of both mates' together, in an occurrence's number.
 POSITIONS = 1 << 22
@@ -27,19 +31,29 @@ def spaced_kmers(kmers: DataFrame, min_spacing: int = 30) -> DataFrame:
     first, if it lies more than min_spacing behind the last one used, or if that
     one lies at position 0.
 
-    What is used depends on what was used before, so each contig is a fold over
-    its k-mers in order; contigs don't depend on each other.
+    What is used depends on what was used before, so each contig is walked in
+    the order of its k-mers, with the place of the last one used as all that is
+    kept in mind; contigs don't depend on each other.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "h")))
-    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<pos:int,h:bigint,used:boolean>>").alias("out"))
+    rows = kmers.select("genome", "contig", "pos", "h")
+    schema = T.StructType([*rows.schema.fields, T.StructField("used", T.BooleanType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    def step(acc: Column, x: Column) -> Column:
-        used = (acc["last"] <= 0) | (x["pos"] - acc["last"] > min_spacing)
-        row = F.struct(x["pos"].alias("pos"), x["h"].alias("h"), used.alias("used"))
-        return F.struct(F.when(used, x["pos"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
+        at, last = None, -1
+        for batch in batches:
+            used = np.zeros(batch.num_rows, bool)
+            for i, place in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)))):
+                contig, pos = place[:2], place[2]
+                if contig != at:
+                    at, last = contig, -1
+                if last <= 0 or pos - last > min_spacing:
+                    used[i], last = True, pos
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(used)], names=schema.fieldNames())
 
-    folded = kmers.groupBy("genome", "contig").agg(F.aggregate(ordered, start, step)["out"].alias("rows"))
-    return folded.select("genome", "contig", F.inline("rows"))
+    return map_arrow(rows.repartition("genome", "contig").sortWithinPartitions("genome", "contig", "pos"), run, schema)
 
 
 def genome_sketch(contigs: DataFrame, k: int = 21, c: int = 20, min_spacing: int = 30) -> DataFrame:
@@ -83,25 +97,32 @@ def sample_sketch(occurrences: DataFrame, dedup: bool = True, cap: int | None =
 
     An occurrence is a duplicate if one of its fingerprints was seen before with
     its k-mer, unless it is the k-mer's first. With ``cap``, all count once the
-    count has reached it. The first sight of a fingerprint is a grouped minimum,
-    so a k-mer's occurrences meet in one task only where a cap asks for their order.
+    count has reached it.
+
+    Which occurrences count follows from grouped minima alone: one counts if
+    both of its fingerprints, which differ, were first seen in it. These sums
+    combine before the shuffle, however often a k-mer occurs; so does the choice
+    of the first ``cap`` that count, and only k-mers that reach the cap look at
+    their occurrences again, for how many are left behind it.
     """
+    key = ["sample", "h"]
     if not dedup:
-        return occurrences.groupBy("sample", "h").agg(F.count(F.lit(1)).alias("cnt"))
-    both = occurrences.select("sample", "h", "occ", "fp0", "fp1", F.explode(F.array("fp0", "fp1")).alias("fp"))
-    seen = both.filter(F.col("fp").isNotNull()).groupBy("sample", "h", "fp").agg(F.min("occ").alias("seen"))
-    first = occurrences.groupBy("sample", "h").agg(F.min("occ").alias("first"))
-    joined = occurrences.join(first, ["sample", "h"])
-    for side in ("fp0", "fp1"):
-        joined = joined.join(seen.select("sample", "h", F.col("fp").alias(side), F.col("seen").alias(f"{side}_seen")), ["sample", "h", side], "left")
-    fresh = (F.col("fp0_seen") == F.col("occ")) & (F.col("fp1_seen") == F.col("occ")) & (F.col("fp0") != F.col("fp1"))
-    counts = (F.col("occ") == F.col("first")) | F.col("fp0").isNull() | F.coalesce(fresh, F.lit(False))
-    marked = joined.withColumn("counts", counts.cast("int"))
-    if cap is not None:
-        before = Window.partitionBy("sample", "h").orderBy("occ").rowsBetween(Window.unboundedPreceding, -1)
-        reached = F.coalesce(F.sum("counts").over(before), F.lit(0)) >= cap
-        marked = marked.withColumn("counts", F.greatest("counts", reached.cast("int")))
-    return marked.groupBy("sample", "h").agg(F.sum("counts").alias("cnt"))
+        return occurrences.groupBy(*key).agg(F.count(F.lit(1)).alias("cnt"))
+    both = occurrences.filter("fp0 is not null").select(*key, "occ", F.explode(F.array("fp0", "fp1")).alias("fp"))
+    seen = both.groupBy(*key, "fp").agg(F.min("occ").alias("occ")).groupBy(*key, "occ").agg((F.count(F.lit(1)) == 2).cast("int").alias("counts"))
+    marks = seen.unionByName(occurrences.filter("fp0 is null").select(*key, "occ", F.lit(1).alias("counts")))
+    # The first occurrence is always among the marks, and counts whatever its mark says.
+    first = F.min(F.struct("occ", "counts"))
+    sums = marks.groupBy(*key).agg(F.sum("counts").alias("n"), first.alias("first")).withColumn("cnt", F.col("n") + 1 - F.col("first.counts"))
+    if cap is None:
+        return sums.select(*key, "cnt")
+    firsts = sums.filter("first.counts = 0").select(*key, F.col("first.occ").alias("occ"))
+    counted = marks.filter("counts = 1").select(*key, "occ").unionByName(firsts)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("occ"))
+    head = counted.withColumn("place", place).filter(F.col("place") <= cap).groupBy(*key).agg(F.count(F.lit(1)).alias("cnt"), F.max("occ").alias("last"))
+    reached = head.filter(F.col("cnt") == cap).select(*key, "last")
+    behind = occurrences.select(*key, "occ").join(reached, key).filter("occ > last").groupBy(*key).agg(F.count(F.lit(1)).alias("behind"))
+    return head.join(behind, key, "left").select(*key, (F.col("cnt") + F.coalesce("behind", F.lit(0))).alias("cnt"))
 
 
 def sample_stats(reads: DataFrame, sketch: DataFrame, k: int = 21, c: int = 20) -> DataFrame:
@@ -150,6 +171,16 @@ def audit(sketch: DataFrame, c: int, floor: int) -> DataFrame:
     )
 
 
+def audit_settings(sketch: DataFrame) -> DataFrame:
+    """One row on a collection of databases (part, genome, h, used, k, c, min_spacing):
+    sketches, those whose genome another one has too, those without tracked k-mers,
+    and how many different k, c and min_spacing there are (a database has one of each)."""
+    sketches = sketch.groupBy("part", "genome").agg(F.count_if(~F.col("used")).alias("tracked"), *[F.array_sort(F.collect_set(x)).alias(x) for x in ("k", "c", "min_spacing")])
+    names = sketches.groupBy("genome").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicate_names"))
+    distinct = [F.size(F.array_distinct(F.flatten(F.collect_set(x)))).alias(f"n_{x}") for x in ("k", "c", "min_spacing")]
+    return sketches.agg(F.count(F.lit(1)).alias("sketches"), F.count_if(F.col("tracked") == 0).alias("missing_tracked"), *distinct).join(names)
+
+
 def ratio_verdict(observed: Column, expected: Column) -> Column:
     """Whether a reduced database has about the k-mers it should: the tolerance
     is 0.20 + 6 / sqrt(expected), and fewer than 100 expected tell nothing."""

@@ -29,9 +29,10 @@ ab AS (SELECT sample, genome, value / sum(value) OVER (PARTITION BY sample) * 10
   SELECT n_name AS sample, l_partkey AS genome, sum(l_quantity) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL))"""
 TAX = "tax AS (SELECT p_partkey AS genome, p_type AS type, p_type || '|' || p_brand AS brand, p_type || '|' || p_brand || '|' || p_name AS species, p_name AS name FROM part)"
 BR = f"{AB}, {TAX}, br AS (SELECT sample, brand AS taxon, sum(value) AS value FROM ab JOIN tax USING (genome) GROUP BY ALL)"
-PAIRS = """pairs AS (SELECT a.sample AS s1, b.sample AS s2, sum(least(a.value, b.value)) AS least, sum(a.value * b.value) AS product FROM br a JOIN br b ON a.taxon = b.taxon AND a.sample < b.sample GROUP BY ALL),
-sums AS (SELECT sample, sum(value) AS t, sum(value * value) AS q FROM br GROUP BY sample)"""
-BRAY = f"{BR}, {PAIRS}, dist AS (SELECT s1, s2, 1 - 2 * least / (a.t + b.t) AS d FROM pairs JOIN sums a ON a.sample = s1 JOIN sums b ON b.sample = s2)"
+PAIRS = """sums AS (SELECT sample, sum(value) AS t, sum(value * value) AS q FROM br GROUP BY sample),
+met AS (SELECT a.sample AS s1, b.sample AS s2, sum(least(a.value, b.value)) AS least, sum(a.value * b.value) AS product FROM br a JOIN br b ON a.taxon = b.taxon AND a.sample < b.sample GROUP BY ALL),
+pairs AS (SELECT a.sample AS s1, b.sample AS s2, coalesce(least, 0) AS least, coalesce(product, 0) AS product FROM sums a JOIN sums b ON a.sample < b.sample LEFT JOIN met ON met.s1 = a.sample AND met.s2 = b.sample)"""
+BRAY = f"{BR}, {PAIRS}, dist AS (SELECT s1, s2, CASE WHEN a.t + b.t = 0 THEN 0 ELSE 1 - 2 * least / (a.t + b.t) END AS d FROM pairs JOIN sums a ON a.sample = s1 JOIN sums b ON b.sample = s2)"
 MIRROR = "mir AS (SELECT s1, s2, d FROM dist UNION ALL SELECT s2, s1, d FROM dist)"
 
 
@@ -111,7 +112,7 @@ def euclidean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("taxon_correlation", f"""WITH {BR}, n AS (SELECT count(DISTINCT sample) AS n FROM ab), g AS (SELECT taxon, sum(value) AS s, sum(value * value) AS q FROM br GROUP BY taxon),
 x AS (SELECT a.taxon AS t1, b.taxon AS t2, sum(a.value * b.value) AS xy FROM br a JOIN br b ON a.sample = b.sample AND a.taxon < b.taxon GROUP BY ALL),
-v AS (SELECT t1, t2, xy - a.s * b.s / n AS c, a.q - a.s * a.s / n AS v1, b.q - b.s * b.s / n AS v2 FROM x JOIN g a ON a.taxon = t1 JOIN g b ON b.taxon = t2, n)
+v AS (SELECT a.taxon AS t1, b.taxon AS t2, coalesce(xy, 0) - a.s * b.s / n AS c, a.q - a.s * a.s / n AS v1, b.q - b.s * b.s / n AS v2 FROM g a JOIN g b ON a.taxon < b.taxon LEFT JOIN x ON x.t1 = a.taxon AND x.t2 = b.taxon, n)
 SELECT t1, t2, round(CASE WHEN v1 <= 1e-12 OR v2 <= 1e-12 THEN 1 ELSE 1 - c / sqrt(v1 * v2) END, 6) AS d FROM v""")
 def taxon_correlation(spark: SparkSession, d: str) -> DataFrame:
     n = I.abundance(spark, d).select("sample").distinct().count()
@@ -231,8 +232,8 @@ ref AS (SELECT taxon, v / (SELECT sum(v) FROM q WHERE NOT back) * 100 AS x FROM
 
 def _halves(spark, d):
     line = I.table(spark, d, "lineitem").groupBy((F.col("l_returnflag") == "R").alias("back"), F.col("l_partkey").alias("taxon")).agg(F.sum("l_quantity").alias("value"))
-    share = F.col("value") / F.sum("value").over(Window.partitionBy("back")) * 100
-    shares = line.withColumn("value", share)
+    totals = F.broadcast(line.groupBy("back").agg(F.sum("value").alias("total")))  # two rows
+    shares = line.join(totals, "back").select("back", "taxon", (F.col("value") / F.col("total") * 100).alias("value"))
     return shares.filter("not back").drop("back"), shares.filter("back").drop("back")
 
 
@@ -256,6 +257,15 @@ def profile_compare(spark: SparkSession, d: str) -> DataFrame:
     return got.select("shared", "lost", "gained", *[_r(c) for c in ("spearman", "pearson", "ratio_median", "ratio_low", "ratio_high", "tau")])
 
 
+@query("identity_deltas", """WITH q AS (SELECT l_returnflag = 'R' AS back, l_partkey AS taxon, 90 + round(avg(l_discount) * 100, 6) AS ani FROM lineitem GROUP BY ALL),
+x AS (SELECT b.ani - a.ani AS delta FROM q a JOIN q b ON a.taxon = b.taxon AND NOT a.back AND b.back), l AS (SELECT list(delta ORDER BY delta) AS l FROM x)
+SELECT len(l) AS n, round(l[len(l) // 2 + 1], 6) AS median, round(l[1], 6) AS least, round(l[-1], 6) AS most FROM l""")
+def identity_deltas(spark: SparkSession, d: str) -> DataFrame:
+    line = I.table(spark, d, "lineitem").groupBy((F.col("l_returnflag") == "R").alias("back"), F.col("l_partkey").alias("taxon")).agg((90 + F.round(F.avg("l_discount") * 100, 6)).alias("ani"))
+    got = ec.identity_deltas(line.filter("not back"), line.filter("back"))
+    return got.select("n", _r("median"), _r("least"), _r("most"))
+
+
 # Catalogues: a part is in a region's catalogue if the region supplies a quarter of its line items.
 _CAT = """c AS (SELECT l_partkey AS genome, r_name AS biome, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL),
 cs AS (SELECT genome, biome, n AS prevalence, sum(n) OVER (PARTITION BY genome) AS total FROM c),
@@ -288,14 +298,14 @@ def marker_topn(spark: SparkSession, d: str) -> DataFrame:
 
 _SCORES = f"""{AB}, {_CAT}, mk AS (SELECT genome, list_sort(list(DISTINCT biome)) AS biomes FROM cat GROUP BY genome),
 jr AS (SELECT sample, ab.genome, round(value, 6) AS value, 90 + p_size / 5 AS ani, biomes, unnest(biomes) AS biome FROM ab JOIN mk USING (genome) JOIN part ON p_partkey = genome),
-scores AS (SELECT sample, biome, round(sum(value), 4) AS taxo, round(sum(CASE WHEN len(biomes) = 1 THEN value ELSE 0 END), 4) AS excl, count(*) AS n, count(*) FILTER (WHERE ani >= 97) AS n_hi, max(value) AS best, arg_max(genome, {{'v': value, 'g': -genome}}) AS top FROM jr GROUP BY ALL)"""
+scores AS (SELECT sample, biome, CAST(round(sum(CAST(value AS DECIMAL(20,6))), 4) AS DOUBLE) AS taxo, CAST(round(sum(CASE WHEN len(biomes) = 1 THEN CAST(value AS DECIMAL(20,6)) ELSE 0 END), 4) AS DOUBLE) AS excl, count(*) AS n, count(*) FILTER (WHERE ani >= 97) AS n_hi, max(value) AS best, arg_max(genome, {{'v': value, 'g': -genome}}) AS top FROM jr GROUP BY ALL)"""
 
 
 def _scores(spark, d):
     markers = _catalogue(spark, d).groupBy("genome").agg(F.sort_array(F.collect_set("biome")).alias("biomes"))
     ani = I.table(spark, d, "part").select(F.col("p_partkey").alias("genome"), (90 + F.col("p_size") / 5).alias("ani"))
     scores = sc.biome_scores(I.abundance(spark, d).select("sample", "genome", _r("value")).join(ani, "genome"), markers)
-    return scores.withColumns({c: F.round(c, 4) for c in ("taxo", "excl")})
+    return scores.withColumns({c: F.round(c, 4).cast("double") for c in ("taxo", "excl")})
 
 
 @query("screen_scores", f"WITH {_SCORES} SELECT * FROM scores")

@@ -47,27 +47,12 @@ def _sketches(spark, d):
     return stored(_sketch(spark, d)), stored(_sample(spark, d))
 
 
-def _codes(seq):
-    """Packed codes of the first k bases by built-in functions."""
-    digits = F.translate(F.substring(seq, 1, I.K), "ACGT", "0123")
-    back = F.translate(F.reverse(F.substring(seq, 1, I.K)), "ACGT", "3210")
-    return F.least(F.conv(digits, 4, 10).cast("long"), F.conv(back, 4, 10).cast("long"))
-
-
-_FIRST = f"""{I.CONTIGS}, {I.kmers_sql('first_kmer', 'genome, contig', 'fk', c=2).replace('WHERE x < ' + str(km.threshold(2)) + '::HUGEINT', '')}"""
-_FIRST = _FIRST.replace("fk_0 AS (", f"first_kmer AS (SELECT genome, contig, substring(seq, 1, {I.K}) AS seq FROM contigs),\nfk_0 AS (", 1)
-_FIRST = _FIRST.replace("CAST(x AS BIGINT) AS h", "CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS h")
-
-
-@query("rev_hash", f"WITH {_FIRST} SELECT genome, contig, h, key FROM fk")
-def rev_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Each contig's first k-mer hashed by built-in functions, and back by the inverse."""
+def _with_keys(spark, d):
+    """The kept k-mers of all contigs, and their keys by the inverse hash."""
     from collections.abc import Iterator
 
     from ..functions.workers import map_arrow
 
-    rows = I.contigs(spark, d).select("genome", "contig", km.hash_key(_codes(F.col("seq"))).alias("h"))
-
     def back(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -75,17 +60,23 @@ def rev_hash(spark: SparkSession, d: str) -> DataFrame:
         from kelpwood.functions.kmers import unmixed
 
         for b in batches:
-            keys = unmixed(b.column(2).to_numpy().view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys)], names=["genome", "contig", "h", "key"])
+            keys = unmixed(b.column(3).to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys)], names=["genome", "contig", "pos", "h", "key"])
 
-    return map_arrow(rows, back, "genome long, contig int, h long, key long")
+    return map_arrow(km.explode_kmers(I.contigs(spark, d), I.K, I.C), back, "genome long, contig int, pos int, h long, key long")
 
 
-@query("kmer_decode", f"""WITH {I.CONTIGS}, f AS (SELECT genome, contig, substring(seq, 1, {I.K}) AS s FROM contigs),
-r AS (SELECT *, translate(reverse(s), 'ACGT', 'TGCA') AS rc FROM f) SELECT genome, contig, least(s, rc) AS kmer FROM r""")
+@query("rev_hash", f"WITH {I.GENOME_KMERS} SELECT genome, contig, CAST(pos AS INT) AS pos, h, key, h AS again FROM gk")
+def rev_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of all kept k-mers by the inverse hash, and hashed again by built-in functions."""
+    return _with_keys(spark, d).withColumn("again", km.hash_key(F.col("key")))
+
+
+@query("kmer_decode", f"""WITH {I.GENOME_KMERS}, s AS (SELECT genome, contig, pos, substring(seq, CAST(pos + 1 AS BIGINT), {I.K}) AS s FROM gk JOIN contigs USING (genome, contig)),
+r AS (SELECT *, translate(reverse(s), 'ACGT', 'TGCA') AS rc FROM s) SELECT genome, contig, CAST(pos AS INT) AS pos, least(s, rc) AS kmer FROM r""")
 def kmer_decode(spark: SparkSession, d: str) -> DataFrame:
-    """The packed canonical k-mer at each contig's start, as bases again."""
-    return I.contigs(spark, d).select("genome", "contig", km.decode_kmer(_codes(F.col("seq")), I.K).alias("kmer"))
+    """The packed canonical k-mers that are kept, as bases again."""
+    return _with_keys(spark, d).select("genome", "contig", "pos", km.decode_kmer(F.col("key"), I.K).alias("kmer"))
 
 
 @query("genome_sketch_unique", f"""WITH {I.GENOME_KMERS}, {I.UNIQUE},
@@ -224,7 +215,7 @@ q AS (SELECT *, x / (variance - 1 + x + mean_cov) AS r FROM g),
 e AS (SELECT *, abs(CASE WHEN r < 100 THEN (r + 1) / 2 ELSE (r + 2) / 2 END * x / (r + x) - observed) AS off FROM q WHERE r >= 0)
 SELECT sample, genome, arg_min(x, {{'off': off, 'i': i}}) AS lambda FROM e GROUP BY sample, genome HAVING min(off) < 10000""")
 def lambda_nb(spark: SparkSession, d: str) -> DataFrame:
-    return ct.lambda_negative_binomial(stored(_cover(spark, d)).repartition("genome")).select("sample", "genome", "lambda")
+    return ct.lambda_negative_binomial(_cover(spark, d)).select("sample", "genome", "lambda")
 
 
 def _results(spark, d, sketches=None):
@@ -316,6 +307,37 @@ def explained_bases(spark: SparkSession, d: str) -> DataFrame:
     return found.select("sample", F.round("explained", 6).alias("explained"))
 
 
+@query("profile_reads", f"""WITH RECURSIVE {_PROFILE}, {_IDENTITY}, tc AS (SELECT sample, genome, tax, gn_size, final_cov / kmer_identity * (mean_read_length / (mean_read_length - {I.K} + 1)) AS cov, mean_read_length, total_count FROM prof JOIN ident USING (sample)),
+ex AS (SELECT sample, least(sum(gn_size * cov) / ({I.C} * any_value(total_count) * (any_value(mean_read_length) / (any_value(mean_read_length) - {I.K} + 1))), 1) AS explained FROM tc GROUP BY sample)
+SELECT sample, genome, CAST(round(cov * gn_size / mean_read_length * explained) AS BIGINT) AS reads FROM tc JOIN ex USING (sample)""")
+def profile_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The profile's genomes with the reads that each stands for, the most abundant first."""
+    sketches = _sketches(spark, d)
+    identity = _identity(spark, d, sketches)
+    rows = stored(ct.true_coverage(_profile(spark, d, sketches), identity, I.K).select("sample", "genome", "taxonomic_abundance", "gn_size", "true_cov"))
+    explained = ct.explained_bases(rows, identity, I.K, I.C, "true_cov")
+    return ct.read_counts(rows, identity, explained).orderBy("sample", F.desc("taxonomic_abundance"), "genome").select("sample", "genome", "reads")
+
+
+_SCREEN = f"""{_PAIRS}, lg AS (SELECT doc_id AS genome, lang FROM documents WHERE lang IS NOT NULL),
+share AS (SELECT sample, lang, CAST(sum(n) AS BIGINT) AS found FROM hist JOIN lg USING (genome) GROUP BY ALL),
+pick AS (SELECT sample, lang FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY found DESC, lang) AS place FROM share) WHERE place = 1)"""
+
+
+@query("screen_then_profile", f"""WITH RECURSIVE {_SCREEN}, hist0 AS (SELECT h.* FROM hist h JOIN lg USING (genome) JOIN pick p ON p.sample = h.sample AND p.lang = lg.lang),
+{cover_sql('hist0', 'cover')}, {result_sql('cover', 'results', MIN_ANI)} SELECT sample, lang AS catalogue, genome, round(final_ani, 9) AS final_ani, round(final_cov, 9) AS final_cov FROM results JOIN pick USING (sample)""")
+def screen_then_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogues are the genomes of a language. Each sample is screened against all,
+    the catalogue that holds most of its k-mers is chosen, and only its genomes are looked for."""
+    pairs, sizes = _pairs(spark, d)
+    pairs = stored(pairs)
+    catalogues = I.table(spark, d, "documents").filter("lang is not null").select(F.col("doc_id").alias("genome"), F.col("lang").alias("catalogue"))
+    found = pairs.join(catalogues, "genome")
+    chosen = found.groupBy("sample", "catalogue").agg(F.sum("n").alias("found")).groupBy("sample").agg(F.min_by("catalogue", F.struct(-F.col("found"), F.col("catalogue"))).alias("catalogue"))
+    rows = ct.identities(ct.coverage(found.join(chosen, ["sample", "catalogue"]).select("sample", "genome", "cnt", "n"), sizes, I.K), I.K, min_ani=MIN_ANI)
+    return rows.join(chosen, "sample").select("sample", "catalogue", "genome", F.round("final_ani", 9).alias("final_ani"), F.round("final_cov", 9).alias("final_cov"))
+
+
 @query("pass_join", f"""WITH RECURSIVE {_PROFILE} SELECT o.sample, o.genome, CAST(o.contained AS BIGINT) AS before, CAST(n.contained AS BIGINT) AS after, n.contained IS NOT NULL AS survives
 FROM results o LEFT JOIN prof n ON n.sample = o.sample AND n.genome = o.genome""")
 def pass_join(spark: SparkSession, d: str) -> DataFrame:
@@ -361,6 +383,15 @@ def db_audit(spark: SparkSession, d: str) -> DataFrame:
     return sk.audit(_sketch(spark, d), I.C, FLOOR)
 
 
+@query("db_audit_settings", f"""WITH RECURSIVE {_MERGE}, s AS (SELECT part, genome, count(*) FILTER (WHERE NOT used) AS tracked FROM u WHERE part = 'english' OR h < {_T(40)} GROUP BY ALL)
+SELECT count(*) AS sketches, count(*) FILTER (WHERE tracked = 0) AS missing_tracked, 1 AS n_k, 2 AS n_c, 1 AS n_min_spacing, count(*) - count(DISTINCT genome) AS duplicate_names FROM s""")
+def db_audit_settings(spark: SparkSession, d: str) -> DataFrame:
+    """The English genomes, and those of one source at a coarser c, which are no single database."""
+    sketch, docs = stored(_sketch(spark, d)), I.table(spark, d, "documents").withColumnRenamed("doc_id", "genome")
+    pick = lambda c, at, name: sk.reduce_sketch(sketch.join(docs.filter(c).select("genome"), "genome", "left_semi"), at).withColumns({"part": F.lit(name), "k": F.lit(I.K), "c": F.lit(at), "min_spacing": F.lit(I.SPACING)})
+    return sk.audit_settings(pick("lang = 'en'", I.C, "english").unionByName(pick("source = 'src0'", 40, "first_source")))
+
+
 @query("reduce_verdict", f"""WITH RECURSIVE {I.SKETCH}, g AS (SELECT genome, count(*) FILTER (WHERE used AND h < {_T(40)}) AS observed, count(*) FILTER (WHERE used) / 2 AS expected FROM sketch GROUP BY genome)
 SELECT genome, observed, expected, CASE WHEN expected < 100 THEN 'skipped' WHEN abs(observed / expected - 1) <= 0.20 + 6 / sqrt(expected) THEN 'ok' ELSE 'off' END AS verdict FROM g WHERE expected > 0""")
 def reduce_verdict(spark: SparkSession, d: str) -> DataFrame:
@@ -384,3 +415,13 @@ def sketch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
     write_sketch(_sketch(spark, d), path, k=I.K, c=I.C, min_spacing=I.SPACING)
     return read_sketch(spark, path, k=I.K, c=I.C)
+
+
+@query("sample_sketch_roundtrip", f"WITH {I.SAMPLE} SELECT sample, h, cnt FROM counts WHERE h < {_T(40)}")
+def sample_sketch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Sample sketches written and read back for a database of a coarser c."""
+    from ..sources.stores import read_samples, scratch, write_samples
+
+    path = scratch(spark)
+    write_samples(_sample(spark, d).filter("sample is not null"), path, I.K, I.C)
+    return read_samples(spark, path, I.K, 40)

@@ -48,17 +48,20 @@ def input_routing(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).withColumn("kind", nm.route(F.col("name")))
 
 
-_MATES = f"""{_FILES}, m AS (SELECT *, regexp_extract(name, '(?i){q(nm.MATE)}', 1) AS a, regexp_extract(name, '(?i){q(nm.MATE)}', 2) AS b, regexp_extract(name, '(?i){q(nm.MATE)}', 3) AS c FROM files),
-keyed AS (SELECT id, name, CASE WHEN a <> '' THEN a || c END AS key, CASE WHEN b <> '' THEN CAST(b AS INT) END AS mate FROM m)"""
+_MATES = rf"""{_FILES}, m AS (SELECT *, regexp_extract(name, '(?i)^(.*)\.(?:{nm.FASTQ})(?:\.gz)?$', 1) AS stem FROM files),
+sp AS (SELECT *, string_split_regex(stem, '[._-]') AS l FROM m),
+mk AS (SELECT *, list_filter(range(2, len(l) + 1), lambda i: regexp_matches(l[i], '^[Rr]?[12]$') AND (i > 2 OR l[1] <> '') AND NOT list_contains(l[i + 1:], ''))[1] AS i FROM sp),
+keyed AS (SELECT id, name, CASE WHEN i IS NOT NULL THEN array_to_string(l[1:i - 1], '?') END AS head, i, l, stem FROM mk),
+keyed0 AS (SELECT id, name, CASE WHEN i IS NOT NULL THEN stem[1:length(head)] || stem[length(head) + length(l[i]) + 2:] END AS key, CAST(l[i][-1:] AS INT) AS mate FROM keyed)"""
 
 
-@query("mate_names", f"WITH {_MATES} SELECT * FROM keyed")
+@query("mate_names", f"WITH {_MATES} SELECT * FROM keyed0")
 def mate_names(spark: SparkSession, d: str) -> DataFrame:
     key, mate = nm.mate_key(F.col("name"))
     return _files(spark, d).withColumns({"key": key, "mate": mate})
 
 
-@query("mate_pairing", f"""WITH {_MATES}, p AS (SELECT *, row_number() OVER (PARTITION BY key, mate ORDER BY name, id) AS place FROM keyed WHERE key IS NOT NULL),
+@query("mate_pairing", f"""WITH {_MATES}, p AS (SELECT *, row_number() OVER (PARTITION BY key, mate ORDER BY name, id) AS place FROM keyed0 WHERE key IS NOT NULL),
 a AS (SELECT * FROM p WHERE mate = 1), b AS (SELECT * FROM p WHERE mate = 2) SELECT coalesce(a.key, b.key) AS key, a.name AS r1, b.name AS r2 FROM a FULL JOIN b ON a.key = b.key AND a.place = b.place""")
 def mate_pairing(spark: SparkSession, d: str) -> DataFrame:
     key, mate = nm.mate_key(F.col("name"))
@@ -253,6 +256,19 @@ def fastq_stop(spark: SparkSession, d: str) -> DataFrame:
     return fq.until_broken(fq.fastq_records(_fastq(spark, d, True)), ["genome"]).select("genome", "idx", "name")
 
 
+@query("manifest_lookup", f"""WITH {_MATES}, man AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_1.fastq.gz' AS name, 'M_' || p_brand AS sample, 'PAIRED' AS layout, 1 AS mate FROM part WHERE p_partkey % 5 = 0),
+man1 AS (SELECT name, min(sample) AS sample, any_value(layout) AS layout, any_value(mate) AS mate FROM man GROUP BY name)
+SELECT id, k.name, coalesce(man1.sample, k.key, regexp_replace(regexp_replace(k.name, '(?i)\\.gz$', ''), '(?i)\\.({nm.FASTQ})$', '')) AS sample,
+CASE WHEN man1.name IS NOT NULL THEN man1.layout WHEN k.key IS NOT NULL THEN 'PAIRED' ELSE 'SINGLE' END AS layout, CASE WHEN man1.name IS NOT NULL THEN man1.mate ELSE k.mate END AS mate
+FROM keyed0 k LEFT JOIN man1 ON man1.name = k.name""")
+def manifest_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Files and their samples: by a manifest of some names, else by the mate's marker, else alone."""
+    part = I.table(spark, d, "part").filter("p_partkey % 5 = 0")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_1.fastq.gz"))
+    manifest = part.groupBy(name.alias("name")).agg(F.concat(F.lit("M_"), F.min("p_brand")).alias("sample")).withColumns({"layout": F.lit("PAIRED"), "mate": F.lit(1)})
+    return rn.assign_samples(_files(spark, d), manifest)
+
+
 @query("paired_reads", f"WITH {I.PAIRS} SELECT idx, r1, r2 FROM pairs")
 def paired_reads(spark: SparkSession, d: str) -> DataFrame:
     return I.pairs(spark, d).select("idx", "r1", "r2")
@@ -427,4 +443,5 @@ def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
         turns = st.stream_table(spark, f"{d}/conversations.parquet").filter(F.col("turn") % 2 == k)
         return turns.select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("idx"), dna(F.col("text")).alias(f"r{k + 1}"))
 
-    return st.drain(st.joined_mates(side(0), side(1), ["idx"]), lambda x: x, scratch(spark)).select("idx", "r1", "r2")
+    # Ordinals count a thousand a conversation: mates may be a hundred thousand conversations apart.
+    return st.drain(st.joined_mates(side(0), side(1), "idx", 100_000 * 1000), lambda x: x, scratch(spark)).select("idx", "r1", "r2")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def drain(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
@@ -39,6 +40,11 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
-def joined_mates(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Two streams of mates joined by their ordinal; what has no partner yet is state."""
-    return left.join(right, by)
+def joined_mates(left: DataFrame, right: DataFrame, ordinal: str, lag: int = 100_000) -> DataFrame:
+    """Two streams of mates joined by their ordinal. What has no partner yet is
+    state, until the other stream is more than ``lag`` ordinals past it: the
+    ordinal is the event time, one second each, and the lag its watermark."""
+    late = f"{lag} seconds"
+    at = F.timestamp_seconds(F.col(ordinal) + 1)  # a watermark starts at the epoch, and nothing is late there
+    a, b = (side.withColumn("at_", at).withWatermark("at_", late) for side in (left, right))
+    return a.join(b, [ordinal, "at_"]).drop("at_")
