@@ -23,7 +23,7 @@ from .shared import fresh, map_arrow, shared_folder, stored, whole_text
 GRAM, HASHES, BITS = 4, 2, 20
 #: Training texts of each language, at most about so many.
 SAMPLE_TEXTS = 4_000
-#: An n-gram belongs to a language if at least this share of its texts hold it, and two at least.
+#: An n-gram belongs to a language if at least this share of its training texts hold it, and two of them if there are two.
 LEAST_SHARE = 0.005
 UNKNOWN = "und"
 
@@ -67,13 +67,15 @@ def positions(hashes, bits: int):
     return [((hashes + np.uint64(k) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for k in range(HASHES)]
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS, bits: int = BITS) -> dict:
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS, bits: int = BITS, least_share: float = LEAST_SHARE) -> dict:
     """languages (sorted), masks (list of arrays of 2^bits uint64, 64 languages
     each) and false_positives (one rate a language).
 
     n-grams are counted by grouped sums over a sample of at most about
     ``sample`` texts a language, outside the held-out fold; what comes to the
-    driver is bounded by the length of the table.
+    driver is bounded by the length of the table. Rare n-grams, below ``least_share``
+    of a language's texts, are left out of its filter; a language with a single
+    training text has all of this text's.
     """
     import numpy as np
 
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     texts = {r["lang"]: r["t"] for r in counted.groupBy("lang").agg(F.sum("texts").alias("t")).collect()}
     least, place = F.lit(2.0), F.lit(0)
     for k, lang in enumerate(languages):
-        least = F.when(F.col("lang") == lang, max(2.0, LEAST_SHARE * texts.get(lang, 0))).otherwise(least)
+        least = F.when(F.col("lang") == lang, max(min(2.0, texts.get(lang, 0)), least_share * texts.get(lang, 0))).otherwise(least)
         place = F.when(F.col("lang") == lang, k).otherwise(place)
     own = counted.filter(F.col("n") >= least).select(place.alias("place"), "gram")
     step = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))

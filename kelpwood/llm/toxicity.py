@@ -201,7 +201,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **fitting) -> DataFrame:
-    """The rows that are not predicted to be toxic, with the columns of docs."""
+    """The rows that are not predicted to be toxic, with the columns of docs. Where
+    nothing was learned, as there are no labels, none is."""
     p = fresh("p_", docs.columns)
-    scored = score(docs, fit(docs, labels, label, id_col, text_col, **fitting), text_col, p)
+    weights = fit(docs, labels, label, id_col, text_col, **fitting)
+    if not weights[0]:
+        return docs
+    scored = score(docs, weights, text_col, p)
     return scored.filter(F.col(p) < threshold).select(*docs.columns)

@@ -98,6 +98,99 @@ def test_bit_slices_hold_every_gram_of_their_language(spark):
     assert got == {"en": "en", "es": "es"}
 
 
+def plain_grams(text):
+    """Hashes of the 4-byte n-grams of one text, with repeats, word by word."""
+    import re
+
+    import numpy as np
+
+    from kelpwood.llm import bytes_text as B
+
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    b = np.frombuffer(b" " + b" ".join(words) + b" " if words else b"", np.uint8)
+    return [int(B.range_hashes(b[k : k + 4], np.array([0]), np.array([4]))[0]) for k in range(len(b) - 3)]
+
+
+def test_language_model_and_scores_equal_a_plain_version(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    rows = [r for r in docs.collect()]
+    bits, least_share = 14, 0.02
+    model = language.fit(docs, bits=bits, least_share=least_share)
+    learned = [r for r in rows if r.lang is not None and not out_of_fold(r.doc_id)]
+    languages = sorted({r.lang for r in learned})
+    table = [0] * (1 << bits)
+    spots = lambda h: [(h + k * (h >> 32 | 1)) % (1 << bits) for k in range(2)]
+    for k, lang in enumerate(languages):
+        texts = [set(plain_grams(r.text)) for r in learned if r.lang == lang]
+        for h in set().union(*texts):
+            if sum(h in t for t in texts) >= max(min(2, len(texts)), least_share * len(texts)):
+                for s in spots(h):
+                    table[s] |= 1 << k
+    assert model["languages"] == languages and model["masks"][0].tolist() == table
+    fp = [(sum(x >> k & 1 for x in table) / len(table)) ** 2 for k in range(len(languages))]
+    assert model["false_positives"] == pytest.approx(fp)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model, bits=bits).collect()}
+    for r in rows:
+        grams = plain_grams(r.text)
+        both = [table[spots(h)[0]] & table[spots(h)[1]] for h in grams]
+        true = [max(0, (sum(m >> k & 1 for m in both) - len(grams) * fp[k]) / (1 - fp[k])) for k in range(len(languages))]
+        best = int(np.argmax(true))
+        want = (languages[best], min(1, true[best] / max(1, len(grams)))) if any(c.isalpha() for c in r.text or "") else ("und", 0.0)
+        assert got[r.doc_id] == (want[0], pytest.approx(want[1], abs=1e-12))
+
+
+def test_a_language_of_one_text_and_rare_grams(spark):
+    rows = [(4 * i, "alpha beta gamma delta", "en") for i in range(20)] + [(1, "quick brown foxes", "en"), (3, "zwei kleine pferde", "de")]
+    rows = [r for r in rows if not out_of_fold(r[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.text: (r.lang_pred, r.score) for r in language.identify(docs, language.fit(docs)).collect()}
+    assert got["zwei kleine pferde"][0] == "de" and got["zwei kleine pferde"][1] > 0.9
+    assert got["quick brown foxes"][1] < 0.2  # in one text of a language that has more: not in its filter
+    assert language.fit(docs, least_share=1.0)["languages"] == ["de", "en"]
+    strict = {r.text: r.score for r in language.identify(docs, language.fit(docs, least_share=1.0)).collect()}
+    assert strict["alpha beta gamma delta"] < 0.1  # in nearly all of the texts is not enough
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    import math
+    import re
+
+    import numpy as np
+
+    from kelpwood.llm import bytes_text as B
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    weights = toxicity.fit(docs, lab)
+    weight = dict(zip(*weights))
+    assert weight and all(weight.values())
+    one = lambda b: int(B.range_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    mixed = lambda x: int(B.mixed(np.array([x % (1 << 64)], np.uint64))[0])
+    seen = {}
+
+    def coordinates(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+        h = [seen.get(w) or seen.setdefault(w, one(w)) for w in words]
+        found = set(h) | {mixed(one(w[:k]) + k) for w in set(words) for k in (5, 6, 7, 8) if len(w) > k}
+        for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
+            found |= {mixed(a * salt + b) for a, b in set(zip(h, h[gap:]))}
+        return {c if (c := x >> 44) else 1 for x in found} | {0}
+
+    for r in toxicity.score(docs, weights).collect():
+        z = sum(weight.get(c, 0.0) for c in coordinates(r.text or ""))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))), abs=1e-5)
+
+
+def test_only_coordinates_of_enough_texts_enter_a_model(spark):
+    rows = [(4 * i, f"common words {'slur' if i % 2 else 'nice'} rare{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int("slur" in t)) for i, t in rows], "doc_id long, toxic int")
+    sizes = [len(toxicity.fit(docs, lab, least_texts=n)[0]) for n in (1, 4, 1000)]
+    assert sizes[0] >= sizes[1] > sizes[2] <= 1
+
+
 def test_many_languages(spark):
     import hashlib
 
