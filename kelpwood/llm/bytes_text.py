@@ -2,7 +2,8 @@
 
 The functions work on the value buffer of an Arrow string column, a block of
 rows at a time, so that no Python object is made for a word. A block needs
-about 60 bytes of memory for each byte of text, and is one row at least.
+about 60 bytes of memory for each byte of text, and is one row at least; a long
+row is worked on in segments, which end between words (a single word is whole).
 """
 
 from __future__ import annotations
@@ -39,6 +40,28 @@ def blocks(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
+def segments(data: np.ndarray, member: np.ndarray, size: int = BLOCK_BYTES) -> list[tuple[int, int, int]]:
+    """(start, end, next_end) of the segments of one long text: each but the first
+    starts with a word (a run of ``member``) and each but the last ends before one,
+    which ends at next_end. Segments have ``size`` bytes, and up to two words more."""
+    out, start, n = [], 0, len(data)
+
+    def first(at: int, inside: bool) -> int:
+        """The first byte from ``at`` on for which member is ``inside``, or the end."""
+        while at < n:
+            found = np.flatnonzero(member[data[at : at + 4096]] == inside)
+            if len(found):
+                return at + int(found[0])
+            at += 4096
+        return n
+
+    while start < n:
+        end = first(first(min(n, start + size), False), True)
+        out.append((start, end, first(end, False)))
+        start = end
+    return out or [(0, 0, 0)]
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of each run of bytes for which member holds, within rows."""
     inside = member[data]

@@ -59,6 +59,21 @@ def gram_hashes(data, offsets):
     return of[first][inside], h[inside]
 
 
+def text_gram_hashes(data) -> Iterator:
+    """The n-grams of one long text's bytes, segment by segment: (hashes, sign).
+    Each segment reaches to the end of the next word, whose own n-grams then come
+    once more with sign -1: they are those of the next segment's start."""
+    import numpy as np
+
+    from . import bytes_text as B
+
+    for start, end, next_end in B.segments(data, B.WORD_BYTE):
+        for at, sign in ((start, 1), (end, -1)):
+            part = data[at:next_end]
+            if len(part):
+                yield gram_hashes(part, np.array([0, len(part)]))[1], sign
+
+
 def positions(hashes, bits: int):
     """HASHES rows of the table for each hash, as one array after the other."""
     import numpy as np
@@ -95,12 +110,16 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         from . import bytes_text as B
-        from .language import gram_hashes
+        from .language import gram_hashes, text_gram_hashes
 
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for first, data, offsets in B.blocks(batch.column(1)):
-                row, h = gram_hashes(data, offsets)
+                if len(data) > 2 * B.BLOCK_BYTES:  # a single long text
+                    h = np.unique(np.concatenate([np.unique(h) for h, sign in text_gram_hashes(data) if sign > 0]))
+                    row = np.zeros(len(h), np.int64)
+                else:
+                    row, h = gram_hashes(data, offsets)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 new = np.ones(len(h), bool)
@@ -152,7 +171,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", bits: int = B
         import pyarrow.compute as pc
 
         from . import bytes_text as B
-        from .language import UNKNOWN, gram_hashes, positions
+        from .language import UNKNOWN, gram_hashes, positions, text_gram_hashes
 
         model = shared.value
         languages, fp = model["languages"], np.array(model["false_positives"])
@@ -163,16 +182,20 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", bits: int = B
             lettered = np.asarray(pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False), bool)
             for first, data, offsets in B.blocks(column):
                 n = len(offsets) - 1
-                row, h = gram_hashes(data, offsets)
-                total = np.bincount(row, minlength=n)[:, None]
-                at = positions(h, bits)
-                hits = np.zeros((n, len(languages)))
-                for w, table in enumerate(model["masks"]):
-                    found = table[at[0]]
-                    for p in at[1:]:
-                        found = found & table[p]
-                    for k in range(64 * w, min(len(languages), 64 * w + 64)):
-                        hits[:, k] = np.bincount(row[(found >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n)
+                total, hits = np.zeros((n, 1)), np.zeros((n, len(languages)))
+                if len(data) > 2 * B.BLOCK_BYTES:  # a single long text
+                    parts = ((np.zeros(len(h), np.int64), h, sign) for h, sign in text_gram_hashes(data))
+                else:
+                    parts = [(*gram_hashes(data, offsets), 1)]
+                for row, h, sign in parts:
+                    total[:, 0] += sign * np.bincount(row, minlength=n)
+                    at = positions(h, bits)
+                    for w, table in enumerate(model["masks"]):
+                        found = table[at[0]]
+                        for p in at[1:]:
+                            found = found & table[p]
+                        for k in range(64 * w, min(len(languages), 64 * w + 64)):
+                            hits[:, k] += sign * np.bincount(row[(found >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n)
                 if not languages:
                     continue
                 true = np.maximum(0, (hits - total * fp) / np.maximum(1 - fp, 1e-9))

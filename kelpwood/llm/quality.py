@@ -26,24 +26,38 @@ SAMPLE_TEXTS = 20_000
 FEATURES = ("bias", "log_words", "upper", "symbols", "marks", "digits", "repeats", "few_words", "word_length")
 
 
+def _members(chars: str):
+    import numpy as np
+
+    m = np.zeros(256, bool)
+    m[list(chars.encode())] = True
+    return m
+
+
+#: Kinds of characters that are counted: small and capital letters, symbols, marks, digits.
+KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*+<=>@[\\]^_`{|}~", "!?.,;:-'\"()/", "0123456789")
+
+
 def shape_features(data, offsets):
     """One row of FEATURES for each row of a block."""
     import numpy as np
 
     from . import bytes_text as B
 
-    n = len(offsets) - 1
+    n, kinds = len(offsets) - 1, [_members(k) for k in KINDS]
+    if n == 1 and len(data) > 2 * B.BLOCK_BYTES:  # a single long text
+        counts, again, words, seen = np.zeros(len(KINDS)), 0, 0, np.zeros(0, np.uint64)
+        for start, end, next_end in B.segments(data, ~B.SPACE_BYTE):
+            part = data[start:next_end]
+            counts += [np.count_nonzero(k[data[start:end]]) for k in kinds]
+            _, s, e = B.spans(part, np.array([0, len(part)]), ~B.SPACE_BYTE)
+            h = B.range_hashes(B.LOWER[part], s, e)
+            again += int(np.count_nonzero(h[1:] == h[:-1]))
+            words += len(h) - (next_end > end)
+            seen = np.union1d(seen, h)
+        return _shape(counts[None], np.array([float(words)]), np.array([again]), np.array([len(seen)]), np.array([len(data)]))
     row_of = np.repeat(np.arange(n), np.diff(offsets))
-
-    def counted(member):
-        return np.bincount(row_of[member[data]], minlength=n).astype(float)
-
-    def member(chars: str):
-        m = np.zeros(256, bool)
-        m[list(chars.encode())] = True
-        return m
-
-    small, large = member("abcdefghijklmnopqrstuvwxyz"), member("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    counts = np.stack([np.bincount(row_of[k[data]], minlength=n) for k in kinds], axis=1).astype(float)
     row, start, end = B.spans(data, offsets, ~B.SPACE_BYTE)
     words = np.bincount(row, minlength=n).astype(float)
     h = B.range_hashes(B.LOWER[data], start, end)
@@ -52,18 +66,25 @@ def shape_features(data, offsets):
     r, s = row[order], h[order]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-    distinct = np.bincount(r[new], minlength=n)
-    per_word, letters = 1 / np.maximum(words, 1), np.maximum(counted(small) + counted(large), 1)
+    return _shape(counts, words, again, np.bincount(r[new], minlength=n), np.diff(offsets))
+
+
+def _shape(counts, words, again, distinct, sizes):
+    """FEATURES from counts: of KINDS, words, words repeated at once, distinct words, bytes."""
+    import numpy as np
+
+    small, large, symbols, marks, digits = counts.T
+    per_word = 1 / np.maximum(words, 1)
     return np.stack([
-        np.ones(n),
+        np.ones(len(words)),
         np.log1p(words),
-        counted(large) / letters,
-        np.minimum(2, counted(member("#$%&*+<=>@[\\]^_`{|}~")) * per_word),
-        np.minimum(2, counted(member("!?.,;:-'\"()/")) * per_word),
-        np.minimum(2, counted(member("0123456789")) * per_word),
+        large / np.maximum(small + large, 1),
+        np.minimum(2, symbols * per_word),
+        np.minimum(2, marks * per_word),
+        np.minimum(2, digits * per_word),
         again * per_word,
         np.maximum(0, 0.6 - distinct * per_word) * (words > 0),
-        np.minimum(20, np.diff(offsets) * per_word) / 10,
+        np.minimum(20, sizes * per_word) / 10,
     ], axis=1)
 
 

@@ -56,13 +56,26 @@ def features(data, offsets, bits: int = BITS):
     return rows, np.where(coordinate == BIAS, 1, coordinate)
 
 
+def one_text_features(data, bits: int = BITS):
+    """The distinct coordinates of one text's bytes, by segments that share two words."""
+    import numpy as np
+
+    from . import bytes_text as B
+
+    found, back = [np.zeros(0, np.int64)], 0
+    for _, end, _ in B.segments(data, B.WORD_BYTE):
+        part = data[back:end]
+        found.append(np.unique(features(part, np.array([0, len(part)]), bits)[1]))
+        words = B.spans(part, np.array([0, len(part)]), B.WORD_BYTE)[1]
+        back += int(words[-2]) if len(words) > 1 else 0
+    return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
+
+
 def text_features(text: str, bits: int = BITS):
     """The distinct coordinates of one text, the bias among them."""
     import numpy as np
 
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    _, c = features(data, np.array([0, len(data)]), bits)
-    return np.union1d(c, [BIAS])
+    return np.union1d(one_text_features(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), bits), [BIAS])
 
 
 class Ftrl:
@@ -160,7 +173,7 @@ def score(docs: DataFrame, weights: tuple[list[int], list[float]], text_col: str
         import pyarrow as pa
 
         from . import bytes_text as B
-        from .toxicity import BIAS, features
+        from .toxicity import BIAS, features, one_text_features
 
         at, w = compact.value
         table = np.zeros(1 << bits, np.float32)
@@ -170,6 +183,9 @@ def score(docs: DataFrame, weights: tuple[list[int], list[float]], text_col: str
             column = batch.column(batch.schema.get_field_index(text))
             logit = np.full(batch.num_rows, float(table[BIAS]))
             for first, data, offsets in B.blocks(column):
+                if len(data) > 2 * B.BLOCK_BYTES:  # a single long text
+                    logit[first] += float(table[one_text_features(data, bits)].sum())
+                    continue
                 row, c = features(data, offsets, bits)
                 hit = has[c]
                 both = np.unique((row[hit] << bits) | c[hit])

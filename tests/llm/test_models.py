@@ -183,6 +183,42 @@ def test_toxicity_scores_equal_a_plain_version(spark):
         assert r.score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))), abs=1e-5)
 
 
+def test_long_texts_in_segments_equal_whole_ones(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from kelpwood.llm import bytes_text as B
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["Alpha", "b", "cc", "12", "Gamma!", "é", "x-y", "\n", "longerword", "longerword"]) for _ in range(n)) for n in (1, 3, 400)] + ["a" * 300, " " * 300, "--" * 200, ""]
+    whole = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        _, h = language.gram_hashes(data, np.array([0, len(data)]))
+        whole.append((quality.shape_features(data, np.array([0, len(data)])), toxicity.text_features(t), sorted(h.tolist())))
+    segments = B.segments
+    monkeypatch.setattr(B, "segments", lambda data, member, size=0: segments(data, member, 40))
+    monkeypatch.setattr(B, "BLOCK_BYTES", 20)
+    for t, (shape, coordinates, grams) in zip(texts, whole):
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert np.allclose(quality.shape_features(data, np.array([0, len(data)])), shape)
+        assert toxicity.text_features(t).tolist() == coordinates.tolist()
+        counts = {}
+        for h, sign in language.text_gram_hashes(data):
+            for x in h.tolist():
+                counts[x] = counts.get(x, 0) + sign
+        assert sorted(x for x, n in counts.items() for _ in range(n)) == grams and min(counts.values(), default=0) >= 0
+
+
+def test_a_text_of_many_megabytes(spark):
+    docs = spark.createDataFrame([(1, "Some words 12, " * 2_000_000, "en")], "doc_id long, text string, lang string")
+    some = labels(spark, [(1, 1, 0)])
+    assert language.identify(docs, language.fit(docs)).first().lang_pred in ("en", "und")
+    assert quality.quality(docs.withColumn("source", F.lit("s")), some, columns=["doc_id"]).count() == 1
+    assert toxicity.toxicity(docs, some).select("doc_id", "score").count() == 1
+
+
 def test_only_coordinates_of_enough_texts_enter_a_model(spark):
     rows = [(4 * i, f"common words {'slur' if i % 2 else 'nice'} rare{i}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
