@@ -99,7 +99,7 @@ def with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _merge(labels, a, b, bits) -> list:
     """Give the components of a[i] and b[i] one label, the smaller index. Returns
-    (a, b) of the pairs that did so, the ones of fewest bits: a forest."""
+    (a, b, bits) of the pairs that did so, the ones of fewest bits: a forest."""
     import numpy as np
 
     used = []
@@ -112,7 +112,7 @@ def _merge(labels, a, b, bits) -> list:
         high = np.maximum(la, lb)
         order = np.lexsort((bits, high))
         first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
-        used.append((a[first], b[first]))
+        used.append((a[first], b[first], bits[first]))
         labels[high[first]] = np.minimum(la, lb)[first]
         while True:
             up = labels[labels]
@@ -121,23 +121,26 @@ def _merge(labels, a, b, bits) -> list:
             labels[:] = up
 
 
-def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=None):
-    """Links of leaves through the tries: (labels, a, b).
+def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=None, allowed=None):
+    """Links of leaves through the tries: (labels, a, b, bits).
 
     fp: uint64 fingerprints; roots: rows (a_lo, a_hi, b_lo, b_hi) of node pairs
     to traverse, ranges of fp in which it ascends; a range with itself for a
     self-join. Leaves within ``budget`` bits are linked; with ``words`` (a row
     of uint64 for each leaf) only if these differ in ``word_budget`` bits at
-    most, all words together.
+    most, all words together; and with ``allowed`` only if allowed(i, j) holds.
 
-    Without ``parts``, a and b are a forest that connects all linked leaves, and
-    labels the smallest index in each leaf's component. With parts (a number for
-    each leaf), a and b are all links between leaves of different parts.
+    a, b and bits are a forest that connects all linked leaves, those of few bits
+    first, and labels the smallest index in each leaf's component. Leaves of
+    equal ``parts`` (a number for each leaf) are in one component from the start.
     """
     import numpy as np
 
     n = len(fp)
-    labels = np.arange(n) if parts is None else parts
+    labels = np.arange(n)
+    if parts is not None:
+        _, first, place = np.unique(parts, return_index=True, return_inverse=True)
+        labels = first[place]
     found: list = []
 
     def compare(i, j):
@@ -148,15 +151,18 @@ def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=N
             bits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
             near = bits <= word_budget
             i, j, bits = i[near], j[near], bits[near]
+        if allowed is not None and len(i):
+            near = allowed(i, j)
+            i, j, bits = i[near], j[near], bits[near]
         if len(i):
-            found.extend([(i, j)] if parts is not None else _merge(labels, i, j, bits))
-
-    if parts is None:  # neighbours in order are often links; known components prune whole node pairs
-        lo, hi = np.zeros(n, bool), np.zeros(n, bool)
-        lo[roots[:, 0]] = hi[roots[:, 1] - 1] = True
-        lo[roots[:, 2]] = hi[roots[:, 3] - 1] = True
-        inner = np.flatnonzero(~hi[:-1] & ~lo[1:])
-        compare(inner, inner + 1)
+            found.extend(_merge(labels, i, j, bits))
+
+    # Neighbours in order are often links; known components prune whole node pairs.
+    lo, hi = np.zeros(n, bool), np.zeros(n, bool)
+    lo[roots[:, 0]] = hi[roots[:, 1] - 1] = True
+    lo[roots[:, 2]] = hi[roots[:, 3] - 1] = True
+    inner = np.flatnonzero(~hi[:-1] & ~lo[1:])
+    compare(inner, inner + 1)
     ones: dict[int, np.ndarray] = {}
 
     def one_bits(depth: int):
@@ -213,8 +219,8 @@ def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=N
         if len(keep):
             keep = keep[np.argsort(errs[keep], kind="stable")]
             stack.append((depth + 1, nodes[keep], errs[keep]))
-    a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return labels, a, b
+    a, b, bits = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    return labels, a, b, bits
 
 
 def trie_components(fp, roots, budget: int = 4):
@@ -235,21 +241,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budget: int | None = None, part: str | None = None, hot_leaves: int = 100_000) -> DataFrame:
-    """Leaves (node: long, words: array<long>, and ``part``) to links (a, b) of nodes.
+def _pair_keys(a, b):
+    """A 64-bit number for each pair of nodes, whichever comes first."""
+    import numpy as np
+
+    low, high = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
+    x = low * np.uint64(0x9E3779B97F4A7C15) + (high ^ (high >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budget: int | None = None, known: bool = False, hot_leaves: int = 100_000) -> DataFrame:
+    """Leaves (node: long, words: array<long>) to links (a, b, bits) of nodes.
 
     Each word has a trie for each choice (view) of ``agree`` out of ``blocks``
     blocks of bits and each value of these bits. Leaves of a trie are linked if
     the word differs in ``budget`` bits at most, and all words together in
-    ``word_budget``. Without ``part``, links are a forest of each trie, not all
-    pairs; with it, all links between different parts.
+    ``word_budget``. Links are a forest of each trie, not all pairs. With
+    ``known``, leaves also have part (long), equal for leaves that are connected
+    already, and apart (array<long>), nodes that a leaf is not to be linked with.
     """
     masks = _views(blocks, agree)
     n_words = leaves.select(F.max(F.size("words"))).first()[0] or 0
     if not n_words:
-        return leaves.sparkSession.createDataFrame([], "a long, b long")
+        return leaves.sparkSession.createDataFrame([], "a long, b long, bits long")
     view = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("view"), F.col("words")[w].bitwiseAND(F.lit(_signed(m))).alias("bits")) for w in range(n_words) for k, m in enumerate(masks)]))
-    held = ["node", "words", *([part] if part else [])]
+    held = ["node", "words", *(["part", "apart"] if known else [])]
     leaves = leaves.select(*held, view.alias("v")).select(*held, "v.word", "v.view", "v.bits")
     whole = F.lit(0)
     # Hot tries: subtries by a prefix of the bits that the view leaves open, as pairs within the budget.
@@ -283,10 +299,10 @@ def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budg
         import numpy as np
         import pyarrow as pa
 
-        from .simhash import CHUNK_LEAVES, trie_links
+        from .simhash import CHUNK_LEAVES, _pair_keys, trie_links
 
         def join(cols: list) -> pa.RecordBatch:
-            trie, side, word, node, words, *parts = cols
+            trie, side, word, node, words, part, banned = cols
             fp = words[np.arange(len(word)), word]
             order = np.lexsort((fp, side, trie))
             trie, side, node, words, fp = trie[order], side[order], node[order], words[order], fp[order]
@@ -296,14 +312,30 @@ def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budg
             alone = side[lo] == 0
             roots = np.concatenate([np.stack([lo, hi, lo, hi], 1)[alone], np.stack([lo, mid, mid, hi], 1)[~alone & (lo < mid) & (mid < hi)]])
             wide = (words, word_budget) if word_budget is not None else (None, 0)
-            _, a, b = trie_links(fp, roots, budget, *wide, parts[0][order] if parts else None)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            allowed = None
+            if len(banned):
+                banned = np.unique(banned)
+                allowed = lambda i, j: ~np.isin(_pair_keys(node[i], node[j]), banned)
+            _, a, b, bits = trie_links(fp, roots, budget, *wide, part[order] if known else None, allowed)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(bits.astype(np.int64))], names=["a", "b", "bits"])
 
         def columns(batch) -> list:
-            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)]
+            """trie, side, word, node, words, part, and for each row an array of keys of banned pairs."""
+            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             words = batch.column(4)
             words = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(words), -1)
-            return [*flat, words, *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, batch.num_columns))]
+            part, keys = flat[3], np.zeros(len(words), object)
+            if known:
+                part, apart = batch.column(5).to_numpy(zero_copy_only=False), batch.column(6)
+                sizes = np.diff(apart.offsets.to_numpy())
+                keys = np.split(_pair_keys(np.repeat(flat[3], sizes), apart.flatten().to_numpy(zero_copy_only=False)), np.cumsum(sizes)[:-1])
+            held = np.empty(len(words), object)
+            held[:] = keys
+            return [*flat, words, part, held]
+
+        def joined(cols: list) -> pa.RecordBatch:
+            keys = [k for k in cols[6] if known and len(k)]
+            return join([*cols[:6], np.concatenate(keys) if keys else np.zeros(0, np.uint64)])
 
         held: list = []
         rows = 0
@@ -318,14 +350,14 @@ def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budg
             new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
             if len(new):
                 cut = new[-1] + 1
-                yield join([c[:cut] for c in cols])
+                yield joined([c[:cut] for c in cols])
                 held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
             else:
                 held = [cols]
         if rows:
-            yield join([np.concatenate(c) for c in zip(*held)])
+            yield joined([np.concatenate(c) for c in zip(*held)])
 
-    return map_arrow(tasks.repartition("trie").sortWithinPartitions("trie"), run, "a long, b long")
+    return map_arrow(tasks.repartition("trie").sortWithinPartitions("trie"), run, "a long, b long, bits long")
 
 
 def similar_edges(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, hot_leaves: int = 100_000) -> DataFrame:
@@ -337,7 +369,7 @@ def similar_edges(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, hot_lea
     """
     if blocks <= budget:
         raise ValueError("there must be more blocks than differing bits")
-    return trie_join(fps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), budget, blocks, blocks - budget, hot_leaves=hot_leaves)
+    return trie_join(fps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), budget, blocks, blocks - budget, hot_leaves=hot_leaves).select("a", "b")
 
 
 def component_ids(members: DataFrame, tied: DataFrame, key: str) -> DataFrame:
