@@ -1,24 +1,27 @@
-"""Token ids of whole texts by the tokenizers library, one distinct word at a time.
+"""Token ids of whole texts by the tokenizers library, one distinct run of characters at a time.
 
 The vocabulary splits at white space, and between letters, digits and other
-characters, before it merges anything, so a text's ids are those of its words
-in turn. Each Python worker keeps the ids of words it has met; a text then
-costs one look-up a word, and the library sees only new words.
+characters, before it merges anything, so a text's ids are those of its runs
+in turn. Each Python worker keeps the ids of runs it has met lately; a text then
+costs one look-up a run, and the library sees only new ones. Texts with other
+characters than Latin ones are looked up by whole words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-#: Ids of at most so many words and so many runs are kept in a worker; beyond it, it starts anew.
-CACHE_WORDS, CACHE_RUNS = 500_000, 400_000
+#: Ids are kept of at most twice so many runs or words, those met lately: a full generation becomes the older one.
+GENERATION = 300_000
 
-#: Characters that the vocabulary's normaliser only lower-cases, one by one.
-_PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
+#: Texts of characters that the vocabulary's normaliser only lower-cases, one by one.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The pre-tokeniser's split, for plain characters in lower case.
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\\s]+")
 #: White space for str.split(), but not for the vocabulary.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordTokens:
@@ -30,44 +33,40 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words in the cache."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.runs) > CACHE_RUNS:
-            self.runs.clear()
-        plain = {w: _RUNS.findall(w.lower()) for w in words if _PLAIN.fullmatch(w)}
-        new = list({r for runs in plain.values() for r in runs if r not in self.runs})
-        self.runs.update(zip(new, self._packed(new)))
-        for w, runs in plain.items():
-            self.words[w] = b"".join([self.runs[r] for r in runs])
-        rest = [w for w in words if w not in plain]
-        self.words.update(zip(rest, self._packed(rest)))
+        """Little-endian 32-bit ids of each text by the library."""
+        found = [array("I", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
+
+    def _look_up(self, wanted: set[str]) -> dict[str, bytes]:
+        """A mapping that has the ids of all wanted runs or words."""
+        if len(self.young) + len(wanted) > GENERATION:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = wanted - young.keys()
+        again = missing & old.keys()
+        young.update((x, old[x]) for x in again)
+        new = list(missing - again)
+        young.update(zip(new, self._packed(new)))
+        return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split: list[list[str] | None] = []
         for t in texts:
-            if any(s in t for s in self.special) or _SEPARATORS.search(t):
+            if any(s in t for s in self.special):
                 split.append(None)
+            elif _PLAIN.fullmatch(t):
+                split.append(_RUNS.findall(t.lower()))
             else:
-                split.append(t.split())
-        cached = self.words
-        new = list({w for s in split if s for w in s if w not in cached})
-        if new and len(cached) + len(new) > CACHE_WORDS:
-            cached.clear()
-            new = list({w for s in split if s for w in s})
-        if new:
-            self._learn(new)
-        get = cached.__getitem__
+                split.append(None if any(s in t for s in _SEPARATORS) else t.split())
+        get = self._look_up(set().union(*(s for s in split if s))).__getitem__
         return [self._packed([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
