@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 from edge import labels, no_documents, odd_documents
-
+from plain import plain_grams, plain_scores, plain_shape, plain_toxic
 from pyspark.sql import functions as F
 
 from kelpwood.llm import language, quality, queries, toxicity
@@ -98,19 +98,6 @@ def test_bit_slices_hold_every_gram_of_their_language(spark):
     assert got == {"en": "en", "es": "es"}
 
 
-def plain_grams(text):
-    """Hashes of the 4-byte n-grams of one text, with repeats, word by word."""
-    import re
-
-    import numpy as np
-
-    from kelpwood.llm import bytes_text as B
-
-    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
-    b = np.frombuffer(b" " + b" ".join(words) + b" " if words else b"", np.uint8)
-    return [int(B.range_hashes(b[k : k + 4], np.array([0]), np.array([4]))[0]) for k in range(len(b) - 3)]
-
-
 def test_language_model_and_scores_equal_a_plain_version(spark):
     import numpy as np
 
@@ -155,31 +142,14 @@ def test_a_language_of_one_text_and_rare_grams(spark):
 
 def test_toxicity_scores_equal_a_plain_version(spark):
     import math
-    import re
-
-    import numpy as np
-
-    from kelpwood.llm import bytes_text as B
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     weights = toxicity.fit(docs, lab)
     weight = dict(zip(*weights))
     assert weight and all(weight.values())
-    one = lambda b: int(B.range_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
-    mixed = lambda x: int(B.mixed(np.array([x % (1 << 64)], np.uint64))[0])
-    seen = {}
-
-    def coordinates(text):
-        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
-        h = [seen.get(w) or seen.setdefault(w, one(w)) for w in words]
-        found = set(h) | {mixed(one(w[:k]) + k) for w in set(words) for k in (5, 6, 7, 8) if len(w) > k}
-        for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
-            found |= {mixed(a * salt + b) for a, b in set(zip(h, h[gap:]))}
-        return {c if (c := x >> 44) else 1 for x in found} | {0}
-
     for r in toxicity.score(docs, weights).collect():
-        z = sum(weight.get(c, 0.0) for c in coordinates(r.text or ""))
+        z = sum(weight.get(c, 0.0) for c in plain_toxic(r.text or ""))
         assert r.score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))), abs=1e-5)
 
 
@@ -256,45 +226,12 @@ def test_odd_documents(spark):
     assert {r.lang_pred for r in language.identify(docs, language.fit(none)).collect()} == {"und"}
 
 
-def plain_scores(rows, odds):
-    """rows: (host, path, evidence) to (prior, posterior), by sums over lists."""
-    import math
-    from collections import defaultdict
-
-    sig = lambda x: 1 / (1 + math.exp(-x))
-    p = [sig(e + odds) for *_, e in rows]
-    path, host = defaultdict(list), defaultdict(list)
-    for (h, q, _), x in zip(rows, p):
-        path[h, q].append(x)
-        host[h].append(x)
-    n, good = len(p), sum(p)
-    share = (good + 1) / (n + 2)
-
-    def strength(groups):  # (sum, count, parent's share)
-        spread = sum((g - c * s) ** 2 / c for g, c, s in groups)
-        noise = sum(s * (1 - s) for _, _, s in groups)
-        gain = sum(s * (1 - s) * (c - 1) for _, c, s in groups)
-        rho = min(0.5, max(1e-4, (spread - noise) / gain)) if gain else 0.5
-        return (1 - rho) / rho
-
-    mh = strength([(sum(x), len(x), share) for x in host.values()])
-    of_host = {h: (sum(x) + mh * share) / (len(x) + mh) for h, x in host.items()}
-    mp = strength([(sum(x), len(x), of_host[h]) for (h, _), x in path.items()])
-    out = []
-    for (h, q, e), x in zip(rows, p):
-        g = (good - x + 1) / (n + 1)
-        s = (sum(host[h]) - x + mh * g) / (len(host[h]) - 1 + mh)
-        s = (sum(path[h, q]) - x + mp * s) / (len(path[h, q]) - 1 + mp)
-        s = min(1 - 1e-6, max(1e-6, s))
-        out.append((s, sig(e + math.log(s / (1 - s)))))
-    return out
-
-
 def test_quality_scores_equal_a_plain_version(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    _, odds = quality.fit(docs, lab)
+    weights, odds = quality.fit(docs, lab)
     got = quality.quality(docs, lab).collect()
+    assert [r.evidence for r in got] == [pytest.approx(max(-20, min(20, sum(w * x for w, x in zip(weights, plain_shape(r.text))))), abs=1e-9) for r in got]
     want = plain_scores([(r.host, r.path, r.evidence) for r in got], odds)
     assert [(r.site_prior, r.quality_score) for r in got] == [pytest.approx(w, rel=1e-9) for w in want]
     assert all(r.host == (r.source or "") and r.path == (r.lang or "") for r in got)
