@@ -256,6 +256,18 @@ def fastq_stop(spark: SparkSession, d: str) -> DataFrame:
     return fq.until_broken(fq.fastq_records(_fastq(spark, d, True)), ["genome"]).select("genome", "idx", "name")
 
 
+@query("fastq_files", f"WITH {I.CONTIGS}, {I.READS}, n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY idx) AS place FROM reads) SELECT sample, CAST(idx AS VARCHAR) AS name, seq, repeat('I', length(seq)) AS qual, true AS ok FROM n WHERE place <= 1000")
+def fastq_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample's first thousand reads, as a down-sampling of reads to files does it: written as gzip FASTQ files and read back."""
+    reads = I.reads(spark, d).withColumn("size", F.length("seq"))
+    head = fq.capped(reads.withColumn("sample", F.coalesce("sample", F.lit("-"))), "sample", "idx", "size", 1000, 1 << 40)
+    path = scratch(spark)
+    named = head.select(F.concat_ws("/", "sample", "idx").alias("name"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    fq.write_fastq(named, path)
+    back = fq.read_fastq(spark, path)
+    return back.select(F.nullif(F.substring_index("name", "/", 1), F.lit("-")).alias("sample"), F.substring_index("name", "/", -1).alias("name"), "seq", "qual", "ok")
+
+
 @query("manifest_lookup", f"""WITH {_MATES}, man AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_1.fastq.gz' AS name, 'M_' || p_brand AS sample, 'PAIRED' AS layout, 1 AS mate FROM part WHERE p_partkey % 5 = 0),
 man1 AS (SELECT name, min(sample) AS sample, any_value(layout) AS layout, any_value(mate) AS mate FROM man GROUP BY name)
 SELECT id, k.name, coalesce(man1.sample, k.key, regexp_replace(regexp_replace(k.name, '(?i)\\.gz$', ''), '(?i)\\.({nm.FASTQ})$', '')) AS sample,

@@ -61,6 +61,12 @@ def mates(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(right, by)
 
 
+def write_fastq(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Records (name, seq, qual) as FASTQ files, one for each partition, by Spark's text writer."""
+    lines = F.concat_ws("\n", F.concat(F.lit("@"), F.col("name")), "seq", F.lit("+"), "qual")
+    records.select(lines.alias("value")).write.option("compression", compression).text(path)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """FASTQ or FASTA files, plain or gzip by their first bytes: path and RECORD
     columns. FASTA records have null qualities. A file is read by one task, record by record."""

@@ -155,3 +155,50 @@ def test_a_database_of_other_settings_is_refused(spark, tmp_path):
     for k, c in ((31, 20), (21, 10)):
         with pytest.raises(ValueError, match="can't serve"):
             read_sketch(spark, str(tmp_path / "db"), k, c)
+
+
+def test_long_sequences_are_hashed_in_blocks(spark):
+    r = np.random.default_rng(4)
+    seq = "".join(np.array(list("ACGT"))[r.integers(0, 4, 1_200_000)])
+    codes = np.array([CODE[b] for b in seq], np.uint64)
+    h = km._mixed(km.packed_kmers(codes, 21))
+    at = np.flatnonzero(h < np.uint64(km.threshold(200)))
+    df = spark.createDataFrame([(1, "ACGT"), (2, seq), (3, seq[:30])], "i long, seq string")
+    got = sorted((x.pos, x.h) for x in km.explode_kmers(df, 21, 200).filter("i = 2").collect())
+    assert got == list(zip(at.tolist(), h[at].view(np.int64).tolist()))
+
+
+def test_a_long_contig_is_walked_in_time(spark):
+    import time
+
+    df = spark.range(250_000).select(F.lit(1).alias("genome"), F.lit(0).alias("contig"), (F.col("id") * 20).cast("int").alias("pos"), F.xxhash64("id").alias("h"))
+    sk.spaced_kmers(df.limit(10)).count()
+    start = time.time()
+    used = sk.spaced_kmers(df, 30).filter("used").agg(F.count(F.lit(1)), F.max("pos")).first()
+    assert tuple(used) == (125_001, 249_999 * 20) and time.time() - start < 10
+
+
+def test_a_hot_kmer_is_counted_by_the_sequential_rule(spark):
+    n = 60_000
+    hot = spark.range(n).select(F.lit("s").alias("sample"), F.lit(7).cast("long").alias("h"), F.col("id").alias("occ"), (F.col("id") % 3).alias("fp0"), (F.col("id") % 5 + 10).alias("fp1"))
+    # Fresh are occurrences 0, 1 and 2 (both fingerprints new); the count stays at 3, below the cap.
+    assert sk.sample_sketch(hot, cap=4).first().cnt == 3 == sk.sample_sketch(hot).first().cnt
+    short = hot.withColumns({"fp0": F.when(F.col("occ") % 1000 != 0, F.col("fp0")), "fp1": F.when(F.col("occ") % 1000 != 0, F.col("fp1"))})
+    seen, count = set(), 0
+    for occ in range(n):
+        fps = () if occ % 1000 == 0 else (occ % 3, occ % 5 + 10)
+        duplicate = count < 4 and count > 0 and any(f in seen for f in fps)
+        seen |= set(fps)
+        count += not duplicate
+    assert sk.sample_sketch(short, cap=4).first().cnt == count
+
+
+@pytest.mark.parametrize(("name", "key", "mate"), [
+    ("a_1.fastq", "a", 1), ("a.R2.fq.gz", "a", 2), ("a-r1.FNQ", "a", 1), ("s_1_2.fq", "s_2", 1), ("a_1.clean.fq.gz", "a.clean", 1), ("a_2.raw.fq.gz", "a.raw", 2),
+    ("_1.fq", None, None), ("1.fq", None, None), ("a_3.fq", None, None), ("a_1.fa", None, None), ("a1.fq", None, None), ("a__1.fq", "a_", 1), ("a_1__x.fq", None, None), ("x_R1_001.fastq.gz", "x_001", 1),
+])
+def test_mates_by_the_parts_of_their_names(spark, name, key, mate):
+    from kelpwood.functions.names import mate_key
+
+    k, m = mate_key(F.col("n"))
+    assert tuple(spark.createDataFrame([(name,)], "n string").select(k, m).first()) == (key, mate)
