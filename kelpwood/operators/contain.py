@@ -104,17 +104,27 @@ def lambda_moments() -> Column:
     return F.when(_informative() & (value >= 0), value)
 
 
-def lambda_zip(steps: int = 1000) -> Column:
-    """Zero-inflated Poisson by Newton's method; the share of zeros is in single precision."""
-    share = (F.col("zeros") / F.col("full")).cast("float").cast("double")
-    mean = F.col("mean_cov")
+def with_lambda_zip(rows: DataFrame, steps: int = 1000) -> DataFrame:
+    """Coverage rows with lambda_zip: zero-inflated Poisson by Newton's method; the
+    share of zeros is in single precision. All rows of a batch take a step at once."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("lambda_zip", T.DoubleType())])
 
-    def step(x: Column, _: Column) -> Column:
-        e = F.exp(-x)
-        return x - ((1 - share) * x - mean * (1 - e)) / ((1 - share) - mean * e)
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    value = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), mean / (1 - share), step)
-    return F.when(_informative() & (value >= 0) & ~F.isnan(value), value)
+        for batch in batches:
+            zeros, full, mean, distinct, kept = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("zeros", "full", "mean_cov", "distinct", "kept"))
+            with np.errstate(all="ignore"):
+                rest = 1 - (zeros / full).astype(np.float32).astype(float)
+                x = mean / rest
+                for _ in range(steps):
+                    e = np.exp(-x)
+                    x = x - (rest * x - mean * (1 - e)) / (rest - mean * e)
+                good = (distinct != 1) & (kept >= LEAST_SAMPLE) & (x >= 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, mask=~good)], names=schema.fieldNames())
+
+    return map_arrow(rows, run, schema)
 
 
 def lambda_negative_binomial(rows: DataFrame, points: int = 10_000) -> DataFrame:

@@ -203,7 +203,8 @@ newton(sample, genome, rat, mean_cov, step, x) AS (
   SELECT sample, genome, rat, mean_cov, step + 1, x - ((1 - rat) * x - mean_cov * (1 - exp(-x))) / ((1 - rat) - mean_cov * exp(-x)) FROM newton WHERE step < 1000)
 SELECT sample, genome, round(x, 6) AS lambda FROM newton WHERE step = 1000 AND x >= 0 AND NOT isnan(x)""")
 def lambda_mle(spark: SparkSession, d: str) -> DataFrame:
-    return _lambda(spark, d, ct.lambda_zip())
+    rows = ct.with_lambda_zip(_cover(spark, d)).filter("lambda_zip is not null")
+    return rows.select("sample", "genome", F.round("lambda_zip", 6).alias("lambda"))
 
 
 @query("lambda_nb", f"""WITH RECURSIVE {_COVER},
