@@ -190,6 +190,20 @@ def covered_crc(head, body, bits):
     return crc
 
 
+@pytest.mark.parametrize("n", [1, 64, 921, 922, 923, 5000, 64_000])
+def test_features_follow_from_the_layout(n):
+    media = mpeg_audio.store_payload(bytes(n))
+    tag = 10 + 10 + 1 + len("payload-bytes\0") + len(str(n))
+    whole, rest = divmod(n, 922)
+    frames = whole + (rest > 0)
+    kbit = min((k for k in (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320) if 3 * k - 38 >= rest and 3 * k > 38)) if rest else 320
+    kbits = sorted({320} if not rest else {320, kbit} if whole else {kbit})
+    offsets = [tag + 960 + 960 * k for k in range(frames)]
+    seek = ",".join(str(offsets[frames * k // 10]) for k in range(10))
+    want = f"frames={frames};samples={1152 * frames};hz=48000;kbit={','.join(map(str, kbits))};crc={frames + 1}/{frames + 1};skipped=0;seek={seek}"
+    assert mpeg_audio.feature(mpeg_audio.parse_stream(media)) == want
+
+
 def test_vbri_table():
     media = mpeg_audio.store_payload(bytes(range(256)) * 20)
     parsed = mpeg_audio.parse_stream(media)
