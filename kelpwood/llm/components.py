@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stored
+from .shared import gathered, shared_folder, stored
 
 #: Rounds grow with the logarithm of a component's size; more than these are an error.
 MOST_ROUNDS = 200
+#: Edges of a partition, at least.
+PART_EDGES = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,13 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     folder = shared_folder(edges.sparkSession)
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/round=0")
-    state = None
+    state, rows = None, now.count()
     for k in range(1, MOST_ROUNDS + 1):
-        now = stored(_small_star(_large_star(now)), f"{folder}/round={k}")
+        now = stored(gathered(_small_star(_large_star(now)), rows, PART_EDGES), f"{folder}/round={k}")
         seen = now.agg(F.count("a").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen == state or not seen["n"]:
             break
-        state = seen
+        state, rows = seen, seen["n"]
     else:
         raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -15,6 +15,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, per_part: int) -> DataFrame:
+    """df in as many partitions as ``rows`` rows need, if it has more: small tables make few files."""
+    return df.coalesce(max(1, -(-rows // per_part)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
