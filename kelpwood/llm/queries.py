@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpwood.functions.workers import spread
 
-from . import url_rules, warc
+from . import ball_tree, url_rules, warc
 from .shared import table
 
 
@@ -95,6 +95,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_tree import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -115,10 +121,12 @@ QUERIES = {
     "op8_language_bloom": op8_language_bloom,
     "op9_bestfit_pack": op9_bestfit_pack,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ball_tree_search": op11_ball_tree_search,
 }
 
 SQL = {
     "op1_warc_derivatives": warc.oracle(),
     "op3_url_rules": url_rules.oracle(),
     "op10_exact_dedup": OP10_SQL,
+    "op11_ball_tree_search": ball_tree.SQL,
 }
