@@ -101,6 +101,12 @@ def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pair_bitmaps import align_tokenizers
+
+    return align_tokenizers(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 OP10_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -122,6 +128,7 @@ QUERIES = {
     "op9_bestfit_pack": op9_bestfit_pack,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_ball_tree_search": op11_ball_tree_search,
+    "op12_pair_bitmaps": op12_pair_bitmaps,
 }
 
 SQL = {
