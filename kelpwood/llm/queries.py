@@ -107,6 +107,12 @@ def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff_automaton import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 OP10_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -129,6 +135,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_ball_tree_search": op11_ball_tree_search,
     "op12_pair_bitmaps": op12_pair_bitmaps,
+    "op13_backoff_automaton": op13_backoff_automaton,
 }
 
 SQL = {
