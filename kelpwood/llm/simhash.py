@@ -121,26 +121,22 @@ def _merge(labels, a, b, bits) -> list:
             labels[:] = up
 
 
-def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=None, allowed=None):
+def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0):
     """Links of leaves through the tries: (labels, a, b, bits).
 
     fp: uint64 fingerprints; roots: rows (a_lo, a_hi, b_lo, b_hi) of node pairs
     to traverse, ranges of fp in which it ascends; a range with itself for a
     self-join. Leaves within ``budget`` bits are linked; with ``words`` (a row
     of uint64 for each leaf) only if these differ in ``word_budget`` bits at
-    most, all words together; and with ``allowed`` only if allowed(i, j) holds.
+    most, all words together.
 
     a, b and bits are a forest that connects all linked leaves, those of few bits
-    first, and labels the smallest index in each leaf's component. Leaves of
-    equal ``parts`` (a number for each leaf) are in one component from the start.
+    first, and labels the smallest index in each leaf's component.
     """
     import numpy as np
 
     n = len(fp)
     labels = np.arange(n)
-    if parts is not None:
-        _, first, place = np.unique(parts, return_index=True, return_inverse=True)
-        labels = first[place]
     found: list = []
 
     def compare(i, j):
@@ -151,9 +147,6 @@ def trie_links(fp, roots, budget: int, words=None, word_budget: int = 0, parts=N
             bits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
             near = bits <= word_budget
             i, j, bits = i[near], j[near], bits[near]
-        if allowed is not None and len(i):
-            near = allowed(i, j)
-            i, j, bits = i[near], j[near], bits[near]
         if len(i):
             found.extend(_merge(labels, i, j, bits))
 
@@ -241,32 +234,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _pair_keys(a, b):
-    """A 64-bit number for each pair of nodes, whichever comes first."""
-    import numpy as np
-
-    low, high = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
-    x = low * np.uint64(0x9E3779B97F4A7C15) + (high ^ (high >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budget: int | None = None, known: bool = False, hot_leaves: int = 100_000) -> DataFrame:
+def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budget: int | None = None, hot_leaves: int = 100_000) -> DataFrame:
     """Leaves (node: long, words: array<long>) to links (a, b, bits) of nodes.
 
     Each word has a trie for each choice (view) of ``agree`` out of ``blocks``
     blocks of bits and each value of these bits. Leaves of a trie are linked if
     the word differs in ``budget`` bits at most, and all words together in
-    ``word_budget``. Links are a forest of each trie, not all pairs. With
-    ``known``, leaves also have part (long), equal for leaves that are connected
-    already, and apart (array<long>), nodes that a leaf is not to be linked with.
+    ``word_budget``. Links are a forest of each trie, not all pairs.
     """
     masks = _views(blocks, agree)
     n_words = leaves.select(F.max(F.size("words"))).first()[0] or 0
     if not n_words:
         return leaves.sparkSession.createDataFrame([], "a long, b long, bits long")
     view = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("view"), F.col("words")[w].bitwiseAND(F.lit(_signed(m))).alias("bits")) for w in range(n_words) for k, m in enumerate(masks)]))
-    held = ["node", "words", *(["part", "apart"] if known else [])]
-    leaves = leaves.select(*held, view.alias("v")).select(*held, "v.word", "v.view", "v.bits")
+    leaves = leaves.select("node", "words", view.alias("v")).select("node", "words", "v.word", "v.view", "v.bits")
     whole = F.lit(0)
     # Hot tries: subtries by a prefix of the bits that the view leaves open, as pairs within the budget.
     hot = leaves.groupBy("word", "view", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_leaves)
@@ -293,16 +274,16 @@ def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budg
             "side": F.when(cold | (F.col("x") == 0), 0).when(F.col("p") < other, 1).otherwise(2),
         })
     # Tries that share a number are traversed as one, which changes no link.
-    tasks = tasks.select(F.xxhash64("word", "view", "bits", "i", "j").alias("trie"), "side", "word", *held)
+    tasks = tasks.select(F.xxhash64("word", "view", "bits", "i", "j").alias("trie"), "side", "word", "node", "words")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .simhash import CHUNK_LEAVES, _pair_keys, trie_links
+        from .simhash import CHUNK_LEAVES, trie_links
 
         def join(cols: list) -> pa.RecordBatch:
-            trie, side, word, node, words, part, banned = cols
+            trie, side, word, node, words = cols
             fp = words[np.arange(len(word)), word]
             order = np.lexsort((fp, side, trie))
             trie, side, node, words, fp = trie[order], side[order], node[order], words[order], fp[order]
@@ -312,30 +293,13 @@ def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budg
             alone = side[lo] == 0
             roots = np.concatenate([np.stack([lo, hi, lo, hi], 1)[alone], np.stack([lo, mid, mid, hi], 1)[~alone & (lo < mid) & (mid < hi)]])
             wide = (words, word_budget) if word_budget is not None else (None, 0)
-            allowed = None
-            if len(banned):
-                banned = np.unique(banned)
-                allowed = lambda i, j: ~np.isin(_pair_keys(node[i], node[j]), banned)
-            _, a, b, bits = trie_links(fp, roots, budget, *wide, part[order] if known else None, allowed)
+            _, a, b, bits = trie_links(fp, roots, budget, *wide)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(bits.astype(np.int64))], names=["a", "b", "bits"])
 
         def columns(batch) -> list:
-            """trie, side, word, node, words, part, and for each row an array of keys of banned pairs."""
-            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            """trie, side, word, node and words."""
             words = batch.column(4)
-            words = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(words), -1)
-            part, keys = flat[3], np.zeros(len(words), object)
-            if known:
-                part, apart = batch.column(5).to_numpy(zero_copy_only=False), batch.column(6)
-                sizes = np.diff(apart.offsets.to_numpy())
-                keys = np.split(_pair_keys(np.repeat(flat[3], sizes), apart.flatten().to_numpy(zero_copy_only=False)), np.cumsum(sizes)[:-1])
-            held = np.empty(len(words), object)
-            held[:] = keys
-            return [*flat, words, part, held]
-
-        def joined(cols: list) -> pa.RecordBatch:
-            keys = [k for k in cols[6] if known and len(k)]
-            return join([*cols[:6], np.concatenate(keys) if keys else np.zeros(0, np.uint64)])
+            return [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), words.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(words), -1)]
 
         held: list = []
         rows = 0
@@ -350,12 +314,12 @@ def trie_join(leaves: DataFrame, budget: int, blocks: int, agree: int, word_budg
             new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
             if len(new):
                 cut = new[-1] + 1
-                yield joined([c[:cut] for c in cols])
+                yield join([c[:cut] for c in cols])
                 held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
             else:
                 held = [cols]
         if rows:
-            yield joined([np.concatenate(c) for c in zip(*held)])
+            yield join([np.concatenate(c) for c in zip(*held)])
 
     return map_arrow(tasks.repartition("trie").sortWithinPartitions("trie"), run, "a long, b long, bits long")
 

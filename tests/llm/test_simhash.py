@@ -70,16 +70,14 @@ def test_pairs_of_two_ranges(n):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_links_between_parts_that_are_allowed(seed):
-    """A forest of allowed links within the budgets, over leaves that are partly connected already."""
+def test_links_within_both_budgets(seed):
+    """A forest of the links within the budgets of the word and of all words."""
     r = random.Random(seed)
     fps = clustered(r, 300, 6)
     n = len(fps)
     words = [[x, x ^ sum(1 << r.randrange(64) for _ in range(r.randrange(3)))] for x in fps]
-    parts = [r.choice([i, r.randrange(n)]) for i in range(n)]
-    banned = {(i, j) for i in range(n) for j in range(i) if r.random() < 0.3}
     bits = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(words[i], words[j]))
-    links = {(i, j) for i in range(n) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 6 and bits(i, j) <= 8 and (i, j) not in banned}
+    links = {(i, j) for i in range(n) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 6 and bits(i, j) <= 8}
 
     def labels(pairs):
         label = list(range(n))
@@ -89,18 +87,16 @@ def test_links_between_parts_that_are_allowed(seed):
                 x = label[x]
             return x
 
-        first = {}
-        for i, j in [(i, first.setdefault(p, i)) for i, p in enumerate(parts)] + sorted(pairs):
+        for i, j in sorted(pairs):
             a, b = sorted((find(i), find(j)))
             label[b] = a
         return [find(i) for i in range(n)]
 
-    allowed = lambda i, j: np.array([(max(x, y), min(x, y)) not in banned for x, y in zip(i.tolist(), j.tolist())], bool)
-    got, a, b, d = trie_links(np.array(fps, np.uint64), np.array([[0, n, 0, n]]), 6, np.array(words, np.uint64), 8, np.array(parts), allowed)
+    got, a, b, d = trie_links(np.array(fps, np.uint64), np.array([[0, n, 0, n]]), 6, np.array(words, np.uint64), 8)
     forest = {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     assert got.tolist() == labels(links) == labels(forest) and forest <= links and len(forest) == len(a)
     assert d.tolist() == [bits(x, y) for x, y in zip(a.tolist(), b.tolist())]
-    assert len(forest) == len(set(labels(()))) - len(set(labels(links)))
+    assert len(forest) == n - len(set(labels(links)))
 
 
 @pytest.mark.parametrize(("blocks", "hot"), [(6, 100_000), (7, 100_000), (5, 20), (6, 5)])

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from edge import no_documents, odd_documents
 
 from kelpwood.llm.similar_texts import drop_similar_texts, similar_texts, shingle_set
@@ -63,9 +65,94 @@ def test_chains_and_common_lines(spark):
     assert got == {i: c for (i, _), c in zip(rows, brute(rows))}
 
 
-def test_budgets_and_fingerprints():
-    import numpy as np
+def step(r, words, n):
+    """A copy with n words changed, each in a place of its own."""
+    words = list(words)
+    for at in r.sample(range(len(words)), n):
+        words[at] = f"y{r.randrange(10**9)}"
+    return words
+
+
+def base(r, n=200):
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def chains(r):
+    """Each text next to the one before at a Jaccard of about 0.86, and far from others."""
+    for _ in range(12):
+        words = base(r)
+        for _ in range(60):
+            words = step(r, words, 3)
+            yield words
+
+
+def stars(r):
+    """Copies that are near their base and not near each other."""
+    for _ in range(6):
+        words = base(r)
+        yield words
+        for _ in range(50):
+            yield step(r, words, 4)
+
+
+def bridges(r):
+    """Two groups that only one text of each side connects, or that a text too few leaves apart."""
+    for k in range(12):
+        words = base(r)
+        for n in range(4):
+            yield from (step(r, words, 1) for _ in range(8))
+            words = step(r, words, 3 if k % 2 or n != 1 else 8)
+            yield words
+
+
+@pytest.mark.parametrize(("kind", "part_sets"), [(chains, 2048), (chains, 20), (stars, 2048), (stars, 13), (bridges, 2048), (bridges, 9)])
+def test_chains_stars_and_bridges(spark, kind, part_sets):
+    r = random.Random(11)
+    rows = [(i, " ".join(w)) for i, w in enumerate(kind(r))]
+    want = brute(rows)
+    docs = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar_texts(docs, part_sets=part_sets).collect()}
+    assert [got[i] for i, _ in rows] == want
+    if kind is chains:
+        assert len(set(want)) == 12
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_a_task_equal_brute_force(seed, monkeypatch):
+    from kelpwood.llm import similar_texts as m
+
+    if seed % 2:
+        monkeypatch.setattr(m, "BIT_ROWS", 0)
+    monkeypatch.setattr(m, "CHUNK_COMPARED", 7)
+    r = np.random.default_rng(seed)
+    sets = []
+    for _ in range(12):
+        x = r.integers(0, 1 << 40, r.integers(1, 60))
+        for _ in range(r.integers(1, 15)):
+            x = np.where(r.random(len(x)) < 0.06, r.integers(0, 1 << 40, len(x)), x)
+            sets.append(np.unique(x).astype(np.uint64))
+    words = np.array([m.wide_fingerprint(s) for s in sets], np.uint64)
+    side = r.integers(0, 2, len(sets)) if seed > 2 else np.zeros(len(sets), np.int64)
+
+    def labels(pairs):
+        label = list(range(len(sets)))
+        for i, j in pairs:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    def similar(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9
+
+    budget = m.bit_budget(320, 0.8)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if (side[i] != side[j] or not side.any()) and np.bitwise_count(words[i] ^ words[j]).sum() <= budget and similar(i, j)]
+    got = m.similar_links(words, sets, side, budget, 0.8)
+    assert labels(got) == labels(links) and len(got) == len(sets) - len(set(labels(links)))
+    assert all(similar(i, j) for i, j in got)
+
 
+def test_budgets_and_fingerprints():
     from kelpwood.llm.similar_texts import bit_budget, wide_fingerprint
 
     assert bit_budget(64, 1.0) == 0 and bit_budget(64, 0.8) == 22 and bit_budget(320, 0.8) == 75
