@@ -9,6 +9,7 @@ from ..functions import names as nm
 from ..operators import runs as rn
 from ..operators import sketch as sk
 from ..sources import fastq as fq
+from ..sources import sequences as sq
 from ..sources.stores import scratch
 from ..streaming import sketches as st
 from . import inputs as I
@@ -268,6 +269,26 @@ def fastq_files(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.nullif(F.substring_index("name", "/", 1), F.lit("-")).alias("sample"), F.substring_index("name", "/", -1).alias("name"), "seq", "qual", "ok")
 
 
+@query("sequence_ranges", f"WITH {I.CONTIGS}, {I.READS} SELECT sample, idx, seq, repeat('I', length(seq)) AS qual, true AS ok FROM reads")
+def sequence_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """All reads, written as plain FASTQ files and read back in ranges that cut records anywhere."""
+    path = _written(spark, I.reads(spark, d))
+    return _named(sq.read_sequences(spark, path, split_bytes=1_000_003)).select("sample", "idx", "seq", "qual", "ok")
+
+
+def _written(spark: SparkSession, reads: DataFrame) -> str:
+    """Reads (sample, idx, seq) as plain FASTQ files in a folder of their own."""
+    path = scratch(spark)
+    name = F.concat_ws("/", F.coalesce("sample", F.lit("-")), "idx")
+    fq.write_fastq(reads.select(name.alias("name"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual")), path, "none")
+    return path
+
+
+def _named(records: DataFrame) -> DataFrame:
+    """sample and idx from the names that _written gave."""
+    return records.withColumns({"sample": F.nullif(F.substring_index("name", "/", 1), F.lit("-")), "idx": F.substring_index("name", "/", -1).cast("long")})
+
+
 @query("manifest_lookup", f"""WITH {_MATES}, man AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_1.fastq.gz' AS name, 'M_' || p_brand AS sample, 'PAIRED' AS layout, 1 AS mate FROM part WHERE p_partkey % 5 = 0),
 man1 AS (SELECT name, min(sample) AS sample, any_value(layout) AS layout, any_value(mate) AS mate FROM man GROUP BY name)
 SELECT id, k.name, coalesce(man1.sample, k.key, regexp_replace(regexp_replace(k.name, '(?i)\\.gz$', ''), '(?i)\\.({nm.FASTQ})$', '')) AS sample,
@@ -446,6 +467,15 @@ def stream_sketch(spark: SparkSession, d: str) -> DataFrame:
     return sk.sample_sketch(found, cap=4)
 
 
+@query("stream_fastq", f"WITH {I.SAMPLE} SELECT sample, h, cnt FROM counts")
+def stream_fastq(spark: SparkSession, d: str) -> DataFrame:
+    """The sample sketches from FASTQ files as a stream of bytes: the same again."""
+    path = _written(spark, I.reads(spark, d))
+    stream = sq.stream_sequences(spark, path, split_bytes=1_000_003)
+    found = st.drain(stream, lambda batch: sk.read_kmers(_named(batch.filter("ok")).select("sample", "idx", "seq"), I.K, I.C), scratch(spark))
+    return sk.sample_sketch(found, cap=4)
+
+
 @query("stream_pairs", f"WITH {I.PAIRS} SELECT idx, r1, r2 FROM pairs")
 def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Mates from two streams of turns, joined as they arrive."""

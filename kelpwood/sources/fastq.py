@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.workers import map_arrow
-
-RECORD = "idx long, name string, seq string, qual string, ok boolean"
+from .sequences import numbered, read_sequences
 
 
 def fastq_records(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,47 +64,7 @@ def write_fastq(records: DataFrame, path: str, compression: str = "gzip") -> Non
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """FASTQ or FASTA files, plain or gzip by their first bytes: path and RECORD
-    columns. FASTA records have null qualities. A file is read by one task, record by record."""
-
-    def parse(batches: Iterator) -> Iterator:
-        import gzip
-        import io
-
-        import pyarrow as pa
-
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-        names = ["path", "idx", "name", "seq", "qual", "ok"]
-
-        def records(stream):
-            line = stream.readline().rstrip("\r\n")
-            while line:
-                if line.startswith(">"):
-                    name, parts = line[1:].split(" ")[0].replace("\t", " "), []
-                    line = stream.readline().rstrip("\r\n")
-                    while line and not line.startswith(">"):
-                        parts.append(line)
-                        line = stream.readline().rstrip("\r\n")
-                    yield name, "".join(parts), None, True
-                    continue
-                seq, plus, qual = (stream.readline().rstrip("\r\n") for _ in range(3))
-                good = line.startswith("@") and plus.startswith("+") and len(seq) == len(qual)
-                yield line[1:].split(" ")[0], seq, qual, good
-                if not good:
-                    return
-                line = stream.readline().rstrip("\r\n")
-
-        for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = content.as_py()
-                raw = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-                rows = []
-                for i, r in enumerate(records(io.TextIOWrapper(raw, "latin-1", newline="\n"))):
-                    rows.append((where, i, *r))
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    return map_arrow(spark.read.format("binaryFile").load(path).select("path", "content"), parse, f"path string, {RECORD}")
+    """FASTQ or FASTA files, plain or gzip by their first bytes: path, idx,
+    name, seq, qual, ok. FASTA records have null qualities. Lines that make no record are a row
+    that is not ok, and reading goes on; until_broken() ends a file there."""
+    return numbered(read_sequences(spark, path)).select("path", "idx", "name", "seq", "qual", "ok")

@@ -25,8 +25,10 @@ def test_files_plain_gzip_and_fasta(spark, tmp_path):
     (tmp_path / "a.fq").write_text("@a\nAC\n+\nII\n")
     (tmp_path / "b.fq.gz").write_bytes(gzip.compress(b"@b\nACG\n+\nIII\n@c\nAC\n+\nI\n@d\nA\n+\nI\n"))
     (tmp_path / "c.fa").write_text(">c1 d\nAC\nGT\n>c2\nA")
-    got = sorted((x.path.rsplit("/", 1)[1], x.idx, x.name, x.seq, x.ok) for x in fq.read_fastq(spark, str(tmp_path)).collect())
-    assert got == [("a.fq", 0, "a", "AC", True), ("b.fq.gz", 0, "b", "ACG", True), ("b.fq.gz", 1, "c", "AC", False), ("c.fa", 0, "c1", "ACGT", True), ("c.fa", 1, "c2", "A", True)]
+    df = fq.read_fastq(spark, str(tmp_path))
+    got = sorted((x.path.rsplit("/", 1)[1], x.idx, x.name, x.seq, x.ok) for x in df.collect())
+    assert got == [("a.fq", 0, "a", "AC", True), ("b.fq.gz", 0, "b", "ACG", True), ("b.fq.gz", 1, None, None, False), ("b.fq.gz", 2, "d", "A", True), ("c.fa", 0, "c1", "ACGT", True), ("c.fa", 1, "c2", "A", True)]
+    assert sorted(x.name for x in fq.until_broken(df, ["path"]).collect()) == ["a", "b", "c1", "c2"]
 
 
 def test_caps_cross_blocks(spark):
