@@ -195,12 +195,15 @@ def reassigned(results: DataFrame, genome_kmers: DataFrame, table: DataFrame, le
     return lost.groupBy("sample", "winner", F.col("genome").alias("loser")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
 
 
-def profile(genome_kmers: DataFrame, sample_kmers: DataFrame, sizes_bp: DataFrame, k: int, min_ani: float = 0.95, min_kmers: int = 50, redundant: float = 99.0, estimator: Column | None = None, keep=lambda df: df) -> DataFrame:
+def profile(genome_kmers: DataFrame, sample_kmers: DataFrame, sizes_bp: DataFrame, k: int, min_ani: float = 0.95, min_kmers: int = 50, redundant: float = 99.0, estimator: Column | None = None, keep=lambda df: df, within: DataFrame | None = None) -> DataFrame:
     """The two passes: identities, k-mers to their winners, identities again over
     what each genome has left, and shares of the sample. Genomes that lost
     (redundant / 100)^k of their k-mers or more are left out. ``keep`` may store
-    what is used several times."""
+    what is used several times; ``within`` has the pairs (sample, genome) that are
+    looked for, all without it."""
     pairs, sizes = histogram(genome_kmers, sample_kmers, min_kmers)
+    if within is not None:
+        pairs = pairs.join(within.select(*PAIR).distinct(), PAIR, "left_semi")
     first = keep(identities(coverage(pairs, sizes, k), k, estimator, min_ani).select(*PAIR, "final_ani", "contained"))
     table = winners(first, genome_kmers)
     used = genome_kmers.filter("used").join(first.select(*PAIR), "genome")

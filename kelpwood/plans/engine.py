@@ -274,10 +274,11 @@ def _profile(spark, d, sketches=None):
 
 
 @query("profile", f"""WITH RECURSIVE {_PROFILE} SELECT sample, genome, round(tax, 9) AS taxonomic_abundance, round(seqab, 9) AS sequence_abundance, round(final_ani, 9) AS final_ani,
-round(final_cov, 9) AS final_cov, kmers_lost, CAST(contained AS BIGINT) AS contained, n_kmers FROM prof""")
+round(final_cov, 9) AS final_cov, kmers_lost, CAST(contained AS BIGINT) AS contained, n_kmers FROM prof ORDER BY sample, taxonomic_abundance DESC, genome""")
 def profile(spark: SparkSession, d: str) -> DataFrame:
+    """The two passes: what each sample holds, the most abundant first."""
     rounded = [F.round(c, 9).alias(c) for c in ("taxonomic_abundance", "sequence_abundance", "final_ani", "final_cov")]
-    return _profile(spark, d).select("sample", "genome", *rounded, "kmers_lost", "contained", "n_kmers")
+    return _profile(spark, d).select("sample", "genome", *rounded, "kmers_lost", "contained", "n_kmers").orderBy("sample", F.desc("taxonomic_abundance"), "genome")
 
 
 _IDENTITY = f"""
@@ -320,23 +321,29 @@ def profile_reads(spark: SparkSession, d: str) -> DataFrame:
     return ct.read_counts(rows, identity, explained).orderBy("sample", F.desc("taxonomic_abundance"), "genome").select("sample", "genome", "reads")
 
 
-_SCREEN = f"""{_PAIRS}, lg AS (SELECT doc_id AS genome, lang FROM documents WHERE lang IS NOT NULL),
-share AS (SELECT sample, lang, CAST(sum(n) AS BIGINT) AS found FROM hist JOIN lg USING (genome) GROUP BY ALL),
-pick AS (SELECT sample, lang FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY found DESC, lang) AS place FROM share) WHERE place = 1)"""
+#: The profile's tables, with the first pass over the genomes that the screen left to each sample.
+_SCREENED = _PROFILE.replace("hist AS (SELECT hits.* FROM hits JOIN sizes USING (genome))", """whole AS (SELECT hits.* FROM hits JOIN sizes USING (genome)),
+lg AS (SELECT doc_id AS genome, lang FROM documents WHERE lang IS NOT NULL),
+share AS (SELECT sample, lang, CAST(sum(n) AS BIGINT) AS found FROM whole JOIN lg USING (genome) GROUP BY ALL),
+pick AS (SELECT sample, lang FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY found DESC, lang) AS place FROM share) WHERE place = 1),
+hist AS (SELECT h.* FROM whole h JOIN lg USING (genome) JOIN pick p ON p.sample = h.sample AND p.lang = lg.lang)""", 1)
 
 
-@query("screen_then_profile", f"""WITH RECURSIVE {_SCREEN}, hist0 AS (SELECT h.* FROM hist h JOIN lg USING (genome) JOIN pick p ON p.sample = h.sample AND p.lang = lg.lang),
-{cover_sql('hist0', 'cover')}, {result_sql('cover', 'results', MIN_ANI)} SELECT sample, lang AS catalogue, genome, round(final_ani, 9) AS final_ani, round(final_cov, 9) AS final_cov FROM results JOIN pick USING (sample)""")
+@query("screen_then_profile", f"""WITH RECURSIVE {_SCREENED} SELECT sample, lang AS catalogue, genome, round(tax, 9) AS taxonomic_abundance, round(seqab, 9) AS sequence_abundance,
+round(final_ani, 9) AS final_ani, round(final_cov, 9) AS final_cov, kmers_lost FROM prof JOIN pick USING (sample) ORDER BY sample, taxonomic_abundance DESC, genome""")
 def screen_then_profile(spark: SparkSession, d: str) -> DataFrame:
     """Catalogues are the genomes of a language. Each sample is screened against all,
-    the catalogue that holds most of its k-mers is chosen, and only its genomes are looked for."""
-    pairs, sizes = _pairs(spark, d)
-    pairs = stored(pairs)
-    catalogues = I.table(spark, d, "documents").filter("lang is not null").select(F.col("doc_id").alias("genome"), F.col("lang").alias("catalogue"))
-    found = pairs.join(catalogues, "genome")
-    chosen = found.groupBy("sample", "catalogue").agg(F.sum("n").alias("found")).groupBy("sample").agg(F.min_by("catalogue", F.struct(-F.col("found"), F.col("catalogue"))).alias("catalogue"))
-    rows = ct.identities(ct.coverage(found.join(chosen, ["sample", "catalogue"]).select("sample", "genome", "cnt", "n"), sizes, I.K), I.K, min_ani=MIN_ANI)
-    return rows.join(chosen, "sample").select("sample", "catalogue", "genome", F.round("final_ani", 9).alias("final_ani"), F.round("final_cov", 9).alias("final_cov"))
+    the catalogue that holds most of its k-mers is chosen, and the sample's profile
+    is made over its genomes alone."""
+    genomes, samples = _sketches(spark, d)
+    catalogues = stored(I.table(spark, d, "documents").filter("lang is not null").select(F.col("doc_id").alias("genome"), F.col("lang").alias("catalogue")))
+    pairs = stored(ct.histogram(genomes, samples, FLOOR)[0])
+    found = pairs.join(catalogues, "genome").groupBy("sample", "catalogue").agg(F.sum("n").alias("found"))
+    chosen = stored(found.groupBy("sample").agg(F.min_by("catalogue", F.struct(-F.col("found"), F.col("catalogue"))).alias("catalogue")))
+    within = chosen.join(catalogues, "catalogue").select("sample", "genome")
+    rows = ct.profile(genomes, samples, sk.genome_sizes(I.contigs(spark, d)), I.K, MIN_ANI, FLOOR, keep=stored, within=within)
+    rounded = [F.round(c, 9).alias(c) for c in ("taxonomic_abundance", "sequence_abundance", "final_ani", "final_cov")]
+    return rows.join(chosen, "sample").select("sample", "catalogue", "genome", *rounded, "kmers_lost").orderBy("sample", F.desc("taxonomic_abundance"), "genome")
 
 
 @query("pass_join", f"""WITH RECURSIVE {_PROFILE} SELECT o.sample, o.genome, CAST(o.contained AS BIGINT) AS before, CAST(n.contained AS BIGINT) AS after, n.contained IS NOT NULL AS survives

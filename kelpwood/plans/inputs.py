@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("genome"), F.posexplode(F.split("text", r"\.")).alias("contig", "s"))
-    return docs.withColumn("s", F.trim("s")).filter(F.length("s") > 20).select("genome", "contig", dna(F.col("s")).alias("seq"))
+    return docs.select("genome", "contig", dna(F.trim("s")).alias("seq"))
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
@@ -70,11 +70,10 @@ CONTIGS = """
 contigs AS (
   SELECT genome, contig, translate(md5(s || '0') || md5(s || '1') || md5(s || '2') || md5(s || '3'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq
   FROM (SELECT genome, contig, trim(x) AS s FROM (
-    SELECT doc_id AS genome, unnest(range(len(l))) AS contig, unnest(l) AS x FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents)))
-  WHERE length(s) > 20)"""
+    SELECT doc_id AS genome, unnest(range(len(l))) AS contig, unnest(l) AS x FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))))"""
 
 READS = """
-reads AS (
+reads AS MATERIALIZED (
   SELECT lang AS sample, genome * 100000 + contig AS idx, substring(seq, CAST((genome * 100000 + contig) % 29 + 1 AS BIGINT), 100) AS seq
   FROM contigs JOIN documents ON doc_id = genome)"""
 

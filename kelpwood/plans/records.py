@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as nm
 from ..operators import runs as rn
 from ..operators import sketch as sk
+from ..operators.ecology import global_rank
 from ..sources import fastq as fq
 from ..sources import sequences as sq
 from ..sources.stores import scratch
@@ -186,7 +187,7 @@ def rank_intern(spark: SparkSession, d: str) -> DataFrame:
     """Brands as dense numbers in the order of their first part; parts up to size 3 have none."""
     part = I.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 3, F.col("p_brand")).alias("brand"))
     first = part.filter("brand is not null").groupBy("brand").agg(F.min("p_partkey").alias("first"))
-    index = first.select("brand", (F.row_number().over(Window.orderBy("first")) - 1).alias("idx"))
+    index = global_rank(first, "first", name="at").select("brand", (F.col("at") - 1).alias("idx"))
     return part.join(index, "brand", "left").select("p_partkey", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
@@ -458,7 +459,7 @@ def stream_sketch(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.kmers import dna
 
     def occurrences(docs: DataFrame) -> DataFrame:
-        rows = docs.select(F.col("doc_id").alias("genome"), F.col("lang").alias("sample"), F.posexplode(F.split("text", r"\.")).alias("contig", "s")).withColumn("s", F.trim("s")).filter(F.length("s") > 20)
+        rows = docs.select(F.col("doc_id").alias("genome"), F.col("lang").alias("sample"), F.posexplode(F.split("text", r"\.")).alias("contig", "s")).withColumn("s", F.trim("s"))
         rows = rows.withColumns({"seq": dna(F.col("s")), "idx": F.col("genome") * 100000 + F.col("contig")})
         reads = rows.select("sample", "idx", F.substring("seq", (F.col("idx") % 29 + 1).cast("int"), F.lit(100)).alias("seq"))
         return sk.read_kmers(reads, I.K, I.C)
