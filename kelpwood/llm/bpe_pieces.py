@@ -6,7 +6,7 @@ equals, until none is left. Symbols that are no pieces become bytes. No piece
 of the vocabulary holds a space sign behind another character, so no merge
 crosses the start of a word; nor does one cross two characters that stand next
 to each other in no piece, so a word falls into parts there. Each Python worker
-keeps the ids of words and of parts it met.
+keeps the ids of words and of parts it met lately, in bounded memory.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lately import Lately
 from .shared import map_arrow, whole_text
 
-#: Ids of at most so many words and so many parts are kept in a worker; beyond it, it starts anew.
-CACHE_WORDS, CACHE_PARTS = 800_000, 500_000
+#: Bytes of what a worker keeps of words and of parts that it met lately.
+WORDS_BYTES, PARTS_BYTES = 128 << 20, 64 << 20
 #: Characters that are encoded at once in a worker.
 CHUNK_CHARS = 1_000_000
 
@@ -48,8 +49,8 @@ class PieceCodec:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if self.library.is_byte(i)}
         self.unknown = self.library.unk_id()
         self.surface = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        self.words: dict[str, tuple[int, bytes, bytes]] = {}
-        self.parts: dict[str, tuple[int, bytes, bytes]] = {}
+        size = lambda v: 150 + len(v[1]) + len(v[2])
+        self.words, self.parts = Lately(size, WORDS_BYTES), Lately(size, PARTS_BYTES)
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         crossing = [p for p in self.ids if re.search(f"[^{SPACE}]{SPACE}", p)]
         if crossing or len(self.bytes) != 256:
@@ -119,21 +120,19 @@ class PieceCodec:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in near]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        parts, surface = self.parts, self.surface
-        for w in words:
-            found = []
-            for part in self.split(w):
-                got = parts.get(part)
-                if got is None:
-                    ids = self.merge(part)
-                    got = parts[part] = (len(ids), ",".join(map(str, ids)).encode(), b"".join([surface[i] for i in ids]))
-                found.append(got)
-            self.words[w] = found[0] if len(found) == 1 else (sum([f[0] for f in found]), b",".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+    def made_parts(self, parts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """(number of ids, ids in decimal joined by commas, bytes) of each part."""
+        surface, out = self.surface, []
+        for ids in map(self.merge, parts):
+            out.append((len(ids), ",".join(map(str, ids)).encode(), b"".join([surface[i] for i in ids])))
+        return out
+
+    def made_words(self, words: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """The same of each word."""
+        split = list(map(self.split, words))
+        known = self.parts.look_up({p for ps in split for p in ps}, self.made_parts)
+        found = [[known[p] for p in ps] for ps in split]
+        return [f[0] if len(f) == 1 else (sum([x[0] for x in f]), b",".join([x[1] for x in f]), b"".join([x[2] for x in f])) for f in found]
 
     def encode(self, text: str) -> list[int]:
         return [i for w in self.pieces(text) for p in self.split(w) for i in self.merge(p)]
@@ -146,11 +145,7 @@ class PieceCodec:
     def summaries(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids in decimal joined by commas, decoded bytes) of each text."""
         split = [self.pieces(t) for t in texts]
-        known = self.words
-        new = {w for s in split for w in s if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:
-            new = {w for s in split for w in s}
-        self.learn(list(new))
+        known = self.words.look_up({w for s in split for w in s}, self.made_words)
         out = []
         for s in split:
             got = [known[w] for w in s]

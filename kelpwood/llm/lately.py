@@ -36,13 +36,12 @@ class Lately:
             self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         missing = wanted - young.keys()
-        again = list(missing & old.keys())
-        new = list(missing.difference(again))
-        values = [old[x] for x in again] + (make(new) if new else [])
-        for x, value in zip(again + new, values):
-            young[x] = value
-            if len(x) > self.longest:
-                self.guests.append(x)
-            else:
-                self.held += getsizeof(x) + self.size(value) + ENTRY
+        again = missing & old.keys()
+        new = list(missing - again)
+        found = {x: old[x] for x in again}
+        if new:
+            found |= zip(new, make(new))
+        young |= found
+        self.guests = [x for x in found if len(x) > self.longest]
+        self.held += sum(map(getsizeof, found)) + sum(map(self.size, found.values())) + ENTRY * len(found)
         return young

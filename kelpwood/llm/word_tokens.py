@@ -2,8 +2,8 @@
 
 The vocabulary splits at white space, and between letters, digits and other
 characters, before it merges anything, so a text's ids are those of its runs
-in turn. Each Python worker keeps the ids of runs it has met lately; a text then
-costs one look-up a run, and the library sees only new ones. Texts with other
+in turn. Each Python worker keeps the ids of runs it has met lately, in bounded
+memory; a text then costs one look-up a run, and the library sees only new ones. Texts with other
 characters than Latin ones are looked up by whole words.
 """
 
@@ -13,9 +13,10 @@ import re
 import sys
 from array import array
 
-#: Ids are kept of at most twice so many runs or words, those met lately: a full generation becomes the older one.
-GENERATION = 300_000
+from .lately import Lately
 
+#: Runs that the library gets as one text.
+JOINED = 500
 #: Texts of characters that the vocabulary's normaliser only lower-cases, one by one.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The pre-tokeniser's split, for plain characters in lower case.
@@ -33,8 +34,12 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        import numpy as np
+
+        vocabulary = self.library.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Lately()
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text by the library."""
@@ -44,17 +49,23 @@ class WordTokens:
                 ids.byteswap()
         return [ids.tobytes() for ids in found]
 
-    def _look_up(self, wanted: set[str]) -> dict[str, bytes]:
-        """A mapping that has the ids of all wanted runs or words."""
-        if len(self.young) + len(wanted) > GENERATION:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = wanted - young.keys()
-        again = missing & old.keys()
-        young.update((x, old[x]) for x in again)
-        new = list(missing - again)
-        young.update(zip(new, self._packed(new)))
-        return young
+    def _made(self, wanted: list[str]) -> list[bytes]:
+        """The ids of runs and words. Plain runs are one word of the vocabulary each,
+        so many of them are a text, and fall apart where words end."""
+        import numpy as np
+
+        out: dict[str, bytes] = {}
+        runs = [x for x in wanted if _RUNS.fullmatch(x) and _PLAIN.fullmatch(x)]
+        parts = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)]
+        for part, data in zip(parts, self._packed([" ".join(p) for p in parts])):
+            ends = 4 * (np.flatnonzero(self.is_end[np.frombuffer(data, "<u4")]) + 1)
+            if len(ends) == len(part) and ends[-1] == len(data):
+                ends = ends.tolist()
+                out |= zip(part, [data[a:b] for a, b in zip([0, *ends], ends)])
+        rest = [x for x in wanted if x not in out]
+        if rest:
+            out |= zip(rest, self._packed(rest))
+        return [out[x] for x in wanted]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -66,7 +77,7 @@ class WordTokens:
                 split.append(_RUNS.findall(t.lower()))
             else:
                 split.append(None if any(s in t for s in _SEPARATORS) else t.split())
-        get = self._look_up(set().union(*(s for s in split if s))).__getitem__
+        get = self.known.look_up(set().union(*(s for s in split if s)), self._made).__getitem__
         return [self._packed([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
