@@ -90,6 +90,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
     target_uri, warc_date, content_type, content_length, block_digest,
     payload_digest (the source's), block.
 
+    A column payload_digest of the responses, where it isn't null, is the source's
+    digest; else it is that of the payload as UTF-8. A column block_digest goes
+    into the metadata.
+
     Defined results: null headers and payloads count as empty, and give records
     with an empty text; other nulls pass through (a null record_id leaves both
     ids null); equal responses give equal records, as often as they occur;
@@ -102,13 +106,17 @@ def derivatives(responses: DataFrame) -> DataFrame:
         "\r\n",
         F.concat(F.lit("title: "), line(F.regexp_extract("payload", TITLE, 1))),
         F.regexp_replace("http_header", r"(?m)^(?=.)", "source-header: "),
-        F.concat(F.lit("source-payload-digest: sha256:"), F.col("sha")),
+        F.concat(F.lit("source-payload-digest: "), F.col("digest")),
+        *([F.concat(F.lit("source-block-digest: "), F.col("block_digest"))] if "block_digest" in responses.columns else []),
         links,
     )
-    rows = responses.withColumns({"http_header": header, "payload": html}).withColumns({"sha": F.sha2("payload", 256), "seen": F.regexp_replace("payload", UNSEEN, "")})
+    rows = responses.withColumns({"http_header": header, "payload": html})
+    digest = F.concat(F.lit("sha256:"), F.sha2("payload", 256))
+    digest = F.coalesce("payload_digest", digest) if "payload_digest" in responses.columns else digest
+    rows = rows.withColumns({"digest": digest, "seen": F.regexp_replace("payload", UNSEEN, "")})
     kinds = [("metadata", "application/warc-fields", F.concat(fields, F.lit("\r\n"))), ("conversion", "text/plain; charset=UTF-8", seen_text(F.col("seen")))]
     made = F.explode(F.array(*[F.struct(F.lit(k).alias("warc_type"), F.lit(t).alias("content_type"), b.alias("block")) for k, t, b in kinds]))
-    rows = rows.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "sha", made.alias("made"))
+    rows = rows.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "digest", made.alias("made"))
     return rows.select(
         "source_id",
         F.col("made.warc_type").alias("warc_type"),
@@ -119,7 +127,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.col("made.content_type").alias("content_type"),
         F.octet_length("made.block").cast("long").alias("content_length"),
         F.concat(F.lit("sha256:"), F.sha2("made.block", 256)).alias("block_digest"),
-        F.concat(F.lit("sha256:"), F.col("sha")).alias("payload_digest"),
+        F.col("digest").alias("payload_digest"),
         F.col("made.block").alias("block"),
     )
 
@@ -142,32 +150,40 @@ class WarcRecords:
 
     Iterates over (headers, block, error). A record whose header or length is
     broken is given as an error with the bytes up to the next line that starts
-    with WARC/1, where reading goes on.
+    with WARC/1, where reading goes on. A gzip member that can't be read or is cut
+    off is an error, after what was read of it; reading goes on with the next
+    place where a member starts.
     """
 
     PIECE = 1 << 20
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.buffer, self.ended = data, 0, bytearray(), False
+        self.data, self.at, self.buffer = data, 0, bytearray()
         self.gzip = data[:2] == b"\x1f\x8b"
-        self.member = None
+        self.member, self.start, self.damage = None, 0, None
 
     def _more(self) -> bool:
         """One more piece in the buffer; False at the end."""
         import zlib
 
-        if self.at >= len(self.data) or self.ended:
+        if self.damage:
+            return False  # what is in the buffer comes first
+        if self.at >= len(self.data):
+            if self.member is not None:
+                self.member, self.damage = None, "cut gzip member"
             return False
         piece = self.data[self.at : self.at + self.PIECE]
         if not self.gzip:
             self.buffer += piece
             self.at += len(piece)
             return True
-        self.member = self.member or zlib.decompressobj(31)
+        if self.member is None:
+            self.member, self.start = zlib.decompressobj(31), self.at
         try:
             self.buffer += self.member.decompress(piece, self.PIECE * 16)
         except zlib.error:
-            self.ended = True
+            following = self.data.find(b"\x1f\x8b\x08", self.start + 1)
+            self.at, self.member, self.damage = following if following >= 0 else len(self.data), None, "damaged gzip member"
             return False
         left = self.member.unused_data or self.member.unconsumed_tail
         self.at += len(piece) - len(left)
@@ -187,8 +203,13 @@ class WarcRecords:
             while len(self.buffer) < 7 and self._more():
                 pass
             if not self.buffer.strip(b"\r\n"):
-                if not self._more():
+                if self._more():
+                    continue
+                if not self.damage:
                     return
+                yield {}, b"", self.damage
+                self.buffer.clear()
+                self.damage = None
                 continue
             lead = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
             del self.buffer[:lead]
@@ -245,20 +266,74 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(spark.read.format("binaryFile").load(path).select("content"), parse, "headers map<string,string>, block binary, error string")
 
 
+def body_bytes(data: bytes, head: str) -> bytes:
+    """A response's body as its sender had it: chunks joined, gzip and deflate undone.
+    What can't be undone stays as it is."""
+    import re
+    import zlib
+
+    head = head.lower()
+    if re.search(r"(?m)^transfer-encoding:[^\n]*chunked", head):
+        out, at = [], 0
+        while (m := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r?\n").match(data, at)) and int(m[1], 16):
+            out.append(data[m.end() : m.end() + int(m[1], 16)])
+            at = m.end() + int(m[1], 16)
+            at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] == b"\n"
+        data = b"".join(out) if out or m else data
+    coding = re.search(r"(?m)^content-encoding:[ \t]*([\w-]+)", head)
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding[1] if coding else "", ()):
+        try:
+            return zlib.decompressobj(bits).decompress(data)
+        except zlib.error:
+            pass
+    return data
+
+
+def body_text(data: bytes, head: str) -> str:
+    """A body as text: by the header's charset, else by a byte order mark, else UTF-8."""
+    import codecs
+    import re
+
+    named = re.search(r"(?im)^content-type:[^\n]*charset=[\"']?([\w.:-]+)", head)
+    mark = next((n for m, n in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")) if data.startswith(m)), None)
+    try:
+        # What is called Latin-1 on the web is the Windows set.
+        charset = codecs.lookup(named[1]).name if named else mark or "utf-8"
+        return data.decode({"iso8859-1": "cp1252", "ascii": "cp1252"}.get(charset, charset), "replace")
+    except (LookupError, UnicodeError):
+        return data.decode("utf-8", "replace")
+
+
 def responses_of(records: DataFrame) -> DataFrame:
-    """Records as read_warc gives them to the responses that derivatives() takes."""
+    """Records as read_warc gives them to the responses that derivatives() takes,
+    with the digests that the records have (payload_digest, block_digest; null
+    without). Where a record has no payload digest, it is that of the body's bytes as
+    they were sent. The payload is the body without its transfer and content
+    encodings, as text by its charset."""
     head = F.col("headers")
-    text = F.decode("block", "ISO-8859-1")
-    cut = F.instr(text, "\r\n\r\n")
-    body = F.when(cut > 0, F.substring("block", cut + 4, F.octet_length("block"))).otherwise(F.lit(b""))
-    return records.filter((head["warc-type"] == "response") & F.col("error").isNull()).select(
-        F.xxhash64(head["warc-record-id"]).alias("source_id"),
-        head["warc-record-id"].alias("record_id"),
-        head["warc-target-uri"].alias("target_uri"),
-        head["warc-date"].alias("warc_date"),
-        F.when(cut > 0, F.substring_index(text, "\r\n\r\n", 1)).otherwise(text).alias("http_header"),
-        F.decode(body, "UTF-8").alias("payload"),
-    )
+    wanted = records.filter((head["warc-type"] == "response") & F.col("error").isNull()).select(
+        F.xxhash64(head["warc-record-id"]).alias("source_id"), head["warc-record-id"].alias("record_id"), head["warc-target-uri"].alias("target_uri"),
+        head["warc-date"].alias("warc_date"), head["warc-payload-digest"].alias("payload_digest"), head["warc-block-digest"].alias("block_digest"), "block",
+    )
+
+    def parse(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        from .warc import body_bytes, body_text
+
+        for batch in batches:
+            heads, payloads, digests = [], [], []
+            for data, digest in zip(batch.column(6).to_pylist(), batch.column(4).to_pylist()):
+                first, _, body = (data or b"").partition(b"\r\n\r\n")
+                heads.append(first.decode("latin-1"))
+                digests.append(digest or "sha256:" + hashlib.sha256(body).hexdigest())
+                payloads.append(body_text(body_bytes(body, heads[-1]), heads[-1]))
+            cols = [*(batch.column(k) for k in range(4)), pa.array(heads), pa.array(payloads), pa.array(digests), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(cols, names=["source_id", "record_id", "target_uri", "warc_date", "http_header", "payload", "payload_digest", "block_digest"])
+
+    return map_arrow(wanted, parse, "source_id long, record_id string, target_uri string, warc_date string, http_header string, payload string, payload_digest string, block_digest string")
 
 
 def oracle() -> str:

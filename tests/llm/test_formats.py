@@ -312,3 +312,50 @@ def test_pieces_of_odd_documents(spark):
     empty = [r for r in got if r.doc_id in (3, 4)]
     assert all(r.n_tokens == 0 and r.ids_sha256 == r.decoded_sha256 == hashlib.sha256(b"").hexdigest() for r in empty)
     assert bpe_pieces.encode_pieces(no_documents(spark), PIECES).count() == 0
+
+
+def warc_record(i, body=b"", head=b"HTTP/1.1 200 OK\r\nContent-Type: text/html", extra=b""):
+    block = head + b"\r\n\r\n" + body
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:r:%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, extra, len(block), block)
+
+
+@pytest.mark.parametrize("part", range(6))
+@pytest.mark.parametrize("where", ["head", "body", "checksum", "cut"])
+def test_a_damaged_warc_member_loses_itself_alone(part, where):
+    import gzip
+
+    texts = [bytes(random.Random(k).choices(range(32, 127), k=4000)) for k in range(6)]
+    members = [gzip.compress(warc_record(k, t), mtime=0) for k, t in enumerate(texts)]
+    broken = bytearray(members[part])
+    at = {"head": 2, "body": len(broken) // 2, "checksum": len(broken) - 6, "cut": 0}[where]
+    if where == "cut":
+        del broken[len(broken) // 2 :]
+    else:
+        broken[at] ^= 0xFF
+    members[part] = bytes(broken)
+    found = list(warc.WarcRecords(b"".join(members)))
+    whole = {h["warc-record-id"] for h, _, error in found if error is None}
+    assert {f"<urn:r:{k}>" for k in range(6)} - whole <= {f"<urn:r:{part}>"}
+    assert any(e and "gzip member" in e for _, _, e in found)
+
+
+def test_source_digests_charsets_and_encodings(spark, tmp_path):
+    import gzip
+    import hashlib
+    import zlib
+
+    kinds = {
+        1: (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1", "<p>caf\u00e9".encode("latin-1"), b"WARC-Payload-Digest: sha1:ABC\r\nWARC-Block-Digest: sha1:DEF\r\n"),
+        2: (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Encoding: gzip", gzip.compress("<p>na\u00efve".encode()), b""),
+        3: (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"4\r\n<p>a\r\n3;x=1\r\nbcd\r\n0\r\n\r\n", b""),
+        4: (b"HTTP/1.1 200 OK\r\nContent-Encoding: deflate\r\nTransfer-Encoding: chunked", b"%x\r\n%s\r\n0\r\n\r\n" % (len(zlib.compress(b"<p>z")), zlib.compress(b"<p>z")), b""),
+        5: (b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Type: text/html; charset=nowhere", b"<p>plain", b""),
+    }
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc_record(i, b, h, x)) for i, (h, b, x) in kinds.items()))
+    responses = warc.responses_of(warc.read_warc(spark, str(tmp_path)))
+    got = {int(r.record_id[7:-1]): r for r in responses.collect()}
+    assert {i: r.payload for i, r in got.items()} == {1: "<p>caf\u00e9", 2: "<p>na\u00efve", 3: "<p>abcd", 4: "<p>z", 5: "<p>plain"}
+    assert got[1].payload_digest == "sha1:ABC" and got[2].payload_digest == "sha256:" + hashlib.sha256(kinds[2][1]).hexdigest()
+    made = {(int(r.refers_to[7:-1]), r.warc_type): r for r in warc.derivatives(responses).collect()}
+    assert made[1, "metadata"].payload_digest == "sha1:ABC" and "source-block-digest: sha1:DEF" in made[1, "metadata"].block
+    assert "source-block-digest" not in made[2, "metadata"].block and made[2, "conversion"].block == "na\u00efve"
