@@ -15,6 +15,8 @@ from array import array
 
 from .lately import Lately
 
+#: Bytes of the runs and ids that a worker keeps.
+KEPT_BYTES = 128 << 20
 #: Runs that the library gets as one text.
 JOINED = 500
 #: Texts of characters that the vocabulary's normaliser only lower-cases, one by one.
@@ -39,7 +41,7 @@ class WordTokens:
         vocabulary = self.library.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = Lately()
+        self.known = Lately(most=KEPT_BYTES)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text by the library."""

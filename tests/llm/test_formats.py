@@ -50,7 +50,7 @@ def test_odd_urls_equal_brute_force(spark):
     assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
 
 
-@pytest.mark.parametrize(("rule", "tokens"), [("||ads.example^", ["ads", "example"]), ("*banner*", []), ("/pop/*.gif|", ["pop", "gif"]), ("|http", []), ("foo/bar^baz", ["bar"])])
+@pytest.mark.parametrize(("rule", "tokens"), [("||ads.example^", ["ads", "example"]), ("*bann*", ["~ban", "~ann"]), ("/pop/*.gif|", ["pop", "gif"]), ("|http", ["~htt", "~ttp"]), ("*ab*", []), ("foo/bar^baz", ["bar"])])
 def test_only_whole_tokens_index_a_rule(rule, tokens):
     assert url_rules.pattern_rule(rule, "block")["tokens"] == tokens
 
