@@ -21,6 +21,8 @@ LEAST_SAMPLE = 25
 MEDIAN_FOR_LAMBDA = 2
 MEDIAN_FOR_MEAN = 15
 MEDIAN_FOR_IDENTITY = 3
+#: Counts of a block over which the moving median is walked.
+MEDIAN_BLOCK = 65_536
 
 PAIR = ["sample", "genome"]
 
@@ -223,34 +225,103 @@ def shares(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"taxonomic_abundance": F.col("final_cov") / F.sum("final_cov").over(of) * 100, "sequence_abundance": bases / F.sum(bases).over(of) * 100})
 
 
-def moving_medians(sample_kmers: DataFrame) -> DataFrame:
+def walk(counts: list[int], m: int) -> tuple[int, int]:
+    """The moving median after counts, from m, and the sum of its values on the way."""
+    total = 0
+    for c in counts:
+        m += 1 if c > m else -1
+        total += m
+    return m, total
+
+
+def meeting(counts: list[int], low: int, high: int) -> tuple[int, int, int, int]:
+    """(t, out, rest, met): walks from low and high, and so from all medians of the same
+    parity between them, are one from step t on; where that ends, and its sum after
+    step t. If they don't meet (met is 0), t is the number of counts.
+
+    Two medians of the same parity never pass each other: they differ by two at
+    least, and the lower one is at most one up while the upper one is one down.
+    """
+    t = 0
+    while low != high and t < len(counts):
+        c = counts[t]
+        low += 1 if c > low else -1
+        high += 1 if c > high else -1
+        t += 1
+    out, rest = walk(counts[t:], low)
+    return t, out, rest, int(low == high)
+
+
+def moving_medians(sample_kmers: DataFrame, block: int = MEDIAN_BLOCK) -> DataFrame:
     """(sample, depth_sum): a moving median over the counts above one in the order
     of hashes, one up where the count is larger and one down elsewhere, summed.
 
-    Each step depends on the one before, so a sample's k-mers (one in c of all)
-    are walked in one task, with two numbers as all that is kept in mind.
+    A sample's hashes are cut into blocks of about ``block``. What a block makes of
+    a median is soon the same for all medians of a parity that can come in, as walks
+    that meet stay together; a block hands on where they meet, what follows, and the
+    counts before. Then the blocks' few first counts are walked one after another.
+    No median exceeds v + (the number of counts above v), whatever v is.
     """
     rows = sample_kmers.filter("cnt > 1").select("sample", "h", F.col("cnt").cast("long").alias("cnt"))
-    schema = T.StructType([rows.schema.fields[0], T.StructField("depth_sum", T.LongType())])
+    above = Window.partitionBy("sample").orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = rows.groupBy("sample", "cnt").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
+    most = histogram.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    most = most.groupBy("sample").agg(F.min(F.col("cnt") + F.col("above")).alias("most"), F.sum("n").alias("n"), F.max("h").alias("last"))
+    # Hashes are uniform, so equal parts of their range hold about as many.
+    part = F.floor(F.col("h") / (F.col("last") + 1.0) * F.ceil(F.col("n") / block)).cast("long")
+    dealt = rows.join(most.withColumnRenamed("sample", "of_"), F.col("sample").eqNullSafe(F.col("of_"))).select("sample", part.alias("block"), "h", "cnt", "most")
+    sample = rows.schema.fields[0]
+    blocks = T.StructType([sample, T.StructField("block", T.LongType()), *(T.StructField(f"{c}{p}", T.LongType()) for p in (0, 1) for c in ("t", "out", "rest", "met")), T.StructField("first", T.ArrayType(T.LongType()))])
+    schema = T.StructType([sample, T.StructField("depth_sum", T.LongType())])
+
+    def groups(batches: Iterator, columns: int) -> Iterator[tuple]:
+        """(key, rows) of consecutive rows with the same first columns."""
+        import itertools
+
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield from itertools.groupby(rows, key=lambda r: r[:columns])
+
+    def arrow(rows: Iterator[tuple], fields: T.StructType) -> Iterator:
+        import itertools
 
-    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-
-        row = lambda sample, total: pa.RecordBatch.from_arrays([pa.array([sample]), pa.array([total], pa.int64())], names=schema.fieldNames()).cast(target)
-        at, m, total, target = None, 0, 0, None
-        for batch in batches:
-            target = target or pa.schema([pa.field("sample", batch.schema.field(0).type), pa.field("depth_sum", pa.int64())])
-            for sample, cnt in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if at is None or sample != at[0]:
-                    if at is not None:
-                        yield row(at[0], total)
-                    at, m, total = (sample,), 0, 0
-                m += 1 if cnt > m else -1
-                total += m
-        if at is not None:
-            yield row(at[0], total)
-
-    return map_arrow(rows.repartition("sample").sortWithinPartitions("sample", "h"), run, schema)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(fields)
+        while some := list(itertools.islice(rows, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), target)], schema=target)
+
+    def meet(batches: Iterator) -> Iterator:
+        from kelpwood.operators.contain import meeting
+
+        def made() -> Iterator[tuple]:
+            for (key, place), group in groups(batches, 2):
+                counts, most = [], 0
+                for r in group:
+                    counts.append(r[3])
+                    most = r[4]
+                ends = [meeting(counts, p, max(p, most - (most - p) % 2)) for p in (0, 1)]
+                yield key, place, *ends[0], *ends[1], counts[: max(e[0] for e in ends)]
+
+        yield from arrow(made(), blocks)
+
+    def compose(batches: Iterator) -> Iterator:
+        from kelpwood.operators.contain import walk
+
+        def made() -> Iterator[tuple]:
+            for (key,), group in groups(batches, 1):
+                m = total = 0
+                for r in group:
+                    t, out, rest, met = r[2:6] if m % 2 == 0 else r[6:10]
+                    m, here = walk(r[10][:t], m)
+                    total += here + rest
+                    m = out if met else m
+                yield key, total
+
+        yield from arrow(made(), schema)
+
+    found = map_arrow(dealt.repartition("sample", "block").sortWithinPartitions("sample", "block", "h"), meet, blocks)
+    return map_arrow(found.repartition("sample").sortWithinPartitions("sample", "block"), compose, schema)
 
 
 def read_counts(rows: DataFrame, identity: DataFrame, explained: DataFrame, cov: str = "true_cov") -> DataFrame:
