@@ -22,7 +22,7 @@ from .lately import Lately
 from .shared import map_arrow, whole_text
 
 #: Bytes of what a worker keeps of words and of parts that it met lately.
-WORDS_BYTES, PARTS_BYTES = 128 << 20, 64 << 20
+WORDS_BYTES, PARTS_BYTES = 288 << 20, 160 << 20
 #: Characters that are encoded at once in a worker.
 CHUNK_CHARS = 1_000_000
 
