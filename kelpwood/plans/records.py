@@ -488,3 +488,22 @@ def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
 
     # Ordinals count a thousand a conversation: mates may be a hundred thousand conversations apart.
     return st.drain(st.joined_mates(side(0), side(1), "idx", 100_000 * 1000), lambda x: x, scratch(spark)).select("idx", "r1", "r2")
+
+
+@query("stream_mates", f"WITH {I.PAIRS} SELECT idx, r1, r2 FROM pairs")
+def stream_mates(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs without ordinals: each conversation is a sample, its even and odd
+    turns are sides that arrive as they like and are paired in their order, by state."""
+    from ..functions.kmers import dna
+    from ..streaming.pairs import paired_stream
+
+    turns = st.stream_table(spark, f"{d}/conversations.parquet")
+    sides = turns.select(F.col("conv_id").cast("string").alias("sample"), (F.col("turn") % 2 + 1).cast("int").alias("mate"), F.col("turn").cast("long").alias("at"), dna(F.col("text")).alias("seq"), F.lit(True).alias("ok"))
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)  # the only store that holds state of this kind
+    try:
+        found = st.drain(paired_stream(sides), lambda x: x, scratch(spark))
+    finally:
+        spark.conf.set(name, before)
+    return found.filter("kind = 'pair'").select((F.col("sample").cast("long") * 1000 + F.col("idx")).alias("idx"), "r1", "r2")
