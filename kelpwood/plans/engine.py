@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers as km
 from ..operators import contain as ct
+from ..operators import cuckoo
 from ..operators import sketch as sk
 from ..sources.stores import stored
 from . import inputs as I
@@ -103,6 +104,12 @@ def sample_sketch_dedup_single(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)
 
 
+@query("sample_sketch_approx", f"WITH {I.SAMPLE} SELECT sample, h, cnt FROM counts")
+def sample_sketch_approx(spark: SparkSession, d: str) -> DataFrame:
+    """The same by scalable cuckoo filters, with so few false positives that none is expected."""
+    return cuckoo.approximate_sketch(stored(sk.read_kmers(I.reads(spark, d), I.K, I.C)), fpr=1e-8, cap=4)
+
+
 @query("sample_sketch_dedup_paired", f"WITH {I.PAIR_KMERS}, {I.dedup_sql(None)} SELECT sample, h, cnt FROM counts")
 def sample_sketch_dedup_paired(spark: SparkSession, d: str) -> DataFrame:
     return sk.sample_sketch(stored(sk.pair_kmers(I.pairs(spark, d), I.K, I.C)))
