@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kmers as km
+from ..functions.sql import register
 from ..operators import contain as ct
 from ..operators import cuckoo
 from ..operators import sketch as sk
@@ -67,6 +68,22 @@ def _with_keys(spark, d):
     return map_arrow(km.explode_kmers(I.contigs(spark, d), I.K, I.C), back, "genome long, contig int, pos int, h long, key long")
 
 
+@query("sql_shared_kmers", f"""WITH {I.GENOME_KMERS}, k AS (SELECT DISTINCT genome, h FROM gk), shared AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+n AS (SELECT genome, count(*) AS n_kmers, count(shared.h) AS contained FROM k LEFT JOIN shared USING (h) GROUP BY genome)
+SELECT genome, contained, n_kmers, round(contained / n_kmers, 9) AS share, round(pow(contained / n_kmers, {1 / I.K!r}), 9) AS naive_ani FROM n""")
+def sql_shared_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each genome's kept k-mers another genome has too: by the functions of plain SQL alone."""
+    register(spark)
+    return spark.sql(
+        f"""WITH k AS (SELECT DISTINCT genome, h FROM (SELECT genome, frac_hash(kmer) AS h FROM {{contigs}}, LATERAL kmers(seq, {I.K})) WHERE frac_kept(h, {I.C})),
+        shared AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+        n AS (SELECT genome, count(*) AS n_kmers, count(shared.h) AS contained FROM k LEFT JOIN shared ON k.h = shared.h GROUP BY genome),
+        s AS (SELECT *, containment_stats(contained, n_kmers, {I.K}) AS stats FROM n)
+        SELECT genome, contained, n_kmers, round(stats.share, 9) AS share, round(stats.naive_ani, 9) AS naive_ani FROM s""",
+        contigs=I.contigs(spark, d),
+    )
+
+
 @query("rev_hash", f"WITH {I.GENOME_KMERS} SELECT genome, contig, CAST(pos AS INT) AS pos, h, key, h AS again FROM gk")
 def rev_hash(spark: SparkSession, d: str) -> DataFrame:
     """Keys of all kept k-mers by the inverse hash, and hashed again by built-in functions."""
