@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ecology as ec
 from ..operators import matrix as mx
 from ..operators import screening as sc
+from ..sources.stores import scratch, stored
 from . import inputs as I
 
 QUERIES: dict = {}
@@ -389,3 +390,22 @@ def matrix_checks(spark: SparkSession, d: str) -> DataFrame:
     placed = I.taxonomy(spark, d).select("genome", F.lit(True).alias("placed"))
     shown = rows.groupBy("genome").agg(F.max("value").alias("top")).filter("top > 0").join(placed, "genome", "left")
     return checks.join(shown.agg(F.count(F.lit(1)).alias("nonzero_rows"), F.count_if(F.col("placed").isNull()).alias("unplaced")))
+
+
+@query("resumed_matrix", f"WITH {AB} SELECT sample, genome, round(value, 9) AS value, true AS finished FROM ab")
+def resumed_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The abundance matrix in blocks of ten samples, one of which fails once: a second run does what is left."""
+    from ..streaming.resumable import grown_table, run_plan
+
+    rows = stored(I.abundance(spark, d))
+    plan, path, tried = rows.select("sample").distinct(), scratch(spark), []
+
+    def work(some: DataFrame) -> DataFrame:
+        tried.append(some.count())
+        if len(tried) in (2, 3):
+            raise RuntimeError("lost")
+        return rows.join(some, "sample", "left_semi")
+
+    while run_plan(plan, work, path, step=10):
+        pass
+    return grown_table(plan, path, "sample string, genome long, value double").select("sample", "genome", F.round("value", 9).alias("value"), "finished")
