@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kelpwood.functions import kmers as km
+from kelpwood.operators import contain as ct
 from kelpwood.operators import sketch as sk
 
 
@@ -71,3 +72,15 @@ def test_fingerprints_by_numpy_are_those_of_the_columns(spark):
     short = F.length("seq") <= 400
     want = [(r.a, r.b) for r in df.select("i", *(F.when(short, f).alias(n) for n, f in zip("ab", km.fingerprints(F.col("seq"))))).orderBy("i").collect()]
     assert list(zip(*(c.to_pylist() for c in km.read_fingerprints(reads)))) == want
+
+
+def test_contested_kmers_are_shuffled_once(spark):
+    """Their genomes' results are joined to them, and each k-mer's genomes meet once."""
+    kmers = spark.createDataFrame([(g, h, (g + h) % 3 > 0) for g in range(6) for h in range(40) if (g * h) % 4 < 3], "genome long, h long, used boolean")
+    results = spark.createDataFrame([(s, g, 0.95 + (g // 2) / 100) for s in "xy" for g in range(6) if (s, g) != ("y", 5)], "sample string, genome long, final_ani double")
+    table = ct.winners(results, kmers)
+    for least in (0, 3):
+        found = ct.edges(ct.contested(results, kmers), least)
+        assert shuffles(found) < shuffles(ct.reassigned(results, kmers, table, least))
+        want = sorted(map(tuple, ct.reassigned(results, kmers, table, least).collect()))
+        assert want and sorted(map(tuple, found.collect())) == want
