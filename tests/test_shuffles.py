@@ -84,3 +84,23 @@ def test_contested_kmers_are_shuffled_once(spark):
         assert shuffles(found) < shuffles(ct.reassigned(results, kmers, table, least))
         want = sorted(map(tuple, ct.reassigned(results, kmers, table, least).collect()))
         assert want and sorted(map(tuple, found.collect())) == want
+
+
+def test_parts_that_are_hashed_by_genome_are_merged(spark):
+    """Large parts come from joins by shuffles, which hash both by genome."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        kmers = spark.range(60_000).select((F.col("id") % 300).alias("genome"), F.col("id").alias("h"), (F.col("id") % 2 == 0).alias("used"))
+        pick = lambda c: kmers.join(spark.range(300).withColumnRenamed("id", "genome").filter(c), "genome", "left_semi")
+        parts = [("a", pick("genome % 3 = 0")), ("b", pick("genome % 2 = 0"))]
+        got = {(r.part, r.genome): r["count"] for r in sk.merge_sketches(*parts).groupBy("part", "genome").count().collect()}
+        assert got == {("a" if g % 3 == 0 else "b", g): 200 for g in range(300) if g % 3 == 0 or g % 2 == 0}
+        tables = [df.withColumns({"part": F.lit(n), "k": F.lit(21), "c": F.lit(20), "min_spacing": F.lit(30)}) for n, df in parts]
+        row = sk.audit_settings(tables[0].unionByName(tables[1])).first()
+        assert (row.sketches, row.duplicate_names) == (250, 50)
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
