@@ -43,3 +43,24 @@ def test_sequences_of_shared_kmers_are_not_joined_with_themselves(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "seq" not in "".join(line for line in plan.splitlines() if "Join" in line) and "transform(array(least" not in plan
     assert shuffles(df) <= 8
+
+
+def test_keys_come_with_the_kmers_in_one_pass(spark):
+    df = registry.QUERIES["rev_hash"](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "lambda" not in plan
+
+
+def test_kmers_are_the_same_over_the_ends_of_hashed_blocks(monkeypatch):
+    import numpy as np
+
+    pick = random.Random(9)
+    pieces = ["".join(pick.choice("ACGT") for _ in range(n)).encode() for n in (0, 20, 21, 22, 63, 64, 65, 400, 20, 21)]
+    for k in (5, 21):
+        got = []
+        for size in (1, 7, 64, 1 << 15):
+            monkeypatch.setattr(km, "HASHED", size)
+            got.append([x.tolist() for x in km.kept_kmers(pieces, k, km.threshold(2))])
+        want = [(i, p) for i, s in enumerate(pieces) for p in range(len(s) - k + 1) if km._mixed(km.packed_kmers(km.base_codes()[np.frombuffer(s[p : p + k], np.uint8)], k))[0] < km.threshold(2)]
+        assert list(zip(*got[0][:2])) == want and all(g == got[0] for g in got)
+    assert [len(x) for x in km.kept_kmers([b"ACGT"], 21, km.threshold(2))] == [0, 0, 0]
