@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch's files, about: work for all cores, and what is done again after a failure.
+BATCH_BYTES = 1 << 30
+
 
 def drain(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """Everything a stream has now, transformed and appended to path/batches, read back.
@@ -34,10 +37,12 @@ def drain(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path:
     return spark.read.schema(schema[0]).parquet(f"{path}/batches/batch=*")
 
 
-def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files, or one file, as a stream."""
+def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A folder of Parquet files, or one file, as a stream: in batches of BATCH_BYTES,
+    or of so many files. Batches come one after another, so small ones leave cores idle."""
     pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file is accepted too
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    size = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", BATCH_BYTES)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option(*size).parquet(pattern)
 
 
 def joined_mates(left: DataFrame, right: DataFrame, ordinal: str, lag: int = 100_000) -> DataFrame:

@@ -45,3 +45,14 @@ def test_streams_replace_a_batch_that_runs_again(spark, tmp_path):
     spark.range(100).repartition(5).write.parquet(str(tmp_path / "in"))
     got = drain(stream_table(spark, str(tmp_path / "in")), lambda x: x, str(tmp_path / "out"))
     assert sorted(x.id for x in got.collect()) == list(range(100))
+
+
+def test_a_stream_of_small_files_is_one_batch(spark, tmp_path):
+    """Batches come one after another: as many as there are files would leave cores idle."""
+    from kelpwood.streaming.sketches import drain, stream_table
+
+    spark.range(100).repartition(5).write.parquet(str(tmp_path / "in"))
+    for name, of, batches in (("all", {}, 1), ("each", {"files_per_batch": 1}, 5)):
+        got = drain(stream_table(spark, str(tmp_path / "in"), **of), lambda x: x, str(tmp_path / name))
+        assert sorted(r.id for r in got.select("id").collect()) == list(range(100))
+        assert len(list((tmp_path / name / "batches").glob("batch=*"))) == batches
