@@ -56,3 +56,15 @@ def test_a_stream_of_small_files_is_one_batch(spark, tmp_path):
         got = drain(stream_table(spark, str(tmp_path / "in"), **of), lambda x: x, str(tmp_path / name))
         assert sorted(r.id for r in got.select("id").collect()) == list(range(100))
         assert len(list((tmp_path / name / "batches").glob("batch=*"))) == batches
+
+
+def test_lengths_of_reads_are_known_without_their_bases(spark):
+    from compare import DATA
+    from pyspark.sql import functions as F
+
+    from kelpwood.plans import inputs as I
+
+    count = lambda df: sorted(df.groupBy("sample", "length").count().collect(), key=str)
+    lengths = I.read_lengths(spark, DATA)
+    assert count(lengths) == count(I.reads(spark, DATA).select("sample", F.length("seq").alias("length")))
+    assert "md5" not in lengths._jdf.queryExecution().optimizedPlan().toString()
