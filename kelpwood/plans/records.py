@@ -274,7 +274,11 @@ def fastq_files(spark: SparkSession, d: str) -> DataFrame:
 def sequence_ranges(spark: SparkSession, d: str) -> DataFrame:
     """All reads, written as plain FASTQ files and read back in ranges that cut records anywhere."""
     path = _written(spark, I.reads(spark, d))
-    return _named(sq.read_sequences(spark, path, split_bytes=1_000_003)).select("sample", "idx", "seq", "qual", "ok")
+    return _named(sq.read_sequences(spark, path, split_bytes=RANGE)).select("sample", "idx", "seq", "qual", "ok")
+
+
+#: Bytes of a range of the FASTQ files: a task has some fixed cost, and ends within a line.
+RANGE = 16_000_057
 
 
 def _written(spark: SparkSession, reads: DataFrame) -> str:
@@ -472,7 +476,7 @@ def stream_sketch(spark: SparkSession, d: str) -> DataFrame:
 def stream_fastq(spark: SparkSession, d: str) -> DataFrame:
     """The sample sketches from FASTQ files as a stream of bytes: the same again."""
     path = _written(spark, I.reads(spark, d))
-    stream = sq.stream_sequences(spark, path, split_bytes=1_000_003)
+    stream = sq.stream_sequences(spark, path, split_bytes=RANGE)
     found = st.drain(stream, lambda batch: sk.read_kmers(_named(batch.filter("ok")).select("sample", "idx", "seq"), I.K, I.C), scratch(spark))
     return sk.sample_sketch(found, cap=4)
 

@@ -339,15 +339,18 @@ def fastq_rows(pieces, growing: bool = False) -> Iterator[tuple]:
         mine = (told >= begin) & (told < end)
         if growing and (told - at > CARRY_MAX)[mine].any():
             yield -1, None, None, None, False
-        for j in np.flatnonzero(mine & (is_start | loose)).tolist():
-            place = pieces.where(int(at[j]))
-            if not is_start[j]:
+        picked = np.flatnonzero(mine & (is_start | loose))
+        # Of the name, the bases and the qualities: from where to where.
+        spans = [x[np.minimum(picked + k, len(starts) - 1)].tolist() for k in (0, 1, 3) for x in (starts, ends)]
+        for place, record, behind, a, b, c, d, e, f in zip(at[picked].tolist(), is_start[picked].tolist(), gap[picked].tolist(), *spans):
+            place = pieces.where(place)
+            if not record:
                 yield place, None, None, None, False
                 continue
-            if gap[j]:
+            if behind:
                 yield place - 1, None, None, None, False
-            name, seq, qual = (data[starts[j + k] : ends[j + k]].decode("latin-1") for k in (0, 1, 3))
-            yield place, name[1:].split(" ", 1)[0].replace("\t", " "), seq, qual, True
+            name = data[a + 1 : b].decode("latin-1").split(" ", 1)[0].replace("\t", " ")
+            yield place, name, data[c:d].decode("latin-1"), data[e:f].decode("latin-1"), True
         blank_before, sure = bool(blank[-1]), True
         if told[-1] >= end:
             return

@@ -68,3 +68,14 @@ def test_lengths_of_reads_are_known_without_their_bases(spark):
     lengths = I.read_lengths(spark, DATA)
     assert count(lengths) == count(I.reads(spark, DATA).select("sample", F.length("seq").alias("length")))
     assert "md5" not in lengths._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_of_a_streamed_file_are_worth_a_task(spark, monkeypatch):
+    from compare import DATA
+
+    from kelpwood.plans import records
+    from kelpwood.sources import sequences as sq
+
+    made, stream = [], sq.stream_sequences
+    monkeypatch.setattr(sq, "stream_sequences", lambda *a, **b: made.append(b["split_bytes"]) or stream(*a, **b))
+    assert records.QUERIES["stream_fastq"](spark, DATA).count() > 0 and made[0] >= 16_000_000
