@@ -86,6 +86,51 @@ def test_contested_kmers_are_shuffled_once(spark):
         assert want and sorted(map(tuple, found.collect())) == want
 
 
+def crowd(seed: int):
+    """Genomes that share k-mers, some of them tracked, and two samples, as rows."""
+    pick = random.Random(seed)
+    held = {(g, h): pick.random() < 0.7 for g in range(12) for h in pick.sample(range(60 * (g // 4), 60 * (g // 4) + 160), 90)}
+    held |= {(12, h): h < 20 for h in range(25)}
+    counts = [(s, h, pick.choice([0, 1, 1, 2, 2, 3, 5])) for s in "xy" for h in range(400) if pick.random() < 0.9]
+    return [(g, h, u) for (g, h), u in held.items()], counts
+
+
+def test_profiles_move_again_only_what_genomes_share(spark):
+    """The two passes are those of the tables of all k-mers; what one genome holds alone has no hash any more."""
+    for seed in (1, 2, 3):
+        held, counts = crowd(seed)
+        plain = spark.createDataFrame(held, "genome long, h long, used boolean")
+        n = {g: sum(u for a, _, u in held if a == g) for g in range(13)}
+        sized = spark.createDataFrame([(*r, n[r[0]]) for r in held], "genome long, h long, used boolean, n_kmers long")
+        samples = spark.createDataFrame(counts, "sample string, h long, cnt long")
+        bases = spark.createDataFrame([(g, 1000 + g) for g in range(13)], "genome long, gn_size long")
+        pairs, sizes = ct.histogram(plain, samples, 30)
+        first = ct.identities(ct.coverage(pairs, sizes, 21), 21, min_ani=0.95)
+        mine = ct.contested(first, plain).filter("used").join(samples.filter("cnt > 0"), ["sample", "h"])
+        own = mine.filter("winner = genome").groupBy("sample", "genome", "cnt").count().withColumnRenamed("count", "n")
+        second = {(r.sample, r.genome): r for r in ct.identities(ct.coverage(own, sizes, 21), 21, min_ani=0.95).collect()}
+        before = {(r.sample, r.genome): r.contained for r in first.collect()}
+        lost = {(r.sample, r.genome): r["count"] for r in mine.filter("winner <> genome").groupBy("sample", "genome").count().collect()}
+        want = sorted((*p, r.contained, r.n_kmers, lost.get(p, 0), r.final_ani) for p, r in second.items() if p in before and before[p] - r.contained < 0.99**21 * r.n_kmers)
+        assert want and any(w[4] for w in want)
+        for table in (plain, sized):
+            got = ct.profile(table, samples, bases, 21, min_kmers=30)
+            assert sorted((r.sample, r.genome, r.contained, r.n_kmers, r.kmers_lost, r.final_ani) for r in got.collect()) == want
+        holders = {h: sum(a != 12 for a, b, _ in held if b == h) for h in range(400)}
+        assert {r.h for r in ct.met(sized, samples, 30).collect()} == {None} | {h for _, h, c in counts if c and holders[h] > 1}
+        again, none = ct.histogram(sized, samples, 30)
+        assert none is None and shuffles(again) < shuffles(pairs)
+        assert sorted(map(tuple, again.select("sample", "genome", "cnt", "n").collect())) == sorted(map(tuple, pairs.select("sample", "genome", "cnt", "n").collect()))
+
+
+def test_sketches_tell_how_many_kmers_a_genome_uses(spark):
+    rows = genomes(spark)
+    got = sk.whole_sketch(rows, sizes=True)
+    assert shuffles(got) == 0
+    n = {r.genome: r.n for r in sk.whole_sketch(rows).groupBy("genome").agg(F.count_if("used").alias("n")).collect()}
+    assert n and {(r.genome, r.n_kmers) for r in got.collect()} == set(n.items())
+
+
 def test_parts_that_are_hashed_by_genome_are_merged(spark):
     """Large parts come from joins by shuffles, which hash both by genome."""
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
