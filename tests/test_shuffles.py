@@ -39,6 +39,30 @@ def test_long_contigs_are_walked_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, sk.whole_sketch(rows).collect())) == sorted(map(tuple, sk.genome_sketch(contigs).collect()))
 
 
+def test_sequences_are_hashed_without_an_object_each():
+    """Their bytes are taken from the column: slices, nulls and other characters are as row by row."""
+    import pyarrow as pa
+
+    pick = random.Random(6)
+    texts = [None if pick.random() < 0.1 else "".join(pick.choice("ACGTacgtN") for _ in range(pick.choice([0, 20, 21, 90, 300]))) for _ in range(60)] + ["é" * 40 + "ACGT" * 20]
+    for start, stop in ((0, 61), (7, 40), (9, 9), (60, 61)):
+        column, rows = pa.array(texts, pa.string()).slice(start, stop - start), texts[start:stop]
+        data, ends = km.column_bytes(column)
+        want = [x.tolist() for x in km.kept_kmers([(t or "").encode() for t in rows], 21, km.threshold(2))]
+        for block in (1, 50, 1 << 19):
+            parts = [km.kept_between(data, ends, 21, km.threshold(2), low, min(low + block, len(data))) for low in range(0, len(data), block)]
+            assert [[v for p in parts for v in p[i].tolist()] for i in range(3)] == want
+        assert [c.to_pylist() for c in km.read_fingerprints(column)] == [c.to_pylist() for c in km.read_fingerprints(rows)]
+
+
+def test_genomes_of_a_batch_are_sketched_some_at_a_time(spark, monkeypatch):
+    """Empty and null ones between them, whatever a block holds."""
+    rows = genomes(spark, 11).unionByName(spark.createDataFrame([(200, None), (201, [None, ""]), (202, ["ACGTTGCAGGCTAAGCTTGA" * 3])], "genome long, seqs array<string>")).coalesce(1)
+    contigs = rows.select("genome", F.posexplode("seqs").alias("contig", "seq"))
+    want = sorted(map(tuple, sk.genome_sketch(contigs, 21, 2).collect()))
+    assert want and sorted(map(tuple, sk.whole_sketch(rows, 21, 2).collect())) == want
+
+
 def counted(rows: list, cap: int) -> dict:
     """The rule, one occurrence after another."""
     out, seen = {}, {}
