@@ -1,5 +1,9 @@
+import glob
 import gzip
 
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from kelpwood.sources import fastq as fq
 
 
@@ -79,3 +83,23 @@ def test_ranges_of_a_streamed_file_are_worth_a_task(spark, monkeypatch):
     made, stream = [], sq.stream_sequences
     monkeypatch.setattr(sq, "stream_sequences", lambda *a, **b: made.append(b["split_bytes"]) or stream(*a, **b))
     assert records.QUERIES["stream_fastq"](spark, DATA).count() > 0 and made[0] >= 16_000_000
+
+
+def test_large_samples_are_written_in_as_many_files_as_their_size_asks_for(spark, tmp_path):
+    """No task has a fixed share of a sample; each file is in hash order, small samples have few files."""
+    from kelpwood.sources.stores import read_samples, write_samples
+
+    name, path = "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(tmp_path / "samples")
+    before = spark.conf.get(name)
+    rows = spark.range(0, 400_000, 1, 40).select(F.when(F.col("id") % 1000 == 0, "small").otherwise("large").alias("sample"), F.shiftrightunsigned(F.xxhash64("id"), 6).alias("h"), (F.col("id") % 5).alias("cnt"))
+    try:
+        spark.conf.set(name, "32k")
+        write_samples(rows, path, 21, 20)
+    finally:
+        spark.conf.set(name, before)
+    files = {s: glob.glob(f"{path}/sample={s}/*.parquet") for s in ("large", "small")}
+    assert len(files["large"]) > 32 and sum(pq.read_metadata(f).num_rows for f in files["large"]) == 399_600
+    for f in files["large"] + files["small"]:
+        h = pq.read_table(f, columns=["h"], partitioning=None).column("h").to_pylist()
+        assert h == sorted(h)
+    assert read_samples(spark, path, 21, 20).exceptAll(rows).count() == 0 and read_samples(spark, path, 21, 20).count() == 400_000
